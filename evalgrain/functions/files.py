@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import mimetypes
-from itertools import chain
 
 from pyspark.sql import Column, functions as F
 
@@ -27,6 +26,13 @@ def glob_regex(pattern: Column) -> Column:
     Compute it on the case side of a join: one conversion per expectation,
     not one per run.
     """
+    literal = F.regexp_replace(pattern, r"([\\.^$|()\[\]{}+])", r"\\$1")
+    plain = F.replace(F.replace(literal, F.lit("?"), F.lit(".")), F.lit("*"), F.lit(".*"))
+    body = F.when(pattern.contains("["), _glob_with_sets(pattern)).otherwise(plain)
+    return F.concat(F.lit("(?s)^"), body, F.lit("$"))
+
+
+def _glob_with_sets(pattern: Column) -> Column:
     tokens = F.regexp_extract_all(pattern, F.lit(r"(?s)(\[!?\]?[^\]]*\]|.)"), F.lit(1))
 
     def piece(token: Column) -> Column:
@@ -41,7 +47,7 @@ def glob_regex(pattern: Column) -> Column:
             .otherwise(F.regexp_replace(token, r"([\\.^$|()\[\]{}+*?])", r"\\$1"))
         )
 
-    return F.concat(F.lit("(?s)^"), F.array_join(F.transform(tokens, piece), ""), F.lit("$"))
+    return F.array_join(F.transform(tokens, piece), "")
 
 
 def guess_mime(path: Column) -> Column:
@@ -56,8 +62,8 @@ def guess_mime(path: Column) -> Column:
     bare = F.when(outer.isin(*_COMPRESSION), F.regexp_replace(expanded, r"\.[^./]*$", "")) \
         .otherwise(expanded)
     suffix = F.lower(F.regexp_extract(bare, suffix_of, 1))
-    table = F.create_map(*[F.lit(x) for x in chain.from_iterable(sorted(_TYPE_BY_SUFFIX.items()))])
-    return F.try_element_at(table, suffix)
+    table = ", ".join(f"'{ext}', '{kind}'" for ext, kind in sorted(_TYPE_BY_SUFFIX.items()))
+    return F.try_element_at(F.expr(f"map({table})"), suffix)
 
 
 def artifact_hit(regex: Column, mime: Column, artifacts: Column) -> Column:
@@ -65,7 +71,7 @@ def artifact_hit(regex: Column, mime: Column, artifacts: Column) -> Column:
     return F.exists(
         artifacts,
         lambda a: F.coalesce(
-            a["path"].rlike(regex)
+            F.regexp_like(a["path"], regex)
             & (a["size_bytes"] > 0)
             & (mime.isNull() | a["mime_type"].isNull() | (a["mime_type"] == "")
                | (a["mime_type"] == mime)),
@@ -74,7 +80,7 @@ def artifact_hit(regex: Column, mime: Column, artifacts: Column) -> Column:
 
 
 def workspace_hit(regex: Column, files: Column) -> Column:
-    return F.exists(files, lambda f: F.coalesce(f.rlike(regex), F.lit(False)))
+    return F.exists(files, lambda f: F.coalesce(F.regexp_like(f, regex), F.lit(False)))
 
 
 def is_runtime_state(path: Column, bootstrap: tuple[str, ...] = BOOTSTRAP_FILES) -> Column:

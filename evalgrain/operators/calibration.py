@@ -173,7 +173,7 @@ def registry_violations(entries: DataFrame, evidence: DataFrame, reports: DataFr
         only_dimensions = v in ("agreement_tolerance", "mean_absolute_error")
         equal = equal & ((F.col("scope") == "absolute_assertions") | same if only_dimensions else same)
     found = F.col("_agreement").isNotNull()
-    per_entry = matched.groupBy("entry_id").agg(
+    per_entry = matched.groupBy("entry_id", "fingerprint", "evidence_report").agg(
         F.count_if(found).alias("matches"),
         F.coalesce(F.bool_and(equal), F.lit(False)).alias("_equal"))
     content = per_entry.select("entry_id", F.when(F.col("matches") != 1, "evidence not unique")
@@ -209,8 +209,8 @@ def gate_calibration_scope(gates: DataFrame, deterministic: DataFrame) -> DataFr
         .when(F.col("metric").isin(*TRAJECTORY_METRICS) & F.col("_proven").isNull(),
               "trajectory_dimension")
     )
-    return gates.join(proven, ["run_id", "metric"], "left").drop("_proven") \
-        .withColumn("scope", scope) \
+    return gates.join(proven, ["run_id", "metric"], "left") \
+        .withColumn("scope", scope).drop("_proven") \
         .withColumn("dimension", F.when(
             F.col("scope").isin("standard_dimension", "trajectory_dimension"), F.col("metric")))
 

@@ -286,15 +286,15 @@ def normalize_trajectory(runs: DataFrame, source: str = "runtime.toolSummary") -
     coarse = F.transform("tool_calls", lambda t: event(
         event_type=F.lit("tool_call"), name=t["name"], tool_name=t["name"],
         status=F.lit("unknown"), evidence_level=F.lit("coarse"),
-        metadata=F.parse_json(F.to_json(F.struct(
-            F.lit(source).alias("source"), t["count"].alias("count"))))))
+        metadata=F.to_variant_object(F.struct(
+            F.lit(source).alias("source"), t["count"].alias("count")))))
     changes = F.transform("artifacts", lambda a: event(
         event_type=F.lit("state_change"), name=F.lit("workspace_state_change"),
         status=F.lit("success"), evidence_level=F.lit("derived"),
         evidence_refs=F.array(a["path"]),
-        state_after=F.parse_json(F.to_json(F.struct(
+        state_after=F.to_variant_object(F.struct(
             a["path"].alias("path"), a["sha256"].alias("sha256"),
-            a["size_bytes"].alias("size_bytes"), a["change"].alias("change"))))))
+            a["size_bytes"].alias("size_bytes"), a["change"].alias("change")))))
     final = F.array(event(event_type=F.lit("final"), name=F.lit("final_answer"),
                           status=F.lit("success"), evidence_level=F.lit("exact")))
     calls = F.when(F.size(exact) > 0, exact).otherwise(coarse)

@@ -3,7 +3,9 @@
 
 def _load():
     from evalgrain.plans import catalog
-    from evalgrain.plans import routing_queries  # noqa: F401
+    from evalgrain.plans import (  # noqa: F401
+        execution_queries, judge_queries, routing_queries, trajectory_queries,
+    )
 
     return catalog
 

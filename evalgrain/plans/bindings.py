@@ -6,7 +6,7 @@ same in SQL for the oracle. All rows of the source tables are used.
 * cases   ← orders         one case per order
 * runs    ← lineitem       one execution per line, in one of two runs
 * turns   ← conversations  one scored turn per message
-* events  ← events         one tool event per event, a run turn per user and day
+* events  ← events         one tool event per event, a run turn per user
 * caseset ← documents      one case per document
 """
 
@@ -235,7 +235,7 @@ EVENT_KEYS = ["run_id", "case_id", "repeat_index", "turn_index"]
 EVENTS_SQL = """
 ev AS (
   SELECT 'u' || (user_id % 7) AS run_id, 'c' || user_id AS case_id,
-         CAST(date_diff('day', TIMESTAMP '2024-01-01', ts) AS INTEGER) AS repeat_index, 1 AS turn_index,
+         0 AS repeat_index, 1 AS turn_index,
          event_id + 1 AS step_index, event_type AS tool_name,
          CASE WHEN event_type = 'error' THEN 'tool_result' WHEN event_type = 'signup' THEN 'state_change'
               ELSE 'tool_call' END AS event_type,
@@ -252,8 +252,7 @@ def events(lake: Lake) -> DataFrame:
     user = F.col("user_id")
     rows = lake.events.select(
         F.concat(F.lit("u"), user % 7).alias("run_id"), F.concat(F.lit("c"), user).alias("case_id"),
-        F.datediff("ts", F.lit("2024-01-01").cast("date")).alias("repeat_index"),
-        F.lit(1).alias("turn_index"), (F.col("event_id") + 1).alias("step_index"),
+        F.lit(0).alias("repeat_index"), F.lit(1).alias("turn_index"), (F.col("event_id") + 1).alias("step_index"),
         kind.alias("tool_name"),
         F.when(kind == "error", "tool_result").when(kind == "signup", "state_change")
         .otherwise("tool_call").alias("event_type"),
@@ -271,7 +270,7 @@ def event_arguments() -> Column:
         F.col("k").alias("k"), F.concat(F.lit("w/"), "k").alias("path"),
         F.struct(mode.alias("mode"), F.array(F.col("k").cast("string"), F.lit("x")).alias("list"))
         .alias("opts"))
-    return F.when(F.col("value") >= 1, F.parse_json(F.to_json(body)))
+    return F.when(F.col("value") >= 1, F.to_variant_object(body))
 
 
 def event_keys(rows: DataFrame) -> DataFrame:

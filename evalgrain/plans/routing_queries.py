@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from evalgrain.functions import cases as case_functions, text, usage
-from evalgrain.operators import compare, evidence, gates, inspection, joins, plugins, routing, stats
+from evalgrain.operators import (
+    compare, evidence, gates, inspection, joins, ordered, plugins, routing, stats,
+)
 from evalgrain.plans import bindings as b, report
 from evalgrain.plans.bindings import Lake
 from evalgrain.plans.catalog import query, sql
+from evalgrain.schemas import RUBRICS
 
 ROUTED_SQL = """
 routed AS (
@@ -389,8 +392,6 @@ SELECT lineage_id, iteration,
                  CASE WHEN coalesce(ct >= cap, false) OR cs >= 4000 THEN 'budget_exceeded' END,
                  CASE WHEN pos >= 8 THEN 'max_iterations' END) AS triggered FROM cum"""))
 def stop_decision(lake: Lake) -> DataFrame:
-    from evalgrain.operators import ordered
-
     rows = ordered.positions(stats.cumulative_usage(lineage(lake)), ["lineage_id"], "iteration", "round")
     decided = stats.stop_decision(
         rows.withColumn("order_key", F.col("iteration")).withColumn("iteration", F.col("round"))
@@ -519,7 +520,7 @@ def gate_coverage(lake: Lake) -> DataFrame:
 
 @query("B26_parse_gate", """
 SELECT page_id, ok, CASE WHEN ok THEN op END AS op, CASE WHEN ok THEN CAST(num AS DOUBLE) END AS threshold FROM (
-  SELECT page_id, CASE WHEN n % 2 = 0 THEN '>=' ELSE '<=' END AS op, CASE WHEN n % 100 < 10 THEN '0.0' || (n % 100) ELSE '0.' || (n % 100) END AS num, n < 1500 AS ok
+  SELECT page_id, CASE WHEN n % 2 = 0 THEN '>=' ELSE '<=' END AS op, CASE WHEN n >= 1500 THEN '1.00' WHEN n % 100 < 10 THEN '0.0' || (n % 100) ELSE '0.' || (n % 100) END AS num, n < 1500 OR n % 100 = 0 AS ok
   FROM (SELECT page_id, length(html) AS n FROM pages) p) x""")
 def parse_gate(lake: Lake) -> DataFrame:
     n = F.length("html")
@@ -572,8 +573,6 @@ def layer_report(lake: Lake) -> DataFrame:
 SELECT source AS run_id, round(avg(m), 6) AS final_answer_quality FROM (
   SELECT source, dimension, avg(judge_score) AS m FROM judged GROUP BY 1, 2) x GROUP BY 1"""))
 def semantic_mean(lake: Lake) -> DataFrame:
-    from evalgrain.schemas import RUBRICS
-
     means = b.judged(lake).groupBy(F.col("source").alias("run_id"), F.col("dimension").alias("metric")) \
         .agg(F.avg("judge_score").alias("value"))
     return rounded(stats.semantic_mean(means, list(RUBRICS)), ("final_answer_quality",))

@@ -1,4 +1,4 @@
-"""Table schemas. NULL means not applicable or not recorded, never zero."""
+"""Table schemas as DDL text. NULL means not applicable or not recorded, never zero."""
 
 from __future__ import annotations
 
@@ -44,7 +44,7 @@ CONTEXT = (
     "input_schema: variant>>>"
 )
 
-RUNS = StructType.fromDDL(
+RUNS = (
     "case_id string, repeat_index int, model string, request_id string, session_id string, "
     "turn_index int, status string, selected_skills array<string>, loaded_skills array<string>, "
     "reasoning string, final_answer string, raw_output string, error string, error_kind string, "
@@ -53,14 +53,14 @@ RUNS = StructType.fromDDL(
     "workspace_files array<string>, runtime_name string, runtime_version string, "
     f"duration_ms bigint, usage {USAGE}, resolved_model string, ok boolean"
 )
-CASES = StructType.fromDDL(
+CASES = (
     f"id string, prompt string, context {CONTEXT}, expected_skills array<string>, "
     "tags array<string>, severity string, stage string, files array<string>, "
     "expect_artifacts array<string>, expect_tools array<string>, forbid_artifacts boolean, "
     "expect_assertions array<string>, reference string, expect_workspace_files array<string>, "
     f"requires_context boolean, expect_trajectory {EXPECT_TRAJECTORY}, turns array<{TURN}>"
 )
-GRADINGS = StructType.fromDDL(
+GRADINGS = (
     "grader_version string, run_dir string, config_hash string, "
     "judge struct<id: string, model: string, api_base_env: string, api_key_env: string, "
     "params: variant, system_prompt_hash: string, dimensions: map<string,string>>, "
@@ -73,18 +73,18 @@ GRADINGS = StructType.fromDDL(
     "judge_failures array<struct<case_id: string, repeat_index: int, turn_index: int, "
     "error: string>>"
 )
-BOOLEAN_GOLD = StructType.fromDDL(
+BOOLEAN_GOLD = (
     "schema_version string, calibration_id string, source_run string, annotated_by string, "
     "annotated_at string, annotations array<struct<case_id: string, assertion: string, "
     "passed: boolean, rationale: string>>"
 )
-SCORE_GOLD = StructType.fromDDL(
+SCORE_GOLD = (
     "schema_version string, calibration_id string, source_run string, annotated_by string, "
     "annotated_at string, dimension_versions map<string,string>, "
     "annotations array<struct<case_id: string, repeat_index: int, turn_index: int, "
     "dimension: string, score: double, rationale: string>>"
 )
-RUN_DIM = StructType.fromDDL(
+RUN_DIM = (
     "suite struct<suite_id: string, suite_version: string, dataset: string, runtime: string, "
     "repeats: int, parallelism: int, "
     "skills: struct<dir: string, target: array<string>, versions: map<string,string>, "
@@ -128,6 +128,11 @@ TRAJECTORY_METRICS = (
 )
 
 
+def fields(ddl: str):
+    """The fields of a schema; needs a running session."""
+    return StructType.fromDDL(ddl).fields
+
+
 def dimension_catalog(spark):
     rows = [(name, list(needs), version) for name, (needs, version) in RUBRICS.items()]
     return spark.createDataFrame(rows, "dimension string, requires array<string>, version string")

@@ -22,7 +22,7 @@ def read_cases(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, D
 
 
 def case_line_problem(line: Column, parsed: Column) -> Column:
-    known = F.array(*[F.lit(f.name) for f in schemas.CASES])
+    known = F.array(*[F.lit(f.name) for f in schemas.fields(schemas.CASES)])
     keys = F.json_object_keys(line)
     return (
         F.when(F.try_parse_json(line).isNull() | keys.isNull(), "not a JSON object")
@@ -39,7 +39,7 @@ def with_defaults(cases: DataFrame) -> DataFrame:
     columns = {"severity": F.coalesce("severity", F.lit("medium")),
                "requires_context": F.coalesce("requires_context", F.lit(False)),
                "forbid_artifacts": F.coalesce("forbid_artifacts", F.lit(False))}
-    for f in schemas.CASES:
+    for f in schemas.fields(schemas.CASES):
         if f.dataType.simpleString() == "array<string>":
             columns[f.name] = F.coalesce(f.name, F.array().cast("array<string>"))
     return cases.withColumns(columns)
