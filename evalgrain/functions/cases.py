@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from evalgrain.functions.text import content_hash
+
 # Fixed values.
 FAILURE_TAGS = ("failure", "error", "robustness", "异常", "容错")
 CANONICAL_TAG = {
@@ -81,3 +83,35 @@ def is_inline_secret_key(name: Column) -> Column:
     for part in SECRET_CONFIG_PARTS:
         sensitive = sensitive | key.contains(part)
     return sensitive & ~key.endswith("_env") & ~key.endswith("_id")
+
+
+def sorted_map(column: Column) -> Column:
+    """A map as JSON text with its keys in order; an absent map is empty."""
+    return F.coalesce(
+        F.to_json(F.map_from_entries(F.array_sort(F.map_entries(column)))), F.lit("{}"))
+
+
+# Suite fields that do not change what a run does.
+HASH_EXEMPT = ("suite_id", "suite_version", "description", "models", "parallelism", "skills.target",
+               "scoring.judge")
+
+
+def config_hash(suite: Column, fields: list[str], model: Column, mock: Column, runtime: Column,
+                environment: Column, skills: Column, dataset_hash: Column) -> Column:
+    """Fingerprint of a run's setup: equal hashes mean comparable runs.
+
+    `fields` are the leaf paths of the suite struct in use; exempt ones are left
+    out, and a parallelism of 1 counts as not set.
+    """
+    kept = sorted(f for f in fields if f not in HASH_EXEMPT and not f.startswith(HASH_EXEMPT))
+    parts = [F.to_json(F.struct(*[_leaf(suite, f).alias(f.replace(".", "_")) for f in kept]))]
+    if "parallelism" in fields:
+        parts.append(F.when(suite["parallelism"] != 1, suite["parallelism"].cast("string")))
+    parts += [model, mock.cast("string"), runtime, environment, sorted_map(skills), dataset_hash]
+    return content_hash(F.to_json(F.array(*[F.coalesce(p, F.lit("")) for p in parts])))
+
+
+def _leaf(struct: Column, path: str) -> Column:
+    for name in path.split("."):
+        struct = struct[name]
+    return struct

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from evalgrain.functions.cases import sorted_map
 from evalgrain.operators import joins, ordered
 from evalgrain.schemas import RUBRICS, TRAJECTORY_METRICS
 
@@ -120,10 +121,6 @@ def policy_violations(reports: DataFrame) -> DataFrame:
 
 def fingerprint(judge: Column) -> Column:
     """Canonical text of a judge gauge; NULL when it is incomplete. The id is no part of it."""
-    def sorted_map(column: Column) -> Column:
-        entries = F.array_sort(F.map_entries(column))
-        return F.coalesce(F.to_json(F.map_from_entries(entries)), F.lit("{}"))
-
     required = ["model", "api_base_env", "system_prompt_hash"]
     complete = F.lit(True)
     for name in required:

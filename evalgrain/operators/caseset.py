@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evalgrain.functions.cases import (
     CASE_ID_PATTERN, CONTENT_PATH_SEGMENTS, GOLD_VALUE_LIMIT, SECRET_PATH_PARTS,
-    is_inline_secret_key, normalized_key,
+    SECRET_CONFIG_PARTS, is_inline_secret_key, normalized_key,
 )
 from evalgrain.functions.text import case_type, normalize_prompt
 from evalgrain.operators import joins, ordered
@@ -221,11 +221,14 @@ def tool_list_problems(expectations: DataFrame) -> DataFrame:
 def inline_secrets(configs: DataFrame, depth: int = 8) -> DataFrame:
     """Paths of configuration keys that hold a secret instead of naming one.
 
-    Input: config_id, config (VARIANT). Each round opens one level of nesting;
-    `open_paths` deeper than `depth` are reported as such, never dropped.
+    Input: config_id, config (VARIANT). Only documents with a suspicious key are
+    opened, one level of nesting per round; what lies deeper than `depth` is
+    reported as such, never dropped.
     """
     spark = configs.sparkSession
-    level = configs.select("config_id", F.lit("suite").alias("path"), F.col("config").alias("node"))
+    suspicious = normalized_key(F.to_json("config")).rlike("|".join(SECRET_CONFIG_PARTS))
+    level = configs.filter(suspicious).select(
+        "config_id", F.lit("suite").alias("path"), F.col("config").alias("node"))
     found = None
     for _ in range(depth):
         opened = spark.sql(

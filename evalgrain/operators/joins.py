@@ -10,24 +10,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from evalgrain.functions import files, text
+from evalgrain.functions import cases, files, text
 from evalgrain.operators import ordered
 
 CONVERSATION = ["run_id", "case_id", "repeat_index"]
 RUN_KEY = [*CONVERSATION, "turn_index"]
 
 
-def resolve_turns(cases: DataFrame) -> DataFrame:
+def resolve_turns(case_rows: DataFrame) -> DataFrame:
     """One row per case turn: the case's own fields are turn 1, `turns[i]` is turn i + 2."""
-    turn_type = cases.schema["turns"].dataType.elementType
+    turn_type = case_rows.schema["turns"].dataType.elementType
     head = F.struct(*[
         (F.coalesce(F.col(f.name), F.lit(False)) if f.dataType.simpleString() == "boolean"
          else F.col(f.name)).alias(f.name)
         for f in turn_type
     ]).cast(turn_type)
-    rest = F.coalesce(F.col("turns"), F.array().cast(cases.schema["turns"].dataType))
-    shared = [c for c in cases.columns if c not in {"turns", *turn_type.names}]
-    return cases.select(
+    rest = F.coalesce(F.col("turns"), F.array().cast(case_rows.schema["turns"].dataType))
+    shared = [c for c in case_rows.columns if c not in {"turns", *turn_type.names}]
+    return case_rows.select(
         *shared, F.posexplode(F.concat(F.array(head), rest)).alias("_pos", "_turn"),
     ).select(
         *shared, (F.col("_pos") + 1).alias("turn_index"),
@@ -35,7 +35,7 @@ def resolve_turns(cases: DataFrame) -> DataFrame:
 
 
 def build_matrix(
-    cases: DataFrame, models: list[str], repeats: int, suite_id: str, execution_id: str,
+    case_rows: DataFrame, models: list[str], repeats: int, suite_id: str, execution_id: str,
     session_prefix: str = "eval", turn_count: Column | None = None,
 ) -> DataFrame:
     """model × case × repeat × turn with stable ids; no shuffle, no join.
@@ -54,7 +54,7 @@ def build_matrix(
     suite, execution = text.slug(F.lit(suite_id)), text.slug(F.lit(execution_id))
     model_no = F.create_map(*[F.lit(x) for i, m in enumerate(models) for x in (m, i)])
     tasks = (
-        cases.withColumn("model_id", F.explode(F.array(*[F.lit(m) for m in models])))
+        case_rows.withColumn("model_id", F.explode(F.array(*[F.lit(m) for m in models])))
         .withColumn("repeat_index", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
         .withColumn("turn_index", F.explode(F.sequence(F.lit(1), turns.cast("int"))))
     )
@@ -219,6 +219,18 @@ def catalog_violations(
     )
 
 
+def catalog_text(skills: DataFrame, keys: list[str]) -> DataFrame:
+    """The catalog a model is shown, one line per skill in id order.
+
+    The text goes into one prompt, which bounds what a key may hold.
+    """
+    line = cases.catalog_line(
+        F.col("skill_id"), F.col("description"), F.col("triggers"), F.col("exclusions"))
+    rows = F.array_sort(F.collect_list(F.struct("skill_id", line.alias("line"))))
+    return skills.groupBy(*keys).agg(
+        F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("catalog"))
+
+
 def unreachable_gold(gold: DataFrame, catalog: DataFrame, keys: list[str]) -> DataFrame:
     """Cases that expect a skill nobody is shown. `gold`: one row per (case, skill)."""
     return gold.join(catalog.select(*keys, "skill_id"), [*keys, "skill_id"], "left_anti").distinct()

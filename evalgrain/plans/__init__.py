@@ -4,7 +4,8 @@
 def _load():
     from evalgrain.plans import catalog
     from evalgrain.plans import (  # noqa: F401
-        execution_queries, judge_queries, routing_queries, trajectory_queries,
+        case_queries, execution_queries, judge_queries, routing_queries, source_queries,
+        trajectory_queries,
     )
 
     return catalog

@@ -55,11 +55,11 @@ def grading_candidates(lake: Lake) -> DataFrame:
     return judging.grading_counts(judging.grading_candidates(talk(lake), F.lit(False)))
 
 
-@query("H3_grading_requests", sql(b.TURNS_SQL, CLASS_SQL, f"""
+@query("H3_grading_requests", sql(b.TURNS_SQL, CLASS_SQL, """
 SELECT run_id, case_id, turn_index, text AS prompt, '["claim"]' AS assertions, '["in.txt"]' AS files,
        '[{"path":"a","size_bytes":1,"mime_type":"text/plain","sha256":"' || substr(sha256(text), 1, 16) || '","content":"x"}]' AS artifacts,
-       {ANSWER_CHARS} AS output_chars
-FROM cls WHERE grading_class = 'candidate'"""))
+       ANSWER_CHARS AS output_chars
+FROM cls WHERE grading_class = 'candidate'""".replace("ANSWER_CHARS", ANSWER_CHARS)))
 def grading_requests(lake: Lake) -> DataFrame:
     classified = judging.grading_candidates(judging.conversation_history(talk(lake)), F.lit(False))
     ready = classified.withColumns({

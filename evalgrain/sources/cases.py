@@ -8,19 +8,22 @@ from evalgrain import schemas
 from evalgrain.sources.lines import read_lines
 
 
-def read_cases(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+def parse_cases(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cases, rejects). A line with an unknown field, a bad value or broken JSON is a reject."""
-    lines = read_lines(spark, path).withColumn("value", F.trim("value")) \
+    kept = lines.withColumn("value", F.trim("value")) \
         .filter((F.col("value") != "") & ~F.col("value").startswith("#"))
-    parsed = lines.select("file_path", "line_no", "value", F.from_json(
+    parsed = kept.select("file_path", "line_no", "value", F.from_json(
         "value", schemas.CASES, {"mode": "PERMISSIVE"}).alias("_c"))
-    problem = case_line_problem(F.col("value"), F.col("_c"))
-    checked = parsed.withColumn("problem", problem)
+    checked = parsed.withColumn("problem", case_line_problem(F.col("value"), F.col("_c")))
     cases = checked.filter("problem IS NULL").select("file_path", "line_no", "_c.*")
     rejects = checked.filter("problem IS NOT NULL").select("file_path", "line_no", "problem", "value")
     return with_defaults(cases), rejects
 
 
+def read_cases(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    return parse_cases(read_lines(spark, path))
+
+
 def case_line_problem(line: Column, parsed: Column) -> Column:
     known = F.array(*[F.lit(f.name) for f in schemas.fields(schemas.CASES)])
     keys = F.json_object_keys(line)
@@ -45,12 +48,12 @@ def with_defaults(cases: DataFrame) -> DataFrame:
     return cases.withColumns(columns)
 
 
-def read_header(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file_path, key, value) of the `# key: value` lines before the first other line."""
-    lines = read_lines(spark, path).withColumn("value", F.trim("value"))
-    first_other = lines.filter(~F.col("value").startswith("#")) \
+def header_pairs(lines: DataFrame) -> DataFrame:
+    """(file_path, line_no, key, value) of the `# key: value` lines before the first other line."""
+    trimmed = lines.withColumn("value", F.trim("value"))
+    first_other = trimmed.filter(~F.col("value").startswith("#")) \
         .groupBy("file_path").agg(F.min("line_no").alias("_stop"))
-    header = lines.filter(F.col("value").startswith("#")).join(first_other, "file_path", "left") \
+    header = trimmed.filter(F.col("value").startswith("#")).join(first_other, "file_path", "left") \
         .filter("_stop IS NULL OR line_no < _stop")
     pattern = r"^#\s*([^:]+):\s*(.*)$"
     return header.filter(F.col("value").rlike(pattern)).select(
@@ -60,15 +63,14 @@ def read_header(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def read_review_status(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file_path, review_status): the first marker of the leading comment block, else NULL."""
-    lines = read_lines(spark, path).withColumn("value", F.trim("value"))
-    return review_status(lines)
+    return review_status(read_lines(spark, path))
 
 
 def review_status(lines: DataFrame) -> DataFrame:
-    """`lines`: file_path, line_no, value. Two aggregates; no file is gathered."""
+    """`lines`: file_path, line_no, value. One aggregate; no file is gathered."""
     comment = F.col("value").startswith("#")
     marker = r"review_status:\s*(\S+)"
-    per_file = lines.groupBy("file_path").agg(
+    per_file = lines.withColumn("value", F.trim("value")).groupBy("file_path").agg(
         F.min(F.when(~comment, F.col("line_no"))).alias("_stop"),
         F.min(F.when(comment & F.col("value").rlike(marker), F.struct(
             "line_no", F.upper(F.regexp_extract("value", marker, 1)).alias("status")))).alias("_m"))

@@ -27,15 +27,19 @@ def normalize_runs(runs: DataFrame) -> DataFrame:
     })
 
 
-def read_runs(spark: SparkSession, path: str | list[str], depth: int = 2) -> DataFrame:
-    """Run records with run_id and line_no. A line that is no record fails the read."""
-    lines = read_lines(spark, path).filter(F.trim("value") != "")
-    parsed = lines.select(
+def parse_runs(lines: DataFrame, depth: int = 2) -> DataFrame:
+    """Run records from (file_path, line_no, value). A line that is no record fails the job."""
+    parsed = lines.filter(F.trim("value") != "").select(
         run_id_of(F.col("file_path"), depth).alias("run_id"), "line_no",
         F.from_json("value", schemas.RUNS, {"mode": "FAILFAST"}).alias("_r"))
     return normalize_runs(parsed.select("run_id", "line_no", "_r.*"))
 
 
+def read_runs(spark: SparkSession, path: str | list[str], depth: int = 2) -> DataFrame:
+    """Run records with run_id (the last folders of the path) and line_no."""
+    return parse_runs(read_lines(spark, path), depth)
+
+
 def run_record_problems(runs: DataFrame) -> DataFrame:
     """Records outside their domains, one row per problem; nothing is dropped."""
     checks = [
@@ -57,26 +61,37 @@ def _yaml_to_json(batches):
             "value": [json.dumps(yaml.safe_load(text), default=str) for text in batch["value"]]})
 
 
-def read_run_dim(spark: SparkSession, path: str | list[str], depth: int = 2) -> DataFrame:
-    """One row per run from its snapshot document, JSON or YAML."""
-    whole = spark.read.text(path, wholetext=True).select(
+def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file_path, value): whole small files, such as snapshots and reports."""
+    return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file_path"), "value")
+
+
+def parse_run_dim(documents: DataFrame, depth: int = 2) -> DataFrame:
+    """One row per run from its snapshot document, JSON or YAML."""
     is_json = F.col("value").rlike(r"^\s*\{")
-    documents = whole.filter(is_json).unionByName(
-        whole.filter(~is_json).mapInPandas(_yaml_to_json, "file_path string, value string"))
-    return documents.select(
+    converted = documents.filter(~is_json).mapInPandas(_yaml_to_json, "file_path string, value string")
+    return documents.filter(is_json).select("file_path", "value").unionByName(converted).select(
         run_id_of(F.col("file_path"), depth).alias("run_id"),
         F.from_json("value", schemas.RUN_DIM).alias("_d")).select("run_id", "_d.*")
 
 
-def read_gradings(spark: SparkSession, path: str | list[str], depth: int = 2) -> DataFrame:
+def read_run_dim(spark: SparkSession, path: str | list[str], depth: int = 2) -> DataFrame:
+    return parse_run_dim(read_documents(spark, path), depth)
+
+
+def parse_gradings(documents: DataFrame, depth: int = 2) -> DataFrame:
     """One row per grading report; `graded_runs` and `judge_failures` open it."""
-    return spark.read.text(path, wholetext=True).select(
-        run_id_of(F.col("_metadata.file_path"), depth).alias("run_id"),
+    return documents.select(
+        run_id_of(F.col("file_path"), depth).alias("run_id"),
         F.from_json("value", schemas.GRADINGS, {"mode": "FAILFAST"}).alias("_g"),
     ).select("run_id", F.col("_g.judge.id").alias("judge_id"), "_g.*")
 
 
+def read_gradings(spark: SparkSession, path: str | list[str], depth: int = 2) -> DataFrame:
+    return parse_gradings(read_documents(spark, path), depth)
+
+
 def _key_of(item: str) -> list[Column]:
     return [F.col(f"{item}.case_id").alias("case_id"),
             F.coalesce(f"{item}.repeat_index", F.lit(0)).alias("repeat_index"),
@@ -108,23 +123,32 @@ def judge_failures(reports: DataFrame) -> DataFrame:
         "run_id", "judge_id", *_key_of("_i"), "_i.error")
 
 
-def read_boolean_gold(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return _read_gold(spark, path, schemas.BOOLEAN_GOLD).select(
+def boolean_gold(documents: DataFrame) -> DataFrame:
+    return _gold(documents, schemas.BOOLEAN_GOLD).select(
         "calibration_id", "source_run", F.explode("annotations").alias("_a")
     ).select("calibration_id", "source_run", "_a.*")
 
 
-def read_score_gold(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return _read_gold(spark, path, schemas.SCORE_GOLD).select(
+def score_gold(documents: DataFrame) -> DataFrame:
+    return _gold(documents, schemas.SCORE_GOLD).select(
         "calibration_id", "source_run", "dimension_versions", F.explode("annotations").alias("_a")
     ).select(
         "calibration_id", "source_run", *_key_of("_a"), "_a.dimension", "_a.score", "_a.rationale",
         F.try_element_at("dimension_versions", F.col("_a.dimension")).alias("rubric_version"))
 
 
-def _read_gold(spark: SparkSession, path, schema) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(
-        F.from_json("value", schema, {"mode": "FAILFAST"}).alias("_g")).select("_g.*")
+def declared_dimensions(documents: DataFrame) -> DataFrame:
+    return _gold(documents, schemas.SCORE_GOLD).select(
+        "calibration_id", F.explode("dimension_versions").alias("dimension", "version"))
+
+
+def _gold(documents: DataFrame, schema: str) -> DataFrame:
+    return documents.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("_g")).select("_g.*")
+
+
+def read_human_gold(spark: SparkSession, path: str | list[str], scored: bool) -> DataFrame:
+    documents = read_documents(spark, path)
+    return score_gold(documents) if scored else boolean_gold(documents)
 
 
 def gold_problems(gold: DataFrame, declared: DataFrame, keys: list[str]) -> DataFrame:
@@ -145,12 +169,17 @@ def gold_problems(gold: DataFrame, declared: DataFrame, keys: list[str]) -> Data
         .unionByName(told(annotated.join(declared, where, "left_anti"), "annotated, not declared"))
 
 
+def newest(files: DataFrame, depth: int = 2) -> DataFrame:
+    """The run whose log file changed last. Input: path, modificationTime."""
+    last = F.max(F.struct("modificationTime", "path")).alias("_n")
+    return files.agg(last).select(
+        run_id_of(F.col("_n.path"), depth).alias("run_id"), F.col("_n.modificationTime").alias("modified_at"))
+
+
 def latest_run(spark: SparkSession, path: str | list[str], depth: int = 2) -> DataFrame:
-    """The run whose log file changed last."""
+    """Reads only names and times of the files, not their content."""
     files = spark.read.format("binaryFile").load(path).select("path", "modificationTime")
-    newest = F.max(F.struct("modificationTime", "path")).alias("_n")
-    return files.agg(newest).select(
-        run_id_of(F.col("_n.path"), depth).alias("run_id"), F.col("_n.modificationTime").alias("modified_at"))
+    return newest(files, depth)
 
 
 def trajectory_projection(runs: DataFrame) -> DataFrame:
