@@ -51,8 +51,12 @@ def is_present(value: Column) -> Column:
 def value_kind(value: Column) -> Column:
     """BOOLEAN, NUMBER, STRING, VOID, ARRAY or OBJECT."""
     schema = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
-    return F.when(schema.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), F.lit("NUMBER")) \
-        .otherwise(schema)
+    return F.regexp_replace(schema, "^(BIGINT|DECIMAL|DOUBLE|FLOAT)$", "NUMBER")
+
+
+def as_object(value: Column) -> Column:
+    """The value when it is a JSON object, else NULL."""
+    return F.when(F.schema_of_variant(value).startswith("OBJECT"), value)
 
 
 def value_incomplete(value: Column) -> Column:

@@ -50,24 +50,27 @@ def build_matrix(
         raise ValueError(f"repeats must be at least 1, got {repeats}")
     if not models or len(names) != len(models) or len(set(names)) != len(names):
         raise ValueError("models must be non-empty, named and unique")
-    turns = turn_count if turn_count is not None else F.lit(1)
     suite, execution = text.slug(F.lit(suite_id)), text.slug(F.lit(execution_id))
-    model_no = F.create_map(*[F.lit(x) for i, m in enumerate(models) for x in (m, i)])
+    axis = F.array(*[
+        F.struct(F.lit(m).alias("model_id"), text.slug(F.lit(m)).alias("slug"), F.lit(i).alias("model_order"))
+        for i, m in enumerate(models)])
+    turns = turn_count if turn_count is not None else F.lit(1)
     tasks = (
-        case_rows.withColumn("model_id", F.explode(F.array(*[F.lit(m) for m in models])))
+        case_rows.select("case_id", text.slug(F.col("case_id")).alias("_case"),
+                         turns.cast("int").alias("_turns"))
+        .withColumn("_model", F.explode(axis))
         .withColumn("repeat_index", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-        .withColumn("turn_index", F.explode(F.sequence(F.lit(1), turns.cast("int"))))
+        .withColumn("turn_index", F.explode(F.sequence(F.lit(1), F.col("_turns"))))
     )
-    model, case = text.slug(F.col("model_id")), text.slug(F.col("case_id"))
-    repeat = F.concat(F.lit("r"), F.col("repeat_index"))
+    model, repeat = F.col("_model.slug"), F.concat(F.lit("r"), F.col("repeat_index"))
     return tasks.select(
         F.lit(suite_id).alias("suite_id"), F.lit(execution_id).alias("execution_id"),
-        "model_id", "case_id", "repeat_index", "turn_index",
-        F.concat_ws(".", suite, model, case, F.concat(F.lit("t"), F.col("turn_index")), repeat)
+        "_model.model_id", "case_id", "repeat_index", "turn_index",
+        F.concat_ws(".", suite, model, "_case", F.concat(F.lit("t"), F.col("turn_index")), repeat)
         .alias("request_id"),
-        F.concat_ws(".", F.lit(session_prefix), execution, suite, model, case, repeat)
+        F.concat_ws(".", F.lit(session_prefix), execution, suite, model, "_case", repeat)
         .alias("session_id"),
-        model_no[F.col("model_id")].alias("model_order"),
+        "_model.model_order",
     )
 
 

@@ -15,16 +15,15 @@ BLOCK = 1 << 20
 
 
 def _blocked(df: DataFrame, order: str, block: int) -> DataFrame:
-    return df.withColumn("_block", F.floor(F.col(order) / F.lit(block)))
+    return df.withColumn("_block", F.expr(f"`{order}` div {block}L"))
 
 
 def running_totals(
     df: DataFrame, keys: list[str], order: str, totals: dict[str, Column], block: int = BLOCK,
 ) -> DataFrame:
     """Add, per name, the sum of its expression over the group up to and including the row."""
-    rows = _blocked(df, order, block)
-    for name, value in totals.items():
-        rows = rows.withColumn(f"_v_{name}", value)
+    rows = _blocked(df, order, block).withColumns(
+        {f"_v_{name}": value for name, value in totals.items()})
     block_sums = rows.groupBy(*keys, "_block").agg(
         *[F.sum(f"_v_{name}").alias(f"_s_{name}") for name in totals])
     earlier = Window.partitionBy(*keys).orderBy("_block") \
@@ -34,15 +33,13 @@ def running_totals(
         *[F.sum(f"_s_{name}").over(earlier).alias(f"_o_{name}") for name in totals])
     inside = Window.partitionBy(*keys, "_block").orderBy(order) \
         .rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.join(offsets, [*keys, "_block"])
-    for name in totals:
-        within = F.sum(f"_v_{name}").over(inside)
-        joined = joined.withColumn(
-            name,
-            F.when(within.isNotNull() | F.col(f"_o_{name}").isNotNull(),
-                   F.coalesce(within, F.lit(0)) + F.coalesce(F.col(f"_o_{name}"), F.lit(0))))
-    return joined.drop(
-        "_block", *[f"_v_{name}" for name in totals], *[f"_o_{name}" for name in totals])
+    joined = rows.join(offsets, [*keys, "_block"]).withColumns(
+        {f"_w_{name}": F.sum(f"_v_{name}").over(inside) for name in totals})
+    return joined.withColumns({
+        name: F.when(F.col(f"_w_{name}").isNotNull() | F.col(f"_o_{name}").isNotNull(),
+                     F.coalesce(f"_w_{name}", F.lit(0)) + F.coalesce(f"_o_{name}", F.lit(0)))
+        for name in totals
+    }).drop("_block", *[f"_{part}_{name}" for part in "vow" for name in totals])
 
 
 def positions(

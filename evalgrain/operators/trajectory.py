@@ -60,8 +60,7 @@ def argument_scores(events: DataFrame, assertions: DataFrame, keys: list[str]) -
     """
     calls = exact_calls(events).select(
         *keys, F.col("tool_name").alias("tool"), F.lit(True).alias("_call"),
-        F.when(args.value_kind(F.col("arguments")) == "OBJECT", F.col("arguments"))
-        .alias("_arguments"))
+        args.as_object(F.col("arguments")).alias("_arguments"))
     per_call = assertions.join(calls, [*keys, "tool"], "left") \
         .withColumn("_value", args.argument_value(F.col("_arguments"), F.col("path")))
     value = F.col("_value")

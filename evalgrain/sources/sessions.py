@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evalgrain.functions.arguments import redact_arguments, value_kind
+from evalgrain.functions.arguments import as_object, redact_arguments
 from evalgrain.operators import ordered
 from evalgrain.sources.lines import read_lines
 
@@ -12,6 +12,13 @@ from evalgrain.sources.lines import read_lines
 CALL_BLOCKS = ("toolcall", "tooluse", "functioncall")
 
 
+ENTRY = (
+    "type string, message struct<role: string, content: array<struct<type: string, id: string, "
+    "name: string, arguments: variant, input: variant, parameters: variant>>, toolName: string, "
+    "toolCallId: string, isError: boolean, timestamp: bigint>"
+)
+
+
 def session_events(lines: DataFrame, keys: list[str], source: str = "session") -> DataFrame:
     """Tool calls and results of each session, numbered in log order.
 
@@ -19,54 +26,38 @@ def session_events(lines: DataFrame, keys: list[str], source: str = "session") -
     Each line yields a short array; steps are numbered through the session by
     adding up event counts, so a long session is not gathered.
     """
-    entry = F.try_parse_json("value")
-    rows = lines.select(*keys, "line_no", entry.alias("_v")) \
-        .filter(_string(F.col("_v"), "$.type") == "message") \
-        .withColumn("_role", _string(F.col("_v"), "$.message.role"))
-    blocks = F.try_variant_get("_v", "$.message.content", "array<variant>")
-    calls = F.filter(F.transform(blocks, _call), lambda e: e["tool_name"].isNotNull())
-    result_name = _string(F.col("_v"), "$.message.toolName")
-    failed = F.try_variant_get("_v", "$.message.isError", "boolean")
-    stamp = F.try_variant_get("_v", "$.message.timestamp", "bigint")
-    result = F.array(F.struct(
-        F.lit("tool_result").alias("event_type"), result_name.alias("tool_name"),
-        _string(F.col("_v"), "$.message.toolCallId").alias("call_id"),
-        F.lit(None).cast("variant").alias("arguments"),
-        F.when(F.coalesce(failed, F.lit(False)), "failed").otherwise("success").alias("status"),
-        F.when(stamp >= 0, stamp).alias("timestamp_ms")))
-    found = F.when(F.col("_role") == "assistant", calls) \
-        .when((F.col("_role") == "toolResult") & (result_name != ""), result)
-    per_line = rows.select(*keys, "line_no", found.alias("_events")).filter(F.size("_events") > 0)
+    message = lines.filter(F.col("value").contains("message")) \
+        .select(*keys, "line_no", F.from_json("value", ENTRY).alias("_e")) \
+        .filter("_e.type = 'message'").select(*keys, "line_no", "_e.message.*")
+    blocks = F.filter("content", lambda x: F.coalesce(
+        F.lower(F.trim(x["type"])).isin(*CALL_BLOCKS) & (x["name"] != ""), F.lit(False)))
+    result = F.array(F.struct(*[
+        (F.col(column) if column else F.lit(None)).cast(kind).alias(name)
+        for name, column, kind in (
+            ("type", "role", "string"), ("id", "toolCallId", "string"), ("name", "toolName", "string"),
+            ("arguments", None, "variant"), ("input", None, "variant"), ("parameters", None, "variant"))]))
+    found = F.when(F.col("role") == "assistant", blocks) \
+        .when((F.col("role") == "toolResult") & (F.col("toolName") != ""), result)
     counted = ordered.running_totals(
-        per_line, keys, "line_no", {"_upto": F.size("_events").cast("bigint")})
+        message.select(*keys, "line_no", "role", "isError", "timestamp", found.alias("_found")),
+        keys, "line_no", {"_upto": F.coalesce(F.array_size("_found"), F.lit(0)).cast("bigint")})
     events = counted.select(
-        *keys, (F.col("_upto") - F.size("_events")).alias("_before"),
-        F.posexplode("_events").alias("_pos", "_e"))
+        *keys, "role", "isError", "timestamp", (F.col("_upto") - F.size("_found")).alias("_before"),
+        F.posexplode("_found").alias("_pos", "_e"))
+    is_call = F.col("role") == "assistant"
+    status = F.when(is_call, "started").when(F.coalesce("isError", F.lit(False)), "failed") \
+        .otherwise("success")
+    arguments = F.coalesce(*[as_object(F.col(f"_e.{f}")) for f in ("arguments", "input", "parameters")])
     return events.select(
         *keys, (F.col("_before") + F.col("_pos") + 1).cast("int").alias("step_index"),
-        "_e.event_type", F.col("_e.tool_name").alias("name"), "_e.tool_name", "_e.call_id",
-        F.col("_e.arguments").alias("arguments"), "_e.status", F.lit("exact").alias("evidence_level"),
-        "_e.timestamp_ms", F.lit(source).alias("source"),
+        F.when(is_call, "tool_call").otherwise("tool_result").alias("event_type"),
+        "_e.name", F.col("_e.name").alias("tool_name"), F.col("_e.id").alias("call_id"),
+        arguments.alias("arguments"), status.alias("status"), F.lit("exact").alias("evidence_level"),
+        F.when(~is_call & (F.col("timestamp") >= 0), F.col("timestamp")).alias("timestamp_ms"),
+        F.lit(source).alias("source"),
     ).withColumn("arguments", redact_arguments(F.col("arguments")))
 
 
-def _string(value: Column, path: str) -> Column:
-    node = F.try_variant_get(value, path, "variant")
-    return F.when(F.schema_of_variant(node) == "STRING", F.try_variant_get(value, path, "string"))
-
-
-def _call(block: Column) -> Column:
-    kind = F.lower(F.trim(_string(block, "$.type")))
-    name = _string(block, "$.name")
-    options = [F.try_variant_get(block, f"$.{f}", "variant") for f in ("arguments", "input", "parameters")]
-    objects = [F.when(value_kind(o) == "OBJECT", o) for o in options]
-    return F.struct(
-        F.lit("tool_call").alias("event_type"),
-        F.when(kind.isin(*CALL_BLOCKS) & (name != ""), name).alias("tool_name"),
-        _string(block, "$.id").alias("call_id"), F.coalesce(*objects).alias("arguments"),
-        F.lit("started").alias("status"), F.lit(None).cast("bigint").alias("timestamp_ms"))
-
-
 def read_session_events(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Events of all session files; a file is a session."""
     return session_events(read_lines(spark, path), ["file_path"])
