@@ -64,14 +64,15 @@ def with_previous(
 
 
 def first_of(df: DataFrame, keys: list[str], order: Column, columns: list[str]) -> DataFrame:
-    """One row per group: its columns at the smallest order value. Combines before the shuffle."""
-    picked = F.min(F.struct(order.alias("_order"), *columns)).alias("_picked")
-    return df.groupBy(*keys).agg(picked).select(*keys, *[f"_picked.{c}" for c in columns])
+    """One row per group: its columns at the smallest order value, which must be unique.
+
+    Combines before the shuffle; for fixed-width columns in a hash table.
+    """
+    return df.groupBy(*keys).agg(*[F.min_by(c, order).alias(c) for c in columns])
 
 
 def last_of(df: DataFrame, keys: list[str], order: Column, columns: list[str]) -> DataFrame:
-    picked = F.max(F.struct(order.alias("_order"), *columns)).alias("_picked")
-    return df.groupBy(*keys).agg(picked).select(*keys, *[f"_picked.{c}" for c in columns])
+    return df.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in columns])
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:

@@ -19,23 +19,29 @@ METRICS = (
 )
 
 
-def same_set(left: Column, right: Column) -> Column:
-    return F.array_sort(F.array_distinct(left)) == F.array_sort(F.array_distinct(right))
+def as_set(labels: Column) -> Column:
+    return F.sort_array(F.array_distinct(labels))
 
 
 def first_label(labels: Column) -> Column:
     return F.coalesce(F.try_element_at(labels, F.lit(1)), F.lit(NO_LABEL))
 
 
+def with_gold(cases: DataFrame) -> DataFrame:
+    """Add what `judge` needs from `expected`. Done per case, before the join with runs."""
+    expected = F.coalesce("expected", F.array().cast("array<string>"))
+    return cases.withColumns({
+        "expected_set": as_set(expected), "n_expected": F.size(F.array_distinct(expected)),
+        "truth": first_label(expected)})
+
+
 def judge(rows: DataFrame) -> DataFrame:
     """Evaluable rows with `exact`, `n_expected`, `truth` and `predicted`."""
-    none = F.array().cast("array<string>")
-    expected, selected = F.coalesce("expected", none), F.coalesce("selected", none)
-    return evaluable_routing_runs(rows).select(
-        "run_id", "case_id", "repeat_index", "severity", "type", "stage", "line_no",
-        F.size(F.array_distinct(expected)).alias("n_expected"),
-        same_set(expected, selected).alias("exact"),
-        first_label(expected).alias("truth"),
+    known = rows if "expected_set" in rows.columns else with_gold(rows)
+    selected = F.coalesce("selected", F.array().cast("array<string>"))
+    return evaluable_routing_runs(known).select(
+        "run_id", "case_id", "repeat_index", "severity", "type", "stage", "line_no", "n_expected",
+        (F.col("expected_set") == as_set(selected)).alias("exact"), "truth",
         first_label(selected).alias("predicted"),
     )
 

@@ -227,19 +227,33 @@ def score_structured(
     run_keys: DataFrame, expectations: DataFrame, events: DataFrame, assertions: DataFrame,
     artifacts: DataFrame, keys: list[str], summary: DataFrame | None = None,
 ) -> DataFrame:
-    """All five deterministic dimensions per run turn; NULL where nothing can be proven."""
-    parts = [
-        tool_selection(expectations, observed_tools(events, keys, summary), keys),
-        argument_correctness(argument_scores(events, assertions, keys), keys),
-        order_correctness(events, expectations, keys),
-        state_persistence(expectations, events, artifacts, keys),
-        verification_rate(expectations, events, artifacts, keys),
-        evidence_level(run_keys, events, keys),
-    ]
-    out = run_keys.select(*keys)
-    for part in parts:
-        out = out.join(part, keys, "left")
-    return out
+    """All five deterministic dimensions per run turn; NULL where nothing can be proven.
+
+    The dimensions are stacked and brought together by one aggregation, not by
+    a join each.
+    """
+    parts = {
+        "tool_selection": tool_selection(expectations, observed_tools(events, keys, summary), keys),
+        "argument_correctness": argument_correctness(argument_scores(events, assertions, keys), keys),
+        "order_correctness": order_correctness(events, expectations, keys),
+        "state_persistence": state_persistence(expectations, events, artifacts, keys),
+        "verification_rate": verification_rate(expectations, events, artifacts, keys),
+    }
+    exact = F.when(F.col("evidence_level") == "exact", 1.0).otherwise(0.0)
+    stacked = run_keys.select(
+        *keys, F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("value"))
+    stacked = stacked.unionByName(events.select(*keys, F.lit("_exact").alias("metric"), exact.alias("value")))
+    for name, part in parts.items():
+        stacked = stacked.unionByName(
+            part.select(*keys, F.lit(name).alias("metric"), F.col(name).alias("value")))
+
+    def value(name: str) -> Column:
+        return F.max(F.when(F.col("metric") == name, F.col("value")))
+
+    wide = stacked.groupBy(*keys).agg(
+        *[value(name).alias(name) for name in parts], value("_exact").alias("_exact"))
+    level = F.when(F.col("_exact") == 1, "exact").when(F.col("_exact") == 0, "coarse").otherwise("missing")
+    return wide.withColumn("evidence_level", level).drop("_exact")
 
 
 def trajectory_means(structured: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ same in SQL for the oracle. All rows of the source tables are used.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -19,12 +21,27 @@ class Lake:
     """Reads the given tables of one scale factor."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+        self.spark, self.folder, self._plans = spark, folder.rstrip("/"), {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.plan(name, lambda: self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
+
+    def plan(self, name: str, make) -> DataFrame:
+        """One lazy plan per name: parts of a query that read the same table share it."""
+        if name not in self._plans:
+            self._plans[name] = make()
+        return self._plans[name]
+
+
+def shared(function):
+    """A binding built once per query."""
+    @wraps(function)
+    def once(lake: Lake) -> DataFrame:
+        return lake.plan(f"{function.__module__}.{function.__name__}", lambda: function(lake))
+
+    return once
 
 
 TYPES = ("pos", "amb", "multi", "rej")
@@ -59,6 +76,7 @@ cases AS (
 )"""
 
 
+@shared
 def cases(lake: Lake) -> DataFrame:
     """Stage is declared for some cases only; `functions.cases.case_stage` fills the rest."""
     key = F.col("o_orderkey")
@@ -117,6 +135,7 @@ runs AS (
 )"""
 
 
+@shared
 def runs(lake: Lake) -> DataFrame:
     """Records in the shape of the run log; (case, repeat) may repeat in a run."""
     quantity, flag, line = F.col("l_quantity"), F.col("l_returnflag"), F.col("l_linenumber")
@@ -202,6 +221,7 @@ turns AS (
 )"""
 
 
+@shared
 def turns(lake: Lake) -> DataFrame:
     """Scored turns: the output shape of `execution.score_turns`."""
     n, turn, role = F.length("text"), F.col("turn"), F.col("role")
@@ -246,6 +266,7 @@ ev AS (
 ), ek AS (SELECT DISTINCT run_id, case_id, repeat_index, turn_index, user_id FROM ev)"""
 
 
+@shared
 def events(lake: Lake) -> DataFrame:
     kind = F.col("event_type")
     k = F.get_json_object("props", "$.k").cast("int")
@@ -292,6 +313,7 @@ caseset AS (
 )"""
 
 
+@shared
 def caseset(lake: Lake) -> DataFrame:
     n, source = F.col("n_chars"), F.col("source")
     kind = F.element_at(F.array(*[F.lit(t) for t in TYPES]), (F.col("doc_id") % 4).cast("int") + 1)
@@ -317,6 +339,7 @@ judged AS (
 )"""
 
 
+@shared
 def judged(lake: Lake) -> DataFrame:
     """One human and one machine judgement per labelled document; toxic ones are failed calls."""
     docs = lake.documents.select("doc_id", "lang", "source", "n_chars")
@@ -341,6 +364,7 @@ scores AS (
 )"""
 
 
+@shared
 def scores(lake: Lake) -> DataFrame:
     """(run_id, metric, value) with one metric one run does not have."""
     known = ~((F.col("o_orderpriority") == "3-MEDIUM") & (F.col("o_orderstatus") == "P"))

@@ -25,6 +25,7 @@ sess AS (SELECT run_id, case_id, repeat_index, max(turn_index) AS max_turn, coun
 KEPT = (b.TURNS_SQL, KEPT_SQL)
 
 
+@b.shared
 def kept(lake: Lake) -> DataFrame:
     return joins.drop_system_conversations(b.turns(lake))
 
@@ -59,6 +60,7 @@ st AS (SELECT *, ok AND art_hits = art_total AND tool_hits = tool_total AND work
 SCORED = (b.CASES_SQL, b.RUNS_SQL, SCORED_SQL)
 
 
+@b.shared
 def expectations(lake: Lake) -> DataFrame:
     """Expectations of turn 1 with compiled patterns; stage and type come with the case."""
     c = b.cases(lake)
@@ -72,6 +74,7 @@ def expectations(lake: Lake) -> DataFrame:
         "tool_rules", "forbid_artifacts", F.lit(False).alias("requires_context"))
 
 
+@b.shared
 def scored(lake: Lake) -> DataFrame:
     rows = joins.runs_with_case(b.runs(lake), expectations(lake))
     return execution.score_turns(rows.withColumn("catalog", b.strings("A", "N", "F")))

@@ -20,8 +20,8 @@ def routing_rows(runs: DataFrame, cases: DataFrame, on: list[str] | None = None)
         else F.lit(False)
     traces = F.col("expect_trajectory").isNotNull() if "expect_trajectory" in cases.columns \
         else F.lit(False)
-    gold = cases.select(
-        *(on or ["case_id"]), "expected", "severity", case_type(F.col("case_id")).alias("type"),
+    gold = routing.with_gold(cases).select(
+        *(on or ["case_id"]), "expected", "expected_set", "n_expected", "truth", "severity", case_type(F.col("case_id")).alias("type"),
         case_functions.case_stage(
             F.col("stage"), F.coalesce("tags", none), claimed("expect_artifacts") | forbids,
             claimed("expect_tools") | traces).alias("stage"))

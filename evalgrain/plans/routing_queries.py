@@ -26,14 +26,17 @@ routed AS (
 ROUTED = (b.CASES_SQL, b.RUNS_SQL, ROUTED_SQL)
 
 
+@b.shared
 def routed(lake: Lake) -> DataFrame:
     return report.routing_rows(b.runs(lake), b.cases(lake))
 
 
+@b.shared
 def judged(lake: Lake) -> DataFrame:
     return routing.judge(routed(lake))
 
 
+@b.shared
 def run_dim(lake: Lake) -> DataFrame:
     """One row per run, with a third run that left no record."""
     gate = F.create_map(*[F.lit(x) for x in (
@@ -425,6 +428,7 @@ chk AS (SELECT dim.run_id, gate.metric, gate.condition, long.actual,
         FROM dim CROSS JOIN gate LEFT JOIN long ON long.run_id = dim.run_id AND long.metric = gate.metric)"""
 
 
+@b.shared
 def long_scores(lake: Lake) -> DataFrame:
     return routing.long_scores(routing.scores(judged(lake)), routing.METRICS)
 
@@ -443,6 +447,7 @@ vd AS (SELECT dim.run_id, coalesce(n, 0) AS n_runs, coalesce(s, 0) AS n_system_f
    FROM dim LEFT JOIN cnt USING (run_id) LEFT JOIN oc USING (run_id))"""
 
 
+@b.shared
 def verdicts(lake: Lake) -> DataFrame:
     return report.verdicts(run_dim(lake), b.runs(lake), long_scores(lake))
 

@@ -24,6 +24,7 @@ arts AS (SELECT DISTINCT run_id, case_id, CAST(k AS VARCHAR) AS path FROM ev WHE
 BASE = (b.EVENTS_SQL, EXPECT_SQL)
 
 
+@b.shared
 def expectations(lake: Lake) -> DataFrame:
     user = F.col("user_id")
     return b.event_keys(b.events(lake)).select(
@@ -37,6 +38,7 @@ def expectations(lake: Lake) -> DataFrame:
         b.strings("view").alias("verification_tools"))
 
 
+@b.shared
 def artifacts(lake: Lake) -> DataFrame:
     return b.events(lake).filter("tool_name = 'signup'") \
         .select(*K, F.col("k").cast("string").alias("path")).distinct()
@@ -46,6 +48,7 @@ def _json(text: str) -> Column:
     return F.parse_json(F.lit(text))
 
 
+@b.shared
 def assertions(lake: Lake) -> DataFrame:
     """Six assertions per run turn, one of each matcher and a second equals."""
     none, no_list = F.lit(None).cast("variant"), F.lit(None).cast("array<variant>")
@@ -104,6 +107,7 @@ scored AS (SELECT per.run_id, per.case_id, assertion_index, tool, matcher, relev
    FROM per LEFT JOIN anyx ON anyx.run_id = per.run_id AND anyx.case_id = per.case_id)"""
 
 
+@b.shared
 def scored(lake: Lake) -> DataFrame:
     return trajectory.argument_scores(b.events(lake), assertions(lake), K)
 
@@ -224,6 +228,7 @@ tm AS (SELECT run_id, unnest(['tool_selection', 'argument_correctness', 'order_c
 STRUCTURED = (*BASE, SELECTION_SQL, ARGUMENTS_SQL, ORDER_SQL, STATE_SQL, READBACK_SQL, STRUCTURED_SQL)
 
 
+@b.shared
 def structured(lake: Lake) -> DataFrame:
     rows = b.events(lake)
     return trajectory.score_structured(

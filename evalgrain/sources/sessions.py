@@ -28,7 +28,7 @@ def session_events(lines: DataFrame, keys: list[str], source: str = "session") -
     """
     message = lines.filter(F.col("value").contains("message")) \
         .select(*keys, "line_no", F.from_json("value", ENTRY).alias("_e")) \
-        .filter("_e.type = 'message'").select(*keys, "line_no", "_e.message.*")
+        .select(*keys, "line_no", (F.col("_e.type") == "message").alias("_is_message"), "_e.message.*")
     blocks = F.filter("content", lambda x: F.coalesce(
         F.lower(F.trim(x["type"])).isin(*CALL_BLOCKS) & (x["name"] != ""), F.lit(False)))
     result = F.array(F.struct(*[
@@ -36,8 +36,8 @@ def session_events(lines: DataFrame, keys: list[str], source: str = "session") -
         for name, column, kind in (
             ("type", "role", "string"), ("id", "toolCallId", "string"), ("name", "toolName", "string"),
             ("arguments", None, "variant"), ("input", None, "variant"), ("parameters", None, "variant"))]))
-    found = F.when(F.col("role") == "assistant", blocks) \
-        .when((F.col("role") == "toolResult") & (F.col("toolName") != ""), result)
+    found = F.when(F.col("_is_message") & (F.col("role") == "assistant"), blocks) \
+        .when(F.col("_is_message") & (F.col("role") == "toolResult") & (F.col("toolName") != ""), result)
     counted = ordered.running_totals(
         message.select(*keys, "line_no", "role", "isError", "timestamp", found.alias("_found")),
         keys, "line_no", {"_upto": F.coalesce(F.array_size("_found"), F.lit(0)).cast("bigint")})
