@@ -5,7 +5,11 @@ Cases: set_id, id, prompt, gold (array), line_no.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import BooleanType
 
 from evalgrain.functions.cases import (
     CASE_ID_PATTERN, CONTENT_PATH_SEGMENTS, GOLD_VALUE_LIMIT, SECRET_PATH_PARTS,
@@ -199,6 +203,35 @@ def expectation_problems(assertions: DataFrame) -> DataFrame:
     return assertions.withColumn("problem", F.explode(problems))
 
 
+@F.pandas_udf(BooleanType())
+def _compiles(patterns: pd.Series) -> pd.Series:
+    def check(pattern) -> bool | None:
+        if pattern is None:
+            return None
+        try:
+            re.compile(pattern)
+        except re.error:
+            return False
+        return True
+
+    return patterns.map(check)
+
+
+def regex_problems(assertions: DataFrame) -> DataFrame:
+    """Assertions whose regex does not compile. Each distinct regex is tried once."""
+    broken = assertions.filter("matches IS NOT NULL").select("matches").distinct() \
+        .filter(~_compiles(F.col("matches")))
+    return assertions.join(broken, "matches", "left_semi") \
+        .withColumn("problem", F.lit("regex does not compile"))
+
+
+def repeated_assertions(assertions: DataFrame, keys: list[str]) -> DataFrame:
+    """Argument assertions declared more than once for the same turn."""
+    rule = F.to_json(F.struct("tool", "path", "required", "forbidden", "equals", "in_values", "matches"))
+    return joins.duplicate_keys(assertions.withColumn("rule", rule), [*keys, "rule"]) \
+        .select(*keys, F.lit("assertion repeated").alias("problem"))
+
+
 def tool_list_problems(expectations: DataFrame) -> DataFrame:
     """Contradictions in the tool lists of a trajectory expectation."""
     def repeated(column: str) -> Column:

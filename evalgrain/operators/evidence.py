@@ -117,8 +117,8 @@ def cluster_violations(clusters: DataFrame, evidence: DataFrame, failures: DataF
     texts = failures.select(
         "set_id", "case_id", F.explode(F.array_compact(F.array("raw_output", "failure_detail")))
         .alias("_text")).withColumn("_hay", quotable(F.col("_text"))).drop("_text")
-    found = quotes.join(texts, ["set_id", "case_id"], "left").groupBy(*key, "_needle").agg(
-        F.coalesce(F.bool_or(F.col("_hay").contains(F.col("_needle"))), F.lit(False)).alias("_ok"))
+    found = texts.join(quotes, ["set_id", "case_id"]) \
+        .filter(F.col("_hay").contains(F.col("_needle"))).select(*key, "_needle").distinct()
     cluster_count = clusters.groupBy("set_id").agg(F.count_distinct("cluster_id").alias("_clusters"))
     case_count = failing.groupBy("set_id").agg(F.count(F.lit(1)).alias("_cases"))
     unclustered = case_count.join(cluster_count, "set_id") \
@@ -128,7 +128,8 @@ def cluster_violations(clusters: DataFrame, evidence: DataFrame, failures: DataF
     return (
         report(named.join(failing, ["set_id", "case_id"], "left_anti"), "not a failing case")
         .unionByName(report(evidence.join(named, key, "left_anti"), "evidence outside its cluster"))
-        .unionByName(report(found.filter("NOT _ok"), "quote not in the case's output"))
+        .unionByName(report(quotes.join(found, [*key, "_needle"], "left_anti"),
+                            "quote not in the case's output"))
         .unionByName(report(failing.join(named, ["set_id", "case_id"], "left_anti"), "case not covered"))
         .unionByName(report(joins.duplicate_keys(clusters, ["set_id", "case_id"]), "case in two clusters"))
         .unionByName(unclustered)

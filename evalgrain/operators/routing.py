@@ -87,11 +87,23 @@ def by_stage(judged: DataFrame) -> DataFrame:
 
 
 def confusion_matrix(judged: DataFrame) -> DataFrame:
-    """Cells with a count, over cases that expect at most one skill; absent cells are zero."""
+    """Cells with a count, over cases that expect at most one skill; see `dense_confusion` for zeros."""
     return judged.filter("n_expected <= 1").groupBy("run_id", "truth", "predicted") \
         .agg(F.count(F.lit(1)).alias("n"))
 
 
+def dense_confusion(matrix: DataFrame, labels: list[str]) -> DataFrame:
+    """One row per run and true label, one column per predicted label, zeros filled in.
+
+    `labels` is the axis: the skills of the catalog and the no-skill label.
+    """
+    runs = matrix.select("run_id").distinct() \
+        .withColumn("truth", F.explode(F.array(*[F.lit(x) for x in labels])))
+    counts = matrix.groupBy("run_id", "truth").agg(*[
+        F.sum(F.when(F.col("predicted") == x, F.col("n"))).alias(x) for x in labels])
+    return runs.join(counts, ["run_id", "truth"], "left").fillna(0, labels)
+
+
 def confusion_labels(matrix: DataFrame) -> DataFrame:
     """The label axis of each run's matrix, the no-skill label last."""
     labels = matrix.select("run_id", F.explode(F.array("truth", "predicted")).alias("label")) \

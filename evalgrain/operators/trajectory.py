@@ -56,12 +56,14 @@ def argument_scores(events: DataFrame, assertions: DataFrame, keys: list[str]) -
     """One row per assertion of each run turn: score 1, 0 or NULL, status and counts.
 
     `assertions`: keys, assertion_index, tool, path, matcher (required,
-    forbidden, equals, in, matches), equals, in_values, matches.
+    forbidden, equals, in, matches), equals, in_values, matches. Calls meet
+    their assertions in an inner join, whose larger side can be split when one
+    run turn holds most calls; assertions nobody met come back afterwards.
     """
     calls = exact_calls(events).select(
-        *keys, F.col("tool_name").alias("tool"), F.lit(True).alias("_call"),
+        *keys, F.col("tool_name").alias("tool"),
         args.as_object(F.col("arguments")).alias("_arguments"))
-    per_call = assertions.join(calls, [*keys, "tool"], "left") \
+    per_call = calls.join(assertions, [*keys, "tool"]) \
         .withColumn("_value", args.argument_value(F.col("_arguments"), F.col("path")))
     value = F.col("_value")
     complete = value.isNotNull() & ~args.value_incomplete(value)
@@ -72,9 +74,9 @@ def argument_scores(events: DataFrame, assertions: DataFrame, keys: list[str]) -
         .when(F.col("matcher") == "matches", (args.value_kind(value) == "STRING") & F.regexp_like(
             F.try_variant_get(value, "$", "string"), F.col("matches")))
     )
-    judged = per_call.groupBy(*keys, "assertion_index", "tool", "matcher").agg(
-        F.count("_call").alias("relevant_calls"),
-        F.count_if(F.col("_call") & F.col("_arguments").isNull()).alias("unknown_calls"),
+    judged = per_call.groupBy(*keys, "assertion_index").agg(
+        F.count(F.lit(1)).alias("relevant_calls"),
+        F.count_if(F.col("_arguments").isNull()).alias("unknown_calls"),
         F.coalesce(F.bool_or(value.isNotNull()), F.lit(False)).alias("present"),
         F.coalesce(F.bool_or(value.isNotNull() & ~complete), F.lit(False)).alias("incomplete"),
         F.coalesce(F.bool_or(complete & meets), F.lit(False)).alias("met"))
@@ -93,7 +95,10 @@ def argument_scores(events: DataFrame, assertions: DataFrame, keys: list[str]) -
         .when(unknown | F.col("incomplete"), no_score)
         .otherwise(0.0)
     )
-    scored = judged.join(any_exact, keys, "left").withColumn("score", score)
+    asked = assertions.select(*keys, "assertion_index", "tool", "matcher")
+    scored = asked.join(judged, [*keys, "assertion_index"], "left").join(any_exact, keys, "left") \
+        .withColumn("relevant_calls", F.coalesce("relevant_calls", F.lit(0))) \
+        .withColumn("score", score)
     status = F.when(F.col("score") == 1, "passed").when(F.col("score") == 0, "failed") \
         .otherwise("insufficient_evidence")
     return scored.select(

@@ -187,6 +187,22 @@ def expectation_checks(lake: Lake) -> DataFrame:
     return caseset.expectation_problems(rows).select("p_partkey", "problem")
 
 
+@query("B24_regex_and_repeat_checks", """
+SELECT p_partkey, 'regex does not compile' AS problem FROM part WHERE p_size % 10 = 5
+UNION ALL SELECT p_partkey, 'assertion repeated' FROM part WHERE p_size % 10 = 6""")
+def regex_and_repeat_checks(lake: Lake) -> DataFrame:
+    size = F.col("p_size") % 10
+    copies = F.when(size == 6, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = lake.part.select(
+        "p_partkey", F.explode(copies).alias("assertion_index"), F.lit("write").alias("tool"),
+        F.lit("opts.name").alias("path"), F.lit(None).cast("boolean").alias("required"),
+        F.lit(None).cast("boolean").alias("forbidden"), F.lit(None).cast("variant").alias("equals"),
+        F.lit(None).cast("array<variant>").alias("in_values"),
+        F.when(size == 5, F.concat("p_brand", F.lit("("))).otherwise(F.concat("p_brand", F.lit("$"))).alias("matches"))
+    return caseset.regex_problems(rows).select("p_partkey", "problem").unionByName(
+        caseset.repeated_assertions(rows, ["p_partkey"]))
+
+
 @query("B24_tool_list_checks", """
 SELECT o_orderkey, problem FROM (SELECT o_orderkey, unnest([
    CASE WHEN o_orderpriority = '1-URGENT' THEN 'required_tools repeated' END,

@@ -146,6 +146,15 @@ def confusion_matrix(lake: Lake) -> DataFrame:
     return routing.confusion_matrix(judged(lake))
 
 
+@query("D10_dense_confusion", sql(*ROUTED, MATRIX_SQL, """
+SELECT r.run_id, l.truth, coalesce(sum(CASE WHEN predicted = 'A' THEN n END), 0)::BIGINT AS "A", coalesce(sum(CASE WHEN predicted = 'N' THEN n END), 0)::BIGINT AS "N",
+       coalesce(sum(CASE WHEN predicted = 'X' THEN n END), 0)::BIGINT AS "X", coalesce(sum(CASE WHEN predicted = '∅' THEN n END), 0)::BIGINT AS "∅"
+FROM (SELECT DISTINCT run_id FROM cells) r CROSS JOIN (VALUES ('A'), ('N'), ('X'), ('∅')) l(truth)
+LEFT JOIN cells ON cells.run_id = r.run_id AND cells.truth = l.truth GROUP BY 1, 2"""))
+def dense_confusion(lake: Lake) -> DataFrame:
+    return routing.dense_confusion(routing.confusion_matrix(judged(lake)), ["A", "N", "X", text.NO_LABEL])
+
+
 @query("D10_confusion_labels", sql(*ROUTED, MATRIX_SQL, """
 SELECT run_id, label, label = '∅' AS is_none FROM
   (SELECT run_id, truth AS label FROM cells UNION SELECT run_id, predicted FROM cells) x"""))

@@ -191,5 +191,5 @@ def trajectory_projection(runs: DataFrame) -> DataFrame:
 
 
 def write_scores(scores: DataFrame, path: str) -> None:
-    """Write a new score table; an existing one is never replaced."""
-    scores.write.mode("errorifexists").partitionBy("run_id").parquet(path)
+    """Write a new score table, one file per run; an existing table is never replaced."""
+    scores.repartition("run_id").write.mode("errorifexists").partitionBy("run_id").parquet(path)

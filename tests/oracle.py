@@ -47,6 +47,9 @@ def _rows(columns, rows):
 def compare(spark, con, name: str, function, sql: str, folder: str) -> str | None:
     """None when both agree, else what differs."""
     df = function(spark, folder)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "CartesianProduct" in plan or "NestedLoopJoin" in plan:
+        return "the plan pairs all rows"
     ours = [tuple(r) for r in df.collect()]
     cursor = con.execute(sql)
     names = [d[0] for d in cursor.description]
