@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from evalgrain.functions import cases as case_functions, text, usage
 from evalgrain.operators import (
@@ -334,8 +334,8 @@ SELECT 'run-F' AS baseline, 'run-O' AS treatment, x.case_id FROM rates x JOIN ra
 WHERE x.run_id = 'run-F' AND y.run_id = 'run-O' AND x.rate >= 1 AND y.rate >= 1"""))
 def non_discriminating(lake: Lake) -> DataFrame:
     rates = judged(lake).groupBy("run_id", "case_id").agg(F.avg(F.col("exact").cast("double")).alias("rate"))
-    pairs = lake.region.filter("r_name = 'ASIA'").select(
-        F.lit("run-F").alias("baseline"), F.lit("run-O").alias("treatment"))
+    pairs = b.runs(lake).groupBy(F.substring("run_id", 1, 3).alias("set_id")).agg(
+        F.min("run_id").alias("baseline"), F.max("run_id").alias("treatment"))
     return stats.non_discriminating(rates, pairs).select("baseline", "treatment", "case_id")
 
 
@@ -595,28 +595,31 @@ def semantic_mean(lake: Lake) -> DataFrame:
 # --- comparison ---------------------------------------------------------------
 
 
-def members(lake: Lake) -> DataFrame:
-    return lake.orders.select(F.col("o_orderpriority").alias("run_id")).distinct().select(
-        F.lit("cmp").alias("set_id"), "run_id", F.lit("1-URGENT").alias("baseline"))
+def members(runs: DataFrame, set_id: Column) -> DataFrame:
+    """Runs with their comparison set; the smallest run id of a set is its baseline."""
+    named = runs.select("run_id").distinct().withColumn("set_id", set_id)
+    first = named.groupBy("set_id").agg(F.min("run_id").alias("baseline"))
+    return named.join(first, "set_id")
 
 
 @query("K2_metric_delta", sql(b.SCORES_SQL, """
-SELECT 'cmp' AS set_id, r.run_id, m.metric, s.value, base.value AS base_value, s.value - base.value AS delta
-FROM (SELECT DISTINCT o_orderpriority AS run_id FROM orders) r CROSS JOIN (SELECT DISTINCT metric FROM scores) m
+SELECT r.set_id, r.run_id, m.metric, s.value, base.value AS base_value, s.value - base.value AS delta
+FROM (SELECT DISTINCT o_orderpriority AS run_id, CASE WHEN o_orderpriority < '3' THEN 'urgent' ELSE 'normal' END AS set_id FROM orders) r
+CROSS JOIN (SELECT DISTINCT metric FROM scores) m
 LEFT JOIN scores s ON s.run_id = r.run_id AND s.metric = m.metric
-LEFT JOIN scores base ON base.run_id = '1-URGENT' AND base.metric = m.metric"""))
+LEFT JOIN scores base ON base.run_id = CASE r.set_id WHEN 'urgent' THEN '1-URGENT' ELSE '3-MEDIUM' END AND base.metric = m.metric"""))
 def metric_delta(lake: Lake) -> DataFrame:
-    return compare.metric_delta(b.scores(lake), members(lake))
+    sets = members(b.scores(lake), F.when(F.col("run_id") < "3", "urgent").otherwise("normal"))
+    return compare.metric_delta(b.scores(lake), sets)
 
 
 @query("K4_efficiency_delta", sql(b.RUNS_SQL, EFFICIENCY_SQL, """,
 long AS (UNPIVOT eff ON time_seconds, tokens, tool_calls, errors INTO NAME metric VALUE v),
 m AS (SELECT run_id, metric, avg(v) AS value FROM long GROUP BY 1, 2)
-SELECT 'x' AS set_id, a.run_id, a.metric, round(a.value, 6) AS value, round(z.value, 6) AS base_value, round(a.value - z.value, 6) AS delta
+SELECT 'run' AS set_id, a.run_id, a.metric, round(a.value, 6) AS value, round(z.value, 6) AS base_value, round(a.value - z.value, 6) AS delta
 FROM m a JOIN m z ON a.metric = z.metric AND z.run_id = 'run-F'"""))
 def efficiency_delta(lake: Lake) -> DataFrame:
-    sets = b.runs(lake).select("run_id").distinct().select(
-        F.lit("x").alias("set_id"), "run_id", F.lit("run-F").alias("baseline"))
+    sets = members(b.runs(lake), F.substring("run_id", 1, 3))
     return rounded(compare.efficiency_delta(stats.efficiency(b.runs(lake)), sets),
                    ("value", "base_value", "delta"))
 
