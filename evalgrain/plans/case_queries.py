@@ -295,9 +295,14 @@ def resolve_catalog(lake: Lake) -> DataFrame:
 
 
 @query("C10_catalog_violations", """
-SELECT s_name AS run_id, 'Brand#99' AS skill_id, 'unknown included skill' AS problem FROM supplier WHERE s_nationkey < 5
-UNION ALL SELECT s_name, 'Brand#1', 'unknown version' FROM supplier WHERE s_acctbal > 5000
-  AND CASE WHEN s_nationkey > 12 THEN 'ECONOMY' ELSE 'SMALL' END NOT IN (SELECT p_type FROM part WHERE p_brand = 'Brand#1' AND p_size = 7)""")
+WITH r AS (SELECT s_name AS run_id, CASE WHEN s_nationkey > 12 THEN 'ECONOMY' ELSE 'SMALL' END AS root, s_nationkey, s_acctbal FROM supplier),
+named AS (SELECT run_id, root, 'Brand#1' AS skill_id, 'unknown pinned skill' AS problem FROM r WHERE s_acctbal > 5000
+  UNION ALL SELECT run_id, root, unnest(['Brand#1', 'Brand#2', 'Brand#99']), 'unknown included skill' FROM r WHERE s_nationkey < 5
+  UNION ALL SELECT run_id, root, 'Brand#2', 'unknown excluded skill' FROM r WHERE s_nationkey > 20)
+SELECT run_id, skill_id, problem FROM named WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_type = root AND p_brand = skill_id)
+UNION ALL SELECT run_id, 'Brand#1', 'unknown version' FROM r WHERE s_acctbal > 5000
+  AND EXISTS (SELECT 1 FROM part WHERE p_type = root AND p_brand = 'Brand#1')
+  AND NOT EXISTS (SELECT 1 FROM part WHERE p_type = root AND p_brand = 'Brand#1' AND p_size = 7)""")
 def catalog_violations(lake: Lake) -> DataFrame:
     runs, pins, include, exclude = settings(lake)
     return joins.catalog_violations(runs, skills(lake), pins, include, exclude)
