@@ -293,9 +293,9 @@ def trajectory_projection(lake: Lake) -> DataFrame:
 
 
 @query("A13_latest_run", """
-SELECT arg_max('orders/' || o_orderkey, (o_orderdate, 'logs/orders/' || o_orderkey || '/runs.jsonl')) AS run_id, max(o_orderdate) AS modified_at FROM orders""")
+SELECT arg_max('orders/' || o_orderkey, (o_orderdate, 'logs/orders/' || o_orderkey || '/runs.jsonl')) AS run_id, CAST(epoch(max(o_orderdate)) AS BIGINT) AS modified_at FROM orders""")
 def latest_run(lake: Lake) -> DataFrame:
     files = lake.orders.select(
         F.concat(F.lit("logs/orders/"), "o_orderkey", F.lit("/runs.jsonl")).alias("path"),
         F.col("o_orderdate").alias("modificationTime"))
-    return run_source.newest(files)
+    return run_source.newest(files).withColumn("modified_at", F.unix_timestamp("modified_at"))
