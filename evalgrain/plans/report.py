@@ -30,6 +30,32 @@ def routing_rows(runs: DataFrame, cases: DataFrame, on: list[str] | None = None)
     return joins.runs_with_case(facts, gold, on or ["case_id"])
 
 
+def case_table(cases: DataFrame) -> DataFrame:
+    """Cases as `sources.cases.read_cases` gives them, under the names the reports use."""
+    return cases.withColumnsRenamed({"id": "case_id", "expected_skills": "expected"})
+
+
+def execution_turns(runs: DataFrame, cases: DataFrame, run_dim: DataFrame) -> DataFrame:
+    """Scored turns from run records, cases (`case_table`) and run snapshots.
+
+    Runs are joined with small per-turn expectations; the skill catalog of a
+    run comes from its snapshot.
+    """
+    none = F.array().cast("array<string>")
+    stage = case_functions.case_stage(
+        F.col("stage"), F.coalesce("tags", none),
+        (F.size("expect_artifacts") > 0) | F.col("forbid_artifacts"),
+        (F.size("expect_tools") > 0) | F.col("expect_trajectory").isNotNull())
+    described = cases.withColumns({
+        "type": case_type(F.col("case_id")), "stage": stage, "expected_skills": F.col("expected")})
+    expectations = execution.compile_expectations(joins.resolve_turns(described)).select(
+        "case_id", "turn_index", "type", "stage", "severity", "expected_skills", "forbid_artifacts",
+        "requires_context", "artifact_rules", "workspace_rules", "tool_rules")
+    catalogs = run_dim.select("run_id", F.col("skill_catalog").alias("catalog"))
+    rows = joins.runs_with_case(runs, expectations).join(catalogs, "run_id", "left")
+    return execution.score_turns(rows)
+
+
 def routing_scores(rows: DataFrame, repeats: int = 3) -> DataFrame:
     """(run_id, metric, value): every routing metric and the reliability pair."""
     judged = routing.judge(rows)

@@ -25,8 +25,8 @@ def skill_documents(files: DataFrame) -> DataFrame:
         F.lower(name).isin(*YAML_WORDS) | name.rlike(r"^[-+]?\d+(\.\d+)?$")))
     disabled = (_scalar(front, "disable") == "true") | (_scalar(front, "enabled") == "false")
     return files.select(
-        F.when(is_text, name).otherwise(F.element_at(parts, -3)).alias("skill_id"),
-        F.element_at(parts, -2).alias("version"),
+        F.when(is_text, name).otherwise(F.try_element_at(parts, F.lit(-3))).alias("skill_id"),
+        F.try_element_at(parts, F.lit(-2)).alias("version"),
         F.coalesce(_scalar(front, "description"), F.lit("")).alias("description"),
         _words(front, "triggers").alias("triggers"), _words(front, "exclusions").alias("exclusions"),
         F.coalesce(disabled, F.lit(False)).alias("disabled"),
