@@ -25,6 +25,18 @@ def exact_calls(events: DataFrame) -> DataFrame:
     return events.filter("event_type = 'tool_call' AND evidence_level = 'exact'")
 
 
+def turn_facts(events: DataFrame, keys: list[str]) -> DataFrame:
+    """What one pass over the events says about each run turn."""
+    def seen(condition: str) -> Column:
+        return F.coalesce(F.bool_or(F.expr(condition)), F.lit(False))
+
+    return events.groupBy(*keys).agg(
+        F.count_if(F.expr("event_type = 'tool_call' AND evidence_level = 'exact'")).alias("exact_calls"),
+        seen("event_type = 'state_change' AND status = 'success'").alias("state_changed"),
+        seen("event_type = 'verification' AND status = 'success'").alias("verified"),
+        seen("evidence_level = 'exact'").alias("has_exact"))
+
+
 def observed_tools(events: DataFrame, keys: list[str], summary: DataFrame | None = None) -> DataFrame:
     """(keys, tool) seen in call or result events or in the runtime's tool summary."""
     seen = events.filter(
@@ -52,7 +64,8 @@ def tool_selection(expectations: DataFrame, observed: DataFrame, keys: list[str]
     return used.groupBy(*keys).agg(F.avg(met).alias("tool_selection"))
 
 
-def argument_scores(events: DataFrame, assertions: DataFrame, keys: list[str]) -> DataFrame:
+def argument_scores(events: DataFrame, assertions: DataFrame, keys: list[str],
+                    facts: DataFrame | None = None) -> DataFrame:
     """One row per assertion of each run turn: score 1, 0 or NULL, status and counts.
 
     `assertions`: keys, assertion_index, tool, path, matcher (required,
@@ -80,7 +93,8 @@ def argument_scores(events: DataFrame, assertions: DataFrame, keys: list[str]) -
         F.coalesce(F.bool_or(value.isNotNull()), F.lit(False)).alias("present"),
         F.coalesce(F.bool_or(value.isNotNull() & ~complete), F.lit(False)).alias("incomplete"),
         F.coalesce(F.bool_or(complete & meets), F.lit(False)).alias("met"))
-    any_exact = exact_calls(events).groupBy(*keys).agg(F.count(F.lit(1)).alias("exact_calls"))
+    any_exact = (turn_facts(events, keys) if facts is None else facts) \
+        .filter("exact_calls > 0").select(*keys, "exact_calls")
     unknown = F.col("unknown_calls") > 0
     no_score = F.lit(None).cast("double")
     score = (
@@ -234,31 +248,52 @@ def score_structured(
 ) -> DataFrame:
     """All five deterministic dimensions per run turn; NULL where nothing can be proven.
 
-    The dimensions are stacked and brought together by one aggregation, not by
-    a join each.
+    What a single pass over the events can say comes from `turn_facts`. The
+    dimensions are stacked and brought together by one aggregation, not by a
+    join each.
     """
+    facts = turn_facts(events, keys)
+    arguments = argument_scores(events, assertions, keys, facts)
+    asked = expectations.select(*keys, "required_state_change", "required_verification")
+    readback = readback_rate(expectations.filter("required_verification"), events, artifacts, keys)
     parts = {
         "tool_selection": tool_selection(expectations, observed_tools(events, keys, summary), keys),
-        "argument_correctness": argument_correctness(argument_scores(events, assertions, keys), keys),
+        "argument_correctness": argument_correctness(arguments, keys),
         "order_correctness": order_correctness(events, expectations, keys),
-        "state_persistence": state_persistence(expectations, events, artifacts, keys),
-        "verification_rate": verification_rate(expectations, events, artifacts, keys),
+        "readback_rate": readback,
+        "_artifacts": artifacts.select(*keys, F.lit(1.0).alias("_artifacts")),
     }
-    exact = F.when(F.col("evidence_level") == "exact", 1.0).otherwise(0.0)
-    stacked = run_keys.select(
-        *keys, F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("value"))
-    stacked = stacked.unionByName(events.select(*keys, F.lit("_exact").alias("metric"), exact.alias("value")))
+    no_flag = F.lit(None).cast("boolean")
+    flags = ("exact", "state_changed", "verified", "required_state_change", "required_verification")
+
+    def shape(df: DataFrame, metric: Column, value: Column, **given: Column) -> DataFrame:
+        return df.select(*keys, metric.alias("metric"), value.cast("double").alias("value"),
+                         *[given.get(f, no_flag).alias(f) for f in flags])
+
+    no_metric, no_value = F.lit(None).cast("string"), F.lit(None)
+    stacked = shape(run_keys, no_metric, no_value)
+    stacked = stacked.unionByName(shape(
+        facts, no_metric, no_value, exact=F.col("has_exact"), state_changed=F.col("state_changed"),
+        verified=F.col("verified")))
+    stacked = stacked.unionByName(shape(
+        asked, no_metric, no_value, required_state_change=F.col("required_state_change"),
+        required_verification=F.col("required_verification")))
     for name, part in parts.items():
-        stacked = stacked.unionByName(
-            part.select(*keys, F.lit(name).alias("metric"), F.col(name).alias("value")))
+        stacked = stacked.unionByName(shape(part, F.lit(name), F.col(name)))
 
     def value(name: str) -> Column:
         return F.max(F.when(F.col("metric") == name, F.col("value")))
 
     wide = stacked.groupBy(*keys).agg(
-        *[value(name).alias(name) for name in parts], value("_exact").alias("_exact"))
-    level = F.when(F.col("_exact") == 1, "exact").when(F.col("_exact") == 0, "coarse").otherwise("missing")
-    return wide.withColumn("evidence_level", level).drop("_exact")
+        *[value(name).alias(name) for name in parts], *[F.bool_or(f).alias(f) for f in flags])
+    changed = F.coalesce("state_changed", F.lit(False)) | F.col("_artifacts").isNotNull()
+    level = F.when(F.col("exact"), "exact").when(~F.col("exact"), "coarse").otherwise("missing")
+    return wide.select(
+        *keys, "tool_selection", "argument_correctness", "order_correctness",
+        F.when(F.col("required_state_change"), changed.cast("double")).alias("state_persistence"),
+        F.when(F.col("required_verification"), F.coalesce(
+            F.when(F.col("verified"), F.lit(1.0)), F.col("readback_rate"))).alias("verification_rate"),
+        level.alias("evidence_level"))
 
 
 def trajectory_means(structured: DataFrame) -> DataFrame:
