@@ -276,27 +276,29 @@ def retention_plan(
 ) -> DataFrame:
     """What to do with each resource of the selected subjects.
 
-    An association with a selected subject puts a path in the plan; it may be
-    removed only when it has owners and all of them are selected. Tracked paths
-    stay.
+    An association with a selected subject (`associations`: path, owner; else
+    ownership itself) puts a path in the plan; it may be removed only when it
+    has owners and all of them are selected. Tracked paths stay.
     """
     marked = owners.join(selected.select("owner", F.lit(True).alias("_sel")), "owner", "left")
     per_path = marked.groupBy("path").agg(
         F.count(F.lit(1)).alias("owners"), F.count("_sel").alias("selected_owners"))
-    relation = owners if associations is None else associations
-    included = relation.join(selected.select("owner"), "owner", "left_semi") \
-        .select("path").distinct()
+    if associations is None:
+        planned = per_path.filter("selected_owners > 0")
+    else:
+        included = associations.join(selected.select("owner"), "owner", "left_semi") \
+            .select("path").distinct()
+        planned = included.join(per_path, "path", "left")
     action = (
         F.when(F.col("_tracked"), "retain_tracked")
         .when((F.col("owners") > 0) & (F.col("owners") == F.col("selected_owners")),
               "remove_after_verify")
         .otherwise("retain_shared")
     )
-    return included.join(per_path, "path", "left") \
-        .join(tracked.select("path", F.lit(True).alias("_tracked")).distinct(), "path", "left") \
-        .select("path", F.coalesce("owners", F.lit(0)).alias("owners"),
-                F.coalesce("selected_owners", F.lit(0)).alias("selected_owners"),
-                action.alias("action"))
+    marks = tracked.select("path", F.lit(True).alias("_tracked")).distinct()
+    return planned.join(marks, "path", "left").select(
+        "path", F.coalesce("owners", F.lit(0)).alias("owners"),
+        F.coalesce("selected_owners", F.lit(0)).alias("selected_owners"), action.alias("action"))
 
 
 def missing_inputs(declared: DataFrame, manifest: DataFrame) -> DataFrame:

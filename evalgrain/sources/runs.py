@@ -53,9 +53,9 @@ def run_record_problems(runs: DataFrame) -> DataFrame:
 
 
 def _yaml_to_json(batches):
-    import yaml  # only clusters that store snapshots as YAML need it
-
     for batch in batches:
+        import yaml  # needed only where a snapshot is YAML
+
         yield pd.DataFrame({
             "file_path": batch["file_path"],
             "value": [json.dumps(yaml.safe_load(text), default=str) for text in batch["value"]]})

@@ -141,3 +141,26 @@ def test_duplicate_prompts_against_first(spark):
         "set_id string, id string, prompt string, gold array<string>, line_no long")
     got = {r["id"]: (r["first_id"], r["problem"]) for r in caseset.duplicate_prompts(cases).collect()}
     assert got == {"b-pos-02": ("a-pos-01", "same prompt, other gold"), "c-pos-03": ("a-pos-01", "duplicate prompt")}
+
+
+def test_retention(spark):
+    owners = spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "y"), ("c", "y"), ("d", "x")], "path string, owner string")
+    tracked = spark.createDataFrame([("d",)], "path string")
+
+    def plan(selected, associations=None):
+        chosen = spark.createDataFrame([(s,) for s in selected], "owner string")
+        return {r["path"]: r["action"] for r in joins.retention_plan(owners, chosen, tracked, associations).collect()}
+
+    assert plan(["x"]) == {"a": "remove_after_verify", "b": "retain_shared", "d": "retain_tracked"}
+    assert plan(["x", "y"])["b"] == "remove_after_verify"
+    related = spark.createDataFrame([("c", "x"), ("n", "x")], "path string, owner string")
+    assert plan(["x"], related) == {"c": "retain_shared", "n": "retain_shared"}
+
+
+def test_inline_secrets(spark):
+    configs = spark.createDataFrame([("a", '{"models": [{"api_key_env": "X", "Api-Key": "v"}], "n": {"password_id": 1}}'),
+                                     ("b", '{"deep": {"er": {"est": {"secret": 1}}}}')], "config_id string, j string") \
+        .select("config_id", F.parse_json("j").alias("config"))
+    got = {(r["config_id"], r["path"], r["problem"]) for r in caseset.inline_secrets(configs, depth=3).collect()}
+    assert got == {("a", "suite.models[0].Api-Key", "inline secret"),
+                   ("b", "suite.deep.er.est", "nested too deep to check")}
