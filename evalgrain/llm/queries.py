@@ -19,11 +19,36 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"))
 
 
+def op4_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    from evalgrain.llm.html_region import extract
+
+    return extract(table(spark, folder, "pages"))
+
+
+def op6_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    from evalgrain.llm.kmeans_tree import nearest
+
+    return nearest(table(spark, folder, "embeddings"))
+
+
+def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    from evalgrain.llm.url_model import filter_urls
+
+    return filter_urls(table(spark, folder, "pages"))
+
+
+def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    from evalgrain.llm.license_index import license_scan
+
+    return license_scan(table(spark, folder, "documents"))
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     from evalgrain.llm.best_fit import pack
 
     return pack(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language, op3_token_counts, op10_packing)}
+QUERIES = {f.__name__: f for f in (
+    op2_language, op3_token_counts, op4_main_text, op6_nearest, op8_url_filter, op9_licenses, op10_packing)}
 ORACLES: dict[str, str] = {}
