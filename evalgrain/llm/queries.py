@@ -31,6 +31,12 @@ def op6_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(table(spark, folder, "embeddings"))
 
 
+def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from evalgrain.llm.suffix_levels import report
+
+    return report(table(spark, folder, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     from evalgrain.llm.url_model import filter_urls
 
@@ -50,5 +56,5 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_language, op3_token_counts, op4_main_text, op6_nearest, op8_url_filter, op9_licenses, op10_packing)}
+    op2_language, op3_token_counts, op4_main_text, op6_nearest, op7_suffix_dedup, op8_url_filter, op9_licenses, op10_packing)}
 ORACLES: dict[str, str] = {}

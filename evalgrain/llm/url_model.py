@@ -83,7 +83,7 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
             .select("label", "u.host", "u.path"))
 
 
-def train(labelled: DataFrame, penalty: float = 0.3, rounds: int = 12) -> tuple[list[float], float]:
+def train(labelled: DataFrame, penalty: float = 0.05, rounds: int = 12) -> tuple[list[float], float]:
     """Weights per bucket and the intercept of the regularized logistic regression.
 
     The labelled table is small by contract and its hashed n-grams come to the driver. Newton steps run on the products
