@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from evalgrain.llm.common import table
 
 
+def op1_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    from evalgrain.llm.simhash_pivot import groups
+
+    return groups(table(spark, folder, "documents"))
+
+
 def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     from evalgrain.llm.ppm_language import identify
 
@@ -25,6 +31,12 @@ def op4_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return extract(table(spark, folder, "pages"))
 
 
+def op5_contamination(spark: SparkSession, folder: str) -> DataFrame:
+    from evalgrain.llm.spaced_seed import contamination
+
+    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op6_nearest(spark: SparkSession, folder: str) -> DataFrame:
     from evalgrain.llm.kmeans_tree import nearest
 
@@ -55,6 +67,13 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"))
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_language, op3_token_counts, op4_main_text, op6_nearest, op7_suffix_dedup, op8_url_filter, op9_licenses, op10_packing)}
+    op1_simhash_groups, op2_language, op3_token_counts, op4_main_text, op5_contamination, op6_nearest, op7_suffix_dedup,
+    op8_url_filter, op9_licenses, op10_packing, pipeline)}
 ORACLES: dict[str, str] = {}

@@ -30,7 +30,7 @@ LENGTH = 200
 GRAM = 64
 BATCHES = 4
 BLOCK = 1 << 18  # window starts handled at once
-SMALL = 64  # differing surroundings of an anchor up to which they are compared in one call
+SMALL = 1 << 15  # differing surroundings of an anchor up to which they are compared in one call: about 10 MB
 HALF = (LENGTH - GRAM) // 2
 
 _random = np.random.default_rng(20)
@@ -106,7 +106,7 @@ def anchors(texts: DataFrame, batches: int) -> DataFrame:
                        "run": np.concatenate([x[1] for x in found])}
 
     rows = map_batches(texts.where(F.length("text") >= LENGTH).select("uid", "text"), run,
-                       "g bigint, uid binary, run bigint")
+                       "g bigint, uid bigint, run bigint")
     return rows.withColumn("batch", F.pmod(F.xxhash64("uid"), F.lit(batches)).cast("int"))
 
 
@@ -175,7 +175,7 @@ def surroundings(texts: DataFrame, matches: DataFrame) -> DataFrame:
 
     runs = matches.groupBy("uid").agg(F.collect_set("run").alias("runs"))
     return map_batches(texts.select("uid", "text").join(runs, "uid"), run,
-                       "uid binary, run bigint, g bigint, around bigint, near array<bigint>")
+                       "uid bigint, run bigint, g bigint, around bigint, near array<bigint>")
 
 
 def edge_windows(context: bytes, packed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -209,25 +209,32 @@ def window_spans(texts: DataFrame, edges: DataFrame) -> DataFrame:
             if out:
                 yield out
 
+    def compare(members):
+        found = [edge_windows(context, packed) for _, packed, _, context in members]
+        key = np.concatenate([h ^ (o.astype(np.uint64) * _MIX) for o, h in found])
+        _, at, times = np.unique(key, return_inverse=True, return_counts=True)
+        again, k, out = times[at] > 1, 0, {"uid": [], "start": [], "end": []}
+        for (uid, packed, n, _), (o, _) in zip(members, found):
+            hit = again[k:k + len(o)]
+            k += len(o)
+            if n == 1 and hit.any():
+                edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
+                out["uid"] += [uid] * int((edge == 1).sum())
+                out["start"] += ((packed >> 16) + np.flatnonzero(edge == 1)).tolist()
+                out["end"] += ((packed >> 16) + np.flatnonzero(edge == -1) - 1 + LENGTH).tolist()
+        return out
+
     def together(incoming):
+        now, members = None, []
         for batch in incoming:
-            out = defaultdict(list)
-            for members in batch.column("members").to_pylist():
-                found = [edge_windows(m["bytes"], m["run"]) for m in members]
-                key = np.concatenate([h ^ (o.astype(np.uint64) * _MIX) for o, h in found])
-                _, at, times = np.unique(key, return_inverse=True, return_counts=True)
-                again, k = times[at] > 1, 0
-                for m, (o, _) in zip(members, found):
-                    hit = again[k:k + len(o)]
-                    k += len(o)
-                    if m["n"] == 1 and hit.any():
-                        edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-                        for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
-                            out["uid"].append(m["uid"])
-                            out["start"].append((m["run"] >> 16) + a)
-                            out["end"].append((m["run"] >> 16) + b - 1 + LENGTH)
-            if out:
-                yield out
+            for g, *member in zip(*(batch.column(c).to_pylist() for c in ("g", "uid", "run", "n", "bytes"))):
+                if g != now and members:
+                    yield compare(members)
+                    members = []
+                now = g
+                members.append(member)
+        if members:
+            yield compare(members)
 
     def apart(incoming):
         for batch in incoming:
@@ -240,18 +247,19 @@ def window_spans(texts: DataFrame, edges: DataFrame) -> DataFrame:
     runs = (edges.join(sizes, "g").groupBy("uid")
             .agg(F.collect_list(F.struct("run", "g", "many", "n")).alias("runs")))
     parts = materialize(map_batches(texts.select("uid", "text").join(runs, "uid"), cut,
-                                    "uid binary, run bigint, g bigint, many boolean, n bigint, bytes binary"), "edges")
-    few = parts.where("NOT many").groupBy("g").agg(F.collect_list(F.struct("uid", "run", "n", "bytes")).alias("members"))
-    spans = map_batches(few.select("members"), together, "uid binary, start bigint, end bigint")
+                                    "uid bigint, run bigint, g bigint, many boolean, n bigint, bytes binary"), "edges")
+    few = parts.where("NOT many").select("g", "uid", "run", "n", "bytes").repartition("g").sortWithinPartitions("g")
+    spans = map_batches(few, together, "uid bigint, start bigint, end bigint")
     windows = map_batches(parts.where("many").select("uid", "run", "g", "n", "bytes"), apart,
-                          "uid binary, start bigint, key bigint")
+                          "uid bigint, start bigint, key bigint")
     again = windows.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
     return spans.unionByName(windows.where("uid IS NOT NULL").join(again, "key", "left_semi").select(
         "uid", "start", (F.col("start") + LENGTH).alias("end")))
 
 
 def digest(text: Column) -> Column:
-    return F.unhex(F.md5(text))
+    """64 bits; among a billion different texts any two collide with a probability of 3 %."""
+    return F.xxhash64(text)
 
 
 def written_texts(docs: DataFrame) -> DataFrame:
@@ -319,7 +327,7 @@ def cut_texts(texts: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
     grouped = spans.groupBy("uid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     kind = "binary" if with_text else "string"
     return map_batches(texts.select("uid", "text", "copies").join(grouped, "uid", "left"), run,
-                       f"uid binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept {kind}")
+                       f"uid bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept {kind}")
 
 
 def report(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
@@ -348,7 +356,7 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
             yield {"__uid": batch.column("uid"),
                    "__kept": [x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()]}
 
-    kept = map_batches(cut.where("n_removed > 0").select("uid", "kept"), decode, "__uid binary, __kept string")
+    kept = map_batches(cut.where("n_removed > 0").select("uid", "kept"), decode, "__uid bigint, __kept string")
     joined = (docs.withColumn("__uid", digest(whole_text().cast("binary"))).join(kept, "__uid", "left")
               .withColumn("__text", F.coalesce("__kept", "text")))
     return joined.select(*(
