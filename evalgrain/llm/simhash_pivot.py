@@ -133,19 +133,19 @@ def groups(docs: DataFrame, width: int = WORDS) -> DataFrame:
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def sampled_fingerprints(docs: DataFrame, width: int = STAGE_WORDS) -> DataFrame:
-    """(row, same, shingles, samples) of every text with a word.
+def sketch(docs: DataFrame, width: int = STAGE_WORDS) -> DataFrame:
+    """(row, same, n, fp, samples) of every text (row, text) with a word.
 
-    `same` is equal for texts of equal words; `shingles` are the different hashed shingles. Sample t is the SimHash of
-    the PICK shingles that come first in the t-th order of all hashes: texts of similarity s agree in it with a
-    probability of about s ** PICK, so one of SAMPLES agrees with 99.8 % at 0.8.
+    `same` is equal for texts of equal words, n counts the different shingles, fp is the SimHash of all. Sample t is the
+    SimHash of the PICK shingles that come first in the t-th order of all hashes: texts of similarity s agree in it with
+    a probability of about s ** PICK, so one of SAMPLES agrees with 99.8 % at 0.8.
     """
     rng = np.random.default_rng(5)
     shuffle = rng.integers(1, 1 << 63, (SAMPLES, 2), dtype=np.uint64) | np.uint64(1)
 
     def run(batches):
         for batch in batches:
-            out = {"row": [], "same": [], "shingles": [], "samples": []}
+            out = {"row": [], "same": [], "n": [], "fp": [], "samples": []}
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
                 hashes = shingle_hashes(text, width)
                 if not len(hashes):
@@ -157,12 +157,24 @@ def sampled_fingerprints(docs: DataFrame, width: int = STAGE_WORDS) -> DataFrame
                 first = np.argpartition(mixed, pick - 1, axis=1)[:, :pick]
                 out["row"].append(row)
                 out["same"].append(_text_digest(text))
-                out["shingles"].append(unique.view(np.int64))
+                out["n"].append(len(unique))
+                out["fp"].append(simhash(hashes))
                 out["samples"].append([simhash(unique[f]) for f in first])
             yield out
 
     return map_batches(docs.select("row", whole_text().cast("binary").alias("text")), run,
-                       "row bigint, same binary, shingles array<bigint>, samples array<bigint>")
+                       "row bigint, same binary, n bigint, fp bigint, samples array<bigint>")
+
+
+def shingle_sets(docs: DataFrame, width: int = STAGE_WORDS) -> DataFrame:
+    """(row, shingles): the different hashed shingles."""
+    def run(batches):
+        for batch in batches:
+            yield {"row": batch.column("row"), "shingles": [
+                np.unique(shingle_hashes(x, width)).view(np.int64) for x in batch.column("text").to_pylist()]}
+
+    return map_batches(docs.select("row", whole_text().cast("binary").alias("text")), run,
+                       "row bigint, shingles array<bigint>")
 
 
 def _text_digest(text: bytes) -> bytes:
@@ -177,9 +189,11 @@ def sample_candidates(sketches: DataFrame) -> DataFrame:
     Up to PAIRED rows with one value are paired up. More are all linked to the smallest, and paired up where they also
     agree in the next samples, which copies that differ little do.
     """
-    keyed = sketches.select("row", "n", F.posexplode("samples").alias("t", "key"), "samples")
+    again = [F.get("samples", (F.col("t") + k) % SAMPLES).alias(f"next{k}") for k in (1, 2)]
+    keyed = sketches.select("row", "n", "samples", F.posexplode("samples").alias("t", "key")).select(
+        "row", "n", "t", "key", *again)
     out = None
-    for level in range(3):
+    for level in (1, 2, 3):
         sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("c"), F.min(F.struct("row", "n")).alias("first"))
         sized = materialize(keyed.join(sizes.where("c > 1"), ["t", "key"]), "sampled")
         few = sized.where(F.col("c") <= PAIRED)
@@ -190,8 +204,8 @@ def sample_candidates(sketches: DataFrame) -> DataFrame:
                             F.col("n").alias("nb")).where("a <> b")
         found = pairs.select("a", "na", "b", "nb").unionByName(stars)
         out = found if out is None else out.unionByName(found)
-        after = (F.col("t") + level + 1) % SAMPLES
-        keyed = many.select("row", "n", "t", F.xxhash64("key", F.get("samples", after)).alias("key"), "samples")
+        if level < 3:
+            keyed = many.withColumn("key", F.xxhash64("key", f"next{level}")).select("row", "n", "t", "key", "next1", "next2")
     close = F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")
     return out.where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -203,25 +217,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     distance tables), or if a fingerprint of sampled shingles agrees; they are linked if their different five-word
     shingles have a Jaccard similarity of SIMILARITY or more. Rows without a word or without a partner are missing.
     """
-    sketches = materialize(sampled_fingerprints(docs), "sketches")
+    sketches = materialize(sketch(docs), "sketches")
     same = sketches.groupBy("same").agg(F.min("row").alias("first"))
-    whole = materialize(fingerprints(docs.withColumn("doc_id", F.col("row")), STAGE_WORDS)
-                        .withColumnRenamed("doc_id", "row"), "whole_prints")
     copies = sketches.select("row", "same").join(same, "same").where("row <> first").select(
         F.col("first").alias("a"), F.col("row").alias("b"))
-    single = sketches.join(same.select(F.col("first").alias("row")), "row", "left_semi")
+    single = materialize(sketches.join(same.select(F.col("first").alias("row")), "row", "left_semi"), "different")
     # Rows of one fingerprint, and of linked ones, are compared with the fingerprint's first row.
-    prints = whole.join(single.select("row"), "row", "left_semi")
-    first = prints.groupBy("fp").agg(F.min("row").alias("first"))
+    first = single.groupBy("fp").agg(F.min("row").alias("first"))
     near = links(first.select("fp"))
-    by_print = prints.join(first, "fp").where("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b"))
+    by_print = single.select("row", "fp").join(first, "fp").where("row <> first").select(
+        F.col("first").alias("a"), F.col("row").alias("b"))
     by_link = (near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a")
                .join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
                .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    sampled = sample_candidates(single.select("row", F.size("shingles").alias("n"), "samples"))
+    sampled = sample_candidates(single.select("row", "n", "samples"))
     pairs = materialize(by_print.unionByName(by_link).unionByName(sampled).distinct(), "candidates")
-    left = single.select(F.col("row").alias("a"), F.col("shingles").alias("x"))
-    right = single.select(F.col("row").alias("b"), F.col("shingles").alias("y"))
+    asked = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+    sets = materialize(shingle_sets(docs.join(asked, "row", "left_semi")), "shingles")
+    left = sets.select(F.col("row").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("row").alias("b"), F.col("shingles").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     verified = (pairs.join(left, "a").join(right, "b")
                 .where(shared >= SIMILARITY * (F.size("x") + F.size("y") - shared)).select("a", "b"))
