@@ -78,13 +78,14 @@ def sequence(page: str) -> list[tuple[str, str]]:
         if not name:
             continue
         if match[1]:
+            aside = False
             if any(n == name for n, _ in stack):
                 while True:
                     closed, aside = stack.pop()
                     skip -= aside
                     if closed == name:
                         break
-            out.append(("!/" + name if skip else "/" + name, ""))
+            out.append(("!/" + name if skip or aside else "/" + name, ""))
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, position)
@@ -129,10 +130,16 @@ def weights() -> dict[str, float]:
 
 
 def region(tokens: list[tuple[str, str]], score: dict[str, float]) -> tuple[int, int]:
-    """Start and end of the run with the highest sum; of equal ones the first, and the longest from there."""
-    best, span, total, start = 0.0, (0, 0), 0.0, 0
+    """Start and end of the run with the highest sum; of equal ones the first.
+
+    What has another purpose inside an article element weighs nothing: it is left out of the text, and must not cut off
+    what follows it.
+    """
+    best, span, total, start, main = 0.0, (0, 0), 0.0, 0, False
     for k, (kind, text) in enumerate(tokens):
-        value = score.get(kind, -2.0 if kind[0] == "!" else -0.5)
+        if kind.lstrip("/") in MAIN:
+            main = kind in MAIN
+        value = 0.0 if main and kind[0] == "!" else score.get(kind, -2.0 if kind[0] == "!" else -0.5)
         if text:
             value *= len(text.split())
         if total <= 0:
