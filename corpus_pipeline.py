@@ -1,11 +1,14 @@
-"""A training corpus from raw documents: five stages, each written as Parquet and read again by the next."""
+"""A training corpus from raw documents: five stages, each written as Parquet and read again by the next.
+
+A stage begins by deleting the scratch tables of the one before, whose result is written by then.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from evalgrain.llm.best_fit import pack
-from evalgrain.llm.common import prepare, table
+from evalgrain.llm.common import prepare, release, table
 from evalgrain.llm.ppm_language import accept
 from evalgrain.llm.simhash_pivot import keep_first
 from evalgrain.llm.spaced_seed import decontaminate
@@ -15,30 +18,31 @@ from evalgrain.session import materialize
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told; texts without a letter go."""
-    prepare(spark)
+    release(prepare(spark))
     return accept(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    prepare(spark)
+    release(prepare(spark))
     return keep_first(docs)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without strings of 200 bytes that also stand elsewhere."""
-    prepare(spark)
+    release(prepare(spark))
     return remove_repeats(docs)
 
 
 def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
+    release(prepare(spark))
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all documents' tokens in training sequences."""
-    prepare(spark)
+    release(prepare(spark))
     return pack(docs)
 
 

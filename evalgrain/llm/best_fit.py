@@ -17,8 +17,7 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from evalgrain.llm.common import map_batches, whole_text
-from evalgrain.session import materialize
+from evalgrain.llm.common import map_batches, materialize, whole_text
 
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"

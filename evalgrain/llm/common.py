@@ -8,12 +8,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from evalgrain.session import materialize, tune
+from evalgrain.session import new_folder, tune
 
 # Arrow batches stay small because one row may hold a very long text.
 BATCH_ROWS = "512"
 
 
+_folders: list[str] = []
+
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new shared folder for tables that nobody needs once the result built on them is written."""
+    _folders.append(new_folder(spark, label))
+    return _folders[-1]
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Cut lineage: write a table to a scratch folder and read it back."""
+    path = scratch_folder(df.sparkSession, label)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the scratch folders made so far; results that were not written yet are lost with them."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while _folders:
+        path = hadoop(_folders.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return tune(spark)

@@ -17,8 +17,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from evalgrain.llm.common import map_batches
-from evalgrain.session import materialize
+from evalgrain.llm.common import map_batches, materialize
 
 SAMPLE = 20_000  # bound of the vectors that the tree and the calibration see
 BRANCHES = 16

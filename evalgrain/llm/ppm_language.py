@@ -41,11 +41,17 @@ class Trees(NamedTuple):
         return self.bits[self.longest[context] * n + s[3:]]
 
 
-def sample(labelled: DataFrame, rows: int) -> DataFrame:
-    """About `rows` texts of each language, or all it has; chosen by a hash, so every run takes the same."""
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+def sample(labelled: DataFrame, rows: int, most: int = 1000) -> DataFrame:
+    """About `rows` texts of each language, or all it has; chosen by a hash, so every run takes the same.
+
+    More than `most` different languages are an error: the trees hold one column for each.
+    """
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(most + 1).collect()
+    if len(counts) > most:
+        raise ValueError(f"more than {most} languages")
+    shares = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], rows / r["n"]))) if counts else None
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return labelled.join(counts, "lang").where(part < F.lit(float(rows)) / F.col("n")).select("lang", "text")
+    return labelled.where(part < shares[F.col("lang")] if counts else F.lit(False)).select("lang", "text")
 
 
 def grams(texts: DataFrame) -> DataFrame:

@@ -18,8 +18,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from evalgrain.llm.common import components, map_batches, whole_text
-from evalgrain.session import materialize
+from evalgrain.llm.common import components, map_batches, materialize, whole_text
 
 WORDS = 3
 RADIUS = 2

@@ -17,8 +17,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from evalgrain.llm.common import map_batches, whole_text
-from evalgrain.session import materialize
+from evalgrain.llm.common import map_batches, materialize, whole_text
 
 # Fixed masks of weight five: 1 keeps a position.
 MASKS = ("11111", "1101011", "11010011", "10111001")
@@ -198,7 +197,10 @@ def contamination(docs: DataFrame, items: DataFrame, share: float = SHARE) -> Da
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
-    """The documents in which no item is found; the columns stay as they are. Null ids are looked at like others."""
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "documents")
-    found = overlaps(rows.select(F.col("__row").alias("row"), "text"), items, share)
-    return rows.join(found.select(F.col("row").alias("__row")).distinct(), "__row", "left_anti").select(*docs.columns)
+    """The documents in which no item is found; the columns stay as they are. Null ids are looked at like others.
+
+    A text is known by its 64-bit digest; equal texts share the verdict.
+    """
+    text = F.xxhash64(whole_text())
+    found = overlaps(docs.select(text.alias("row"), "text"), items, share).select(F.col("row").alias("__row")).distinct()
+    return docs.withColumn("__row", text).join(found, "__row", "left_anti").select(*docs.columns)

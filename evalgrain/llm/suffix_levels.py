@@ -23,8 +23,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from evalgrain.llm.common import map_batches, whole_text
-from evalgrain.session import materialize, new_folder
+from evalgrain.llm.common import map_batches, materialize, scratch_folder, whole_text
 
 LENGTH = 200
 GRAM = 64
@@ -270,7 +269,7 @@ def written_texts(docs: DataFrame) -> DataFrame:
         F.first("text").alias("text"), F.count("*").alias("copies"))
     name = f"texts_{uuid.uuid4().hex}"
     (rows.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "uid")
-     .option("path", new_folder(spark, "texts")).saveAsTable(name))
+     .option("path", scratch_folder(spark, "texts")).saveAsTable(name))
     return spark.table(name)
 
 
