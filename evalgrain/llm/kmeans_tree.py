@@ -24,6 +24,7 @@ BRANCHES = 16
 LEAF = 200  # vectors a leaf should hold; the number of leaves is bounded by the sample
 RECALL = 0.97
 BLOCK = 512  # vectors or queries in one row of a join
+HELD = 200_000  # found rows that a task keeps before it cuts them to the best of each query
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -126,6 +127,16 @@ class Tree:
         return int(np.quantile(ranks, recall, method="higher")) + 1
 
 
+def best_rows(found: list[tuple], keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(queries, ids, scores) of the `keep` best rows of every query: highest score, then smallest id."""
+    query, own, score = (np.concatenate(part) for part in zip(*found))
+    order = np.lexsort((own, -score, query))
+    query, own, score = query[order], own[order], score[order]
+    first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
+    place = np.arange(len(query)) - np.repeat(first, np.diff(np.r_[first, len(query)]))
+    return tuple(part[place < keep] for part in (query, own, score))
+
+
 def blocks(rows: DataFrame, key: str) -> DataFrame:
     """(leaf, ids, vectors): up to BLOCK rows (leaf, `key`, vector) of a leaf as one row of bytes."""
     def run(batches):
@@ -203,6 +214,13 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = REC
                 yield {"vec_id": [own] * len(found), "embedding": [vector] * len(found), "leaf": found}
 
     def compare(batches):
+        # A task hands on the best k + 1 of each query among all its blocks, which holds the best of the whole. What
+        # it keeps is bounded: if cutting leaves more than half, the rows go on and it starts anew.
+        held, size = [], 0
+
+        def out():
+            return dict(zip(("query_id", "vec_id", "score"), best_rows(held, k + 1)))
+
         for batch in batches:
             for ids, vectors, own, queries in zip(*(batch.column(c).to_pylist() for c in (
                     "ids", "vectors", "q_ids", "q_vectors"))):
@@ -215,7 +233,16 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = REC
                 who = np.repeat(np.arange(len(own)), some.shape[1])
                 a, b = q[who], x[some.ravel()]
                 score = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
-                yield {"query_id": own[who], "vec_id": ids[some.ravel()], "score": score}
+                held.append((own[who], ids[some.ravel()], score))
+                size += len(score)
+                if size > HELD:
+                    best = out()
+                    held, size = [tuple(best.values())], len(best["score"])
+                    if size > HELD // 2:
+                        yield best
+                        held, size = [], 0
+        if held:
+            yield out()
 
     queries = rows.where(F.col("vec_id") % every == 0).distinct()
     placed = map_batches(index.select("vec_id", "embedding"), place, "vec_id bigint, embedding array<double>, leaf bigint")

@@ -324,6 +324,18 @@ def test_vectors_that_cannot_be_compared(spark):
     assert kmeans_tree.nearest(frame.where("false")).count() == 0
 
 
+def test_a_task_hands_on_the_best_of_each_query(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    found = [(draw.integers(0, 9, 50), draw.integers(0, 30, 50), draw.integers(0, 4, 50) / 4) for _ in range(3)]
+    rows = sorted(zip(*(np.concatenate(p).tolist() for p in zip(*found))), key=lambda r: (r[0], -r[2], r[1]))
+    want = [r for i, r in enumerate(rows) if sum(x[0] == r[0] for x in rows[:i]) < 4]
+    assert list(zip(*(p.tolist() for p in kmeans_tree.best_rows(found, 4)))) == want
+    frame = table(spark, SMALL, "embeddings")
+    whole = sorted(kmeans_tree.nearest(frame).collect())
+    monkeypatch.setattr(kmeans_tree, "HELD", 20)  # cuts and hands on after nearly every block
+    assert sorted(kmeans_tree.nearest(frame).collect()) == whole
+
+
 # 7 suffix arrays
 
 def brute_cut(texts):
