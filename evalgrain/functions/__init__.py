@@ -1 +1 @@
-"""Column expressions. All run inside the JVM except `redact_arguments`."""
+"""Column expressions. All run inside the JVM except masking, shortening and regexes of `arguments`."""

@@ -7,7 +7,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType
 
 # Fixed values.
 REDACTED = "<redacted>"
@@ -86,30 +86,76 @@ def json_equal(left: Column, right: Column) -> Column:
     return F.coalesce(same, F.lit(False))
 
 
-def _redact(value):
+_TOKEN = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"|[{}\[\],:]|[^\s{}\[\],:"]+')
+
+
+def _masked(text: str) -> str:
+    """JSON with the values of secret keys masked; every other token is kept as it is written, numbers too."""
+    out, depth, hidden, secret = [], 0, None, False
+    tokens = _TOKEN.findall(text)
+    for token, after in zip(tokens, [*tokens[1:], ""]):
+        starts, ends = token in ("{", "["), token in ("}", "]")
+        if hidden is None and secret and token != ":":
+            out.append(json.dumps(REDACTED))
+            secret = False
+            hidden = depth if starts else None
+        elif hidden is None:
+            out.append(token)
+            if after == ":":
+                secret = re.search(SECRET_KEY, json.loads(token)) is not None
+        depth += starts - ends
+        if ends and depth == hidden:
+            hidden = None
+    return "".join(out)
+
+
+def _shortened(value):
     if isinstance(value, dict):
-        return {k: REDACTED if re.search(SECRET_KEY, k) else _redact(v) for k, v in value.items()}
+        return {k: _shortened(v) for k, v in value.items()}
     if isinstance(value, list):
-        return [_redact(v) for v in value[:LIST_LIMIT]]
+        return [_shortened(v) for v in value[:LIST_LIMIT]]
     if isinstance(value, str) and len(value) > VALUE_LIMIT:
         return f"{value[:VALUE_LIMIT]}{TRUNCATION_MARK}{VALUE_LIMIT} of {len(value)} chars]"
     return value
 
 
 @F.pandas_udf(StringType())
-def _redact_json(batch: pd.Series) -> pd.Series:
+def _masked_json(batch: pd.Series) -> pd.Series:
+    return batch.map(_masked, na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def _shown_json(batch: pd.Series) -> pd.Series:
     return batch.map(
-        lambda text: None if text is None
-        else json.dumps(_redact(json.loads(text)), ensure_ascii=False, separators=(",", ":")))
+        lambda text: json.dumps(_shortened(json.loads(text)), ensure_ascii=False, separators=(",", ":")),
+        na_action="ignore")
 
 
 def redact_arguments(arguments: Column) -> Column:
-    """Mask values under secret-looking keys, shorten long strings and lists, at any depth.
+    """Mask values under secret-looking keys at any depth; all else stays whole.
 
-    Nested JSON cannot be rebuilt by SQL expressions, so documents that need a
-    change pass through one Arrow batch function; all others stay in the JVM.
+    Nested JSON cannot be rebuilt by SQL expressions, so documents in which
+    such a key may occur pass through one Arrow batch function; the others have
+    nothing to mask and stay in the JVM.
     """
     text = F.to_json(arguments)
-    commas = F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))
-    suspect = text.rlike(SECRET_KEY) | (F.length(text) > VALUE_LIMIT) | (commas >= LIST_LIMIT)
-    return F.coalesce(F.parse_json(_redact_json(F.when(suspect, text))), arguments)
+    return F.coalesce(F.parse_json(_masked_json(F.when(text.rlike(SECRET_KEY), text))), arguments)
+
+
+def display_arguments(arguments: Column) -> Column:
+    """Masked arguments for showing: long strings and lists are shortened, as JSON text. Not for scoring."""
+    return _shown_json(F.to_json(redact_arguments(arguments)))
+
+
+@F.pandas_udf(BooleanType())
+def regex_found(text: pd.Series, pattern: pd.Series) -> pd.Series:
+    """Whether the pattern of the row occurs in its text; NULL where either is NULL or the pattern is broken."""
+    compiled = {}
+    for one in pattern.dropna().unique():
+        try:
+            compiled[one] = re.compile(one)
+        except re.error:
+            compiled[one] = None
+    return pd.Series([
+        None if t is None or compiled.get(p) is None else compiled[p].search(t) is not None
+        for t, p in zip(text, pattern)], dtype=object)

@@ -234,8 +234,8 @@ def gate_calibration(matched: DataFrame, has_registry: Column) -> DataFrame:
     qualified = F.coalesce("qualified", F.lit(False))
     reason = (
         F.when(qualified, "qualified")
-        .when(~has_registry, "no calibration registry configured")
-        .when(F.col("entry_id").isNull(), "judge/rubric fingerprint not registered")
-        .otherwise("registered calibration did not meet thresholds")
+        .when(~has_registry, "no registry of calibrations")
+        .when(F.col("entry_id").isNull(), "setup is not in the registry")
+        .otherwise("registered, below its thresholds")
     )
     return matched.withColumn("reason", reason).withColumn("qualified", qualified)

@@ -17,6 +17,7 @@ from evalgrain.functions.cases import (
 )
 from evalgrain.functions.text import case_type, normalize_prompt
 from evalgrain.operators import joins, ordered
+from evalgrain.session import materialize
 
 # Weights of the case mix, in their declared order.
 MIX_WITH_MULTI = (("pos", 0.4), ("amb", 0.3), ("rej", 0.2), ("multi", 0.1))
@@ -122,7 +123,8 @@ def case_set_issues(cases: DataFrame, catalog: DataFrame, sets: DataFrame,
 def expected_mix(sets: DataFrame, with_multi: bool) -> DataFrame:
     """Exact quota per type by largest remainder, at least one each; ties in declared order.
 
-    `sets`: set_id, n_cases. The window holds the three or four types of a set.
+    `sets`: set_id, n_cases. A set with fewer cases than types has no mix: one
+    row without type and quota names the problem. The window holds the three or four types of a set.
     """
     weights = MIX_WITH_MULTI if with_multi else MIX_SINGLE
     types = F.posexplode(F.array(*[
@@ -135,17 +137,24 @@ def expected_mix(sets: DataFrame, with_multi: bool) -> DataFrame:
     whole = Window.partitionBy("set_id")
     by_fraction = whole.orderBy(F.desc(F.col("_raw") % 1), "_pos")
     spare = F.col("n_cases") - F.sum("_base").over(whole)
-    return rows.withColumn("_spare", spare).withColumn("_rank", F.row_number().over(by_fraction)) \
+    none = F.lit(None).cast("string")
+    mix = rows.withColumn("_spare", spare).withColumn("_rank", F.row_number().over(by_fraction)) \
         .select("set_id", "case_type", (F.col("_base") + F.when(
-            F.col("_rank") <= F.col("_spare"), 1).otherwise(0)).cast("bigint").alias("quota"))
+            F.col("_rank") <= F.col("_spare"), 1).otherwise(0)).cast("bigint").alias("quota"),
+            none.alias("problem"))
+    small = sets.filter(F.col("n_cases") < len(weights)).select(
+        "set_id", none.alias("case_type"), F.lit(None).cast("bigint").alias("quota"),
+        F.lit("too few cases").alias("problem"))
+    return mix.unionByName(small)
 
 
 def mix_check(cases: DataFrame, quota: DataFrame) -> DataFrame:
-    """Types whose count is not their quota."""
+    """Types whose count is not their quota, and sets too small for a mix."""
     actual = cases.groupBy("set_id", case_type(F.col("id")).alias("case_type")) \
         .agg(F.count(F.lit(1)).alias("actual"))
     return quota.join(actual, ["set_id", "case_type"], "left") \
-        .withColumn("actual", F.coalesce("actual", F.lit(0))).filter("actual <> quota")
+        .withColumn("actual", F.when(F.col("problem").isNull(), F.coalesce("actual", F.lit(0)))) \
+        .filter("problem IS NOT NULL OR actual <> quota")
 
 
 def rationale_gaps(cases: DataFrame, notes: DataFrame) -> DataFrame:
@@ -251,30 +260,30 @@ def tool_list_problems(expectations: DataFrame) -> DataFrame:
     return expectations.withColumn("problem", F.explode(problems))
 
 
-def inline_secrets(configs: DataFrame, depth: int = 8) -> DataFrame:
-    """Paths of configuration keys that hold a secret instead of naming one.
+def inline_secrets(configs: DataFrame) -> DataFrame:
+    """Paths of configuration keys that hold a secret instead of naming one, at any depth.
 
     Input: config_id, config (VARIANT). Only documents with a suspicious key are
-    opened, one level of nesting per round; what lies deeper than `depth` is
-    reported as such, never dropped.
+    opened, one level of nesting per round. A level is written to the shared
+    folder, so rounds end when nothing is left to open and lineage stays short.
     """
     spark = configs.sparkSession
     suspicious = normalized_key(F.to_json("config")).rlike("|".join(SECRET_CONFIG_PARTS))
     level = configs.filter(suspicious).select(
-        "config_id", F.lit("suite").alias("path"), F.col("config").alias("node"))
+        "config_id", F.lit("suite").alias("path"), F.to_json("config").alias("node"))
     found = None
-    for _ in range(depth):
+    while True:
         opened = spark.sql(
             "SELECT t.config_id, t.path, v.pos, v.key, v.value FROM {level} t, "
-            "LATERAL variant_explode(t.node) v", level=level)
+            "LATERAL variant_explode(parse_json(t.node)) v", level=level)
         child = F.when(F.col("key").isNotNull(), F.concat("path", F.lit("."), "key")) \
             .otherwise(F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]")))
         secret = F.coalesce(is_inline_secret_key(F.col("key")), F.lit(False))
-        named = opened.select("config_id", child.alias("path"), F.col("value").alias("node"),
-                              secret.alias("_secret"))
-        hits = named.filter("_secret").select("config_id", "path", F.lit("inline secret").alias("problem"))
+        named = materialize(opened.select(
+            "config_id", child.alias("path"), secret.alias("secret"), F.to_json("value").alias("node"))
+            .filter(F.col("secret") | F.col("node").rlike(r"^[\[{]")), "config_level")
+        hits = named.filter("secret").select("config_id", "path", F.lit("inline secret").alias("problem"))
         found = hits if found is None else found.unionByName(hits)
-        level = named.filter("NOT _secret").select("config_id", "path", "node")
-    rest = level.filter(F.schema_of_variant("node").rlike("^(OBJECT|ARRAY)")) \
-        .select("config_id", "path", F.lit("nested too deep to check").alias("problem"))
-    return found.unionByName(rest)
+        level = named.filter("NOT secret").select("config_id", "path", "node")
+        if level.isEmpty():
+            return found

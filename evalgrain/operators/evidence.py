@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evalgrain.functions import files
-from evalgrain.functions.text import SYSTEM_KINDS, non_empty, quotable, truncated
+from evalgrain.functions.text import SYSTEM_KINDS, non_empty, quotable
 from evalgrain.operators import joins
 from evalgrain.operators.joins import RUN_KEY
 
 # Fixed values.
-RAW_OUTPUT_LIMIT = 3000
-EXCERPT_LIMIT = 1200
 LOW_DIMENSION = 0.6
 
 
@@ -31,14 +29,14 @@ def routing_failures(rows: DataFrame) -> DataFrame:
 
 
 def full_failures(rows: DataFrame) -> DataFrame:
-    """At most one row per run turn, saying what is missing.
+    """At most one row per run turn, saying what is missing; texts are whole.
 
     Input: runs joined with compiled expectations (`execution.compile_expectations`)
     and with the chosen judge's grading (`expectations`, `dimensions`; NULL when
     there is none).
     """
     kept = rows.filter(_own_fault() & (F.col("status") != "skipped"))
-    artifacts = F.coalesce("artifacts", F.filter("artifacts", lambda a: F.lit(False)))
+    artifacts = F.coalesce("artifacts", F.array().cast(rows.schema["artifacts"].dataType))
     tools = F.transform("tool_calls", lambda t: t["name"])
     none = F.array().cast("array<string>")
     ruled = F.arrays_zip("expect_artifacts", "artifact_rules")
@@ -78,8 +76,7 @@ def full_failures(rows: DataFrame) -> DataFrame:
             "low_dimensions",
             lambda d: F.concat(d["dimension"], F.lit("="), d["score"].cast("string"))), "; ")))
     excerpts = F.array_join(F.transform(artifacts, lambda a: F.concat_ws(
-        "\n", a["path"], truncated(F.coalesce(non_empty(a["text_excerpt"]), F.lit("(not visible)")),
-                                   EXCERPT_LIMIT))), "\n")
+        "\n", a["path"], F.coalesce(non_empty(a["text_excerpt"]), F.lit("(not visible)")))), "\n")
     detail = F.concat_ws(
         "\n",
         F.when(F.col("not_ok"), F.concat(
@@ -95,7 +92,7 @@ def full_failures(rows: DataFrame) -> DataFrame:
         "expected_skills",
         F.when(F.size("loaded_skills") > 0, F.col("loaded_skills"))
         .otherwise(F.col("selected_skills")).alias("selected_skills"),
-        truncated(raw, RAW_OUTPUT_LIMIT).alias("raw_output"), detail.alias("failure_detail"))
+        raw.alias("raw_output"), detail.alias("failure_detail"))
 
 
 def cluster_violations(clusters: DataFrame, evidence: DataFrame, failures: DataFrame) -> DataFrame:

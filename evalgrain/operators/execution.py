@@ -197,5 +197,5 @@ def skip_propagation(runs: DataFrame) -> DataFrame:
         *runs.columns,
         F.when(after, F.lit("skipped")).otherwise(F.col("status")).alias("expected_status"),
         F.when(after, F.format_string(
-            "previous turn t%d ended with status=%s", "failed_turn", "failed_status"))
+            "turn %d came before and was %s", "failed_turn", "failed_status"))
         .alias("expected_reason"))

@@ -89,7 +89,7 @@ def grading_requests(candidates: DataFrame) -> DataFrame:
     """
     artifacts = F.transform("artifacts", lambda a: F.struct(
         a["path"].alias("path"), a["size_bytes"].alias("size_bytes"),
-        a["mime_type"].alias("mime_type"), F.substring(a["sha256"], 1, 16).alias("sha256"),
+        a["mime_type"].alias("mime_type"), a["sha256"].alias("sha256"),
         a["text_excerpt"].alias("content")))
     tools = F.transform("tool_calls", lambda t: F.struct(
         t["name"].alias("name"), t["count"].alias("count"), t["failures"].alias("failures")))

@@ -72,6 +72,8 @@ def argument_scores(events: DataFrame, assertions: DataFrame, keys: list[str],
     forbidden, equals, in, matches), equals, in_values, matches. Calls meet
     their assertions in an inner join, whose larger side can be split when one
     run turn holds most calls; assertions nobody met come back afterwards.
+    Patterns are searched for by the same engine that `regex_problems` compiles
+    them with; a broken one is never met.
     """
     calls = exact_calls(events).select(
         *keys, F.col("tool_name").alias("tool"),
@@ -79,13 +81,15 @@ def argument_scores(events: DataFrame, assertions: DataFrame, keys: list[str],
     per_call = calls.join(assertions, [*keys, "tool"]) \
         .withColumn("_value", args.argument_value(F.col("_arguments"), F.col("path")))
     value = F.col("_value")
+    tested = (F.col("matcher") == "matches") & (args.value_kind(value) == "STRING")
+    per_call = per_call.withColumn("_found", args.regex_found(
+        F.when(tested, F.try_variant_get(value, "$", "string")), F.when(tested, F.col("matches"))))
     complete = value.isNotNull() & ~args.value_incomplete(value)
     meets = (
         F.when(F.col("matcher") == "equals", args.json_equal(value, F.col("equals")))
         .when(F.col("matcher") == "in", F.exists(
             "in_values", lambda allowed: args.json_equal(F.col("_value"), allowed)))
-        .when(F.col("matcher") == "matches", (args.value_kind(value) == "STRING") & F.regexp_like(
-            F.try_variant_get(value, "$", "string"), F.col("matches")))
+        .when(F.col("matcher") == "matches", F.col("_found"))
     )
     judged = per_call.groupBy(*keys, "assertion_index").agg(
         F.count(F.lit(1)).alias("relevant_calls"),
@@ -325,7 +329,7 @@ def normalize_trajectory(runs: DataFrame, source: str = "runtime.toolSummary") -
     """Fill `trajectory` of freshly adapted runs, row by row.
 
     Exact session events when there are any, else one coarse event per summary
-    tool; then one derived state change per artifact and a final event, with
+    tool; a missing list counts as empty; then one derived state change per artifact and a final event, with
     steps numbered through.
     """
     null = {name: F.lit(None).cast(kind) for name, kind in _event_fields().items()}
@@ -335,7 +339,6 @@ def normalize_trajectory(runs: DataFrame, source: str = "runtime.toolSummary") -
             fields.get(name, null[name]).cast(kind).alias(name)
             for name, kind in _event_fields().items()])
 
-    exact = F.coalesce("exact_events", F.filter("exact_events", lambda e: F.lit(False)))
     coarse = F.transform("tool_calls", lambda t: event(
         event_type=F.lit("tool_call"), name=t["name"], tool_name=t["name"],
         status=F.lit("unknown"), evidence_level=F.lit("coarse"),
@@ -350,9 +353,10 @@ def normalize_trajectory(runs: DataFrame, source: str = "runtime.toolSummary") -
             a["size_bytes"].alias("size_bytes"), a["change"].alias("change")))))
     final = F.array(event(event_type=F.lit("final"), name=F.lit("final_answer"),
                           status=F.lit("success"), evidence_level=F.lit("exact")))
-    calls = F.when(F.size(exact) > 0, exact).otherwise(coarse)
+    none = F.filter(final, lambda e: F.lit(False))
+    calls = F.when(F.size("exact_events") > 0, F.col("exact_events")).otherwise(F.coalesce(coarse, none))
     numbered = F.transform(
-        F.concat(calls, changes, final), lambda e, i: e.withField("step_index", (i + 1).cast("int")))
+        F.concat(calls, F.coalesce(changes, none), final), lambda e, i: e.withField("step_index", (i + 1).cast("int")))
     return runs.withColumn("trajectory", numbered).drop("exact_events")
 
 

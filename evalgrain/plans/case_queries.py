@@ -140,12 +140,12 @@ def extract_meta(lake: Lake) -> DataFrame:
 
 
 @query("B21_quote_in", """
-SELECT doc_id, doc_id % 2 = 0 AS found FROM documents WHERE length(text) > 60""")
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN NOT (doc_id % 2 = 1 OR length(text) <= 60) END AS found FROM documents""")
 def quote_in(lake: Lake) -> DataFrame:
     part = F.substring("text", 11, 40)
     quote = F.concat(F.lit("**"), F.replace(part, F.lit(" "), F.lit(" \n ")),
-                     F.when(F.col("doc_id") % 2 == 0, "`").otherwise("§§"))
-    return lake.documents.filter(F.length("text") > 60).select(
+                     F.when((F.col("doc_id") % 2 == 0) & (F.length("text") > 60), "`").otherwise("§§"))
+    return lake.documents.select(
         "doc_id", text.quote_in(quote, F.col("text")).alias("found"))
 
 
@@ -153,7 +153,7 @@ def quote_in(lake: Lake) -> DataFrame:
 SELECT doc_id, CASE WHEN length(text) > 1200 THEN substr(text, 1, 1200) || chr(10) || '…[truncated at 1200 chars]' ELSE text END AS excerpt FROM documents""")
 def truncate(lake: Lake) -> DataFrame:
     return lake.documents.select(
-        "doc_id", text.truncated(F.col("text"), evidence.EXCERPT_LIMIT).alias("excerpt"))
+        "doc_id", text.truncated(F.col("text"), 1200).alias("excerpt"))
 
 
 @query("B23_version_order", """
@@ -230,7 +230,7 @@ def inline_secrets(lake: Lake) -> DataFrame:
         F.struct(F.when(F.col("c_mktsegment") == "BUILDING", "p").alias("Pass-Password"),
                  F.lit("c").alias("credential_id")).alias("db")))
     configs = lake.customer.select(F.col("c_custkey").alias("config_id"), F.parse_json(config).alias("config"))
-    return caseset.inline_secrets(configs, depth=4).select("config_id", "path")
+    return caseset.inline_secrets(configs).select("config_id", "path")
 
 
 @query("B27_normalize_tags", sql(b.CASESET_SQL, """
@@ -455,7 +455,8 @@ sets AS (SELECT source AS set_id, count(*) AS n FROM documents GROUP BY 1 HAVING
 raw AS (SELECT set_id, n, t.case_type, t.pos, n * t.w AS r, greatest(1, floor(n * t.w)) AS base FROM sets,
    (VALUES ('pos', 0, 0.4e0), ('amb', 1, 0.3e0), ('rej', 2, 0.2e0), ('multi', 3, 0.1e0)) t(case_type, pos, w)),
 rk AS (SELECT *, n - sum(base) OVER (PARTITION BY set_id) AS spare, row_number() OVER (PARTITION BY set_id ORDER BY r - floor(r) DESC, pos) AS k FROM raw),
-mix AS (SELECT set_id, case_type, CAST(base + CASE WHEN k <= spare THEN 1 ELSE 0 END AS BIGINT) AS quota FROM rk)"""
+mix AS (SELECT set_id, case_type, CAST(base + CASE WHEN k <= spare THEN 1 ELSE 0 END AS BIGINT) AS quota, CAST(NULL AS VARCHAR) AS problem FROM rk
+   UNION ALL SELECT source, NULL, NULL, 'too few cases' FROM documents GROUP BY source HAVING count(*) < 4)"""
 
 
 def quotas(lake: Lake) -> DataFrame:
@@ -469,9 +470,9 @@ def expected_mix(lake: Lake) -> DataFrame:
 
 
 @query("M9_mix_check", sql(MIX_SQL, """
-SELECT mix.set_id, mix.case_type, quota, coalesce(actual, 0) AS actual FROM mix LEFT JOIN (
+SELECT mix.set_id, mix.case_type, quota, CASE WHEN problem IS NULL THEN coalesce(actual, 0) END AS actual, problem FROM mix LEFT JOIN (
   SELECT source AS set_id, CASE doc_id % 4 WHEN 0 THEN 'pos' WHEN 1 THEN 'amb' WHEN 2 THEN 'multi' ELSE 'rej' END AS case_type, count(*) AS actual
-  FROM documents GROUP BY 1, 2) a ON a.set_id = mix.set_id AND a.case_type = mix.case_type WHERE coalesce(actual, 0) <> quota"""))
+  FROM documents GROUP BY 1, 2) a ON a.set_id = mix.set_id AND a.case_type = mix.case_type WHERE problem IS NOT NULL OR coalesce(actual, 0) <> quota"""))
 def mix_check(lake: Lake) -> DataFrame:
     cases = b.caseset(lake).withColumn("set_id", F.col("source"))
     return caseset.mix_check(cases, quotas(lake))

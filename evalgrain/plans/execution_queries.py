@@ -189,7 +189,7 @@ def full_run_counts(lake: Lake) -> DataFrame:
 
 @query("E16_skip_propagation", sql(b.TURNS_SQL, """
 SELECT run_id, case_id, turn_index, status, CASE WHEN turn_index > first_bad THEN 'skipped' ELSE status END AS expected_status,
-       CASE WHEN turn_index > first_bad THEN 'previous turn t' || first_bad || ' ended with status=failed' END AS expected_reason
+       CASE WHEN turn_index > first_bad THEN 'turn ' || first_bad || ' came before and was failed' END AS expected_reason
 FROM (SELECT *, min(CASE WHEN status = 'failed' THEN turn_index END) OVER (PARTITION BY run_id, case_id, repeat_index) AS first_bad FROM turns) x"""))
 def skip_propagation(lake: Lake) -> DataFrame:
     return execution.skip_propagation(b.turns(lake)).select(

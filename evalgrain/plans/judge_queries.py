@@ -57,7 +57,7 @@ def grading_candidates(lake: Lake) -> DataFrame:
 
 @query("H3_grading_requests", sql(b.TURNS_SQL, CLASS_SQL, """
 SELECT run_id, case_id, turn_index, text AS prompt, '["claim"]' AS assertions, '["in.txt"]' AS files,
-       '[{"path":"a","size_bytes":1,"mime_type":"text/plain","sha256":"' || substr(sha256(text), 1, 16) || '","content":"x"}]' AS artifacts,
+       '[{"path":"a","size_bytes":1,"mime_type":"text/plain","sha256":"' || sha256(text) || '","content":"x"}]' AS artifacts,
        ANSWER_CHARS AS output_chars
 FROM cls WHERE grading_class = 'candidate'""".replace("ANSWER_CHARS", ANSWER_CHARS)))
 def grading_requests(lake: Lake) -> DataFrame:
@@ -404,8 +404,8 @@ def registry_match(lake: Lake) -> DataFrame:
 
 @query("I13_gate_calibration", sql(SCOPE_SQL, """
 SELECT run_id, metric, coalesce(scope <> 'trajectory_dimension' AND s_nationkey < 20 AND s_nationkey % 5 <> 0, false) AS qualified,
-   CASE WHEN scope = 'trajectory_dimension' OR s_nationkey >= 20 THEN 'judge/rubric fingerprint not registered'
-        WHEN s_nationkey % 5 = 0 THEN 'registered calibration did not meet thresholds' ELSE 'qualified' END AS reason
+   CASE WHEN scope = 'trajectory_dimension' OR s_nationkey >= 20 THEN 'setup is not in the registry'
+        WHEN s_nationkey % 5 = 0 THEN 'registered, below its thresholds' ELSE 'qualified' END AS reason
 FROM sc WHERE scope IS NOT NULL"""))
 def gate_calibration(lake: Lake) -> DataFrame:
     return calibration.gate_calibration(matched(lake), F.lit(True)).select("run_id", "metric", "qualified", "reason")

@@ -284,9 +284,7 @@ def write_scores(lake: Lake) -> DataFrame:
 SELECT run_id, status, error_kind, count(*) AS n, sum(CASE WHEN tax IN (3, 4) THEN 0 ELSE 2 END + (l_quantity >= 10)::INT + 1)::BIGINT AS events
 FROM runs GROUP BY 1, 2, 3"""))
 def trajectory_projection(lake: Lake) -> DataFrame:
-    rows = b.runs(lake).withColumn("exact_events", F.lit(None).cast(f"array<{EVENT}>")).withColumn(
-        "tool_calls", F.coalesce("tool_calls", F.from_json(
-            F.lit("[]"), "array<struct<name: string, count: int, failures: int>>")))
+    rows = b.runs(lake).withColumn("exact_events", F.lit(None).cast(f"array<{EVENT}>"))
     projected = run_source.trajectory_projection(trajectory.normalize_trajectory(rows))
     return projected.groupBy("run_id", "status", "error_kind").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.size("events")).alias("events"))

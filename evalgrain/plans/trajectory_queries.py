@@ -276,9 +276,7 @@ SELECT run_id, event_type, evidence_level, name, step_index, count(*) AS n FROM
 def normalize_trajectory(lake: Lake) -> DataFrame:
 
 
-    rows = b.runs(lake).withColumn("exact_events", F.lit(None).cast(f"array<{EVENT}>")) \
-        .withColumn("tool_calls", F.coalesce("tool_calls", F.filter("tool_calls", lambda t: F.lit(False)),
-                                             F.from_json(F.lit("[]"), "array<struct<name:string,count:int,failures:int>>")))
+    rows = b.runs(lake).withColumn("exact_events", F.lit(None).cast(f"array<{EVENT}>"))
     full = trajectory.normalize_trajectory(rows)
     return trajectory.explode_events(full, ["run_id"]).groupBy(
         "run_id", "event_type", "evidence_level", "name", "step_index").agg(F.count(F.lit(1)).alias("n"))
@@ -325,17 +323,19 @@ def json_equal(lake: Lake) -> DataFrame:
 
 
 @query("B11_sanitize_arguments", """
-SELECT doc_id, CASE WHEN length(text) > 500 THEN text[:500] || '…[truncated at 500 of ' || length(text) || ' chars]' ELSE text END AS body,
+SELECT doc_id, text AS body, CASE WHEN length(text) > 500 THEN text[:500] || '…[truncated at 500 of ' || length(text) || ' chars]' ELSE text END AS shown,
        '<redacted>' AS api_key, '<redacted>' AS nested_token, lang FROM documents""")
 def sanitize_arguments(lake: Lake) -> DataFrame:
     body = F.to_json(F.struct(
         F.col("text").alias("body"), F.col("source").alias("api_key"),
         F.struct(F.col("source").alias("access-token"), F.col("lang").alias("lang")).alias("opts")))
     clean = args.redact_arguments(F.parse_json(body))
-    rows = lake.documents.select("doc_id", clean.alias("v"))
+    rows = lake.documents.select(
+        "doc_id", clean.alias("v"),
+        F.get_json_object(args.display_arguments(F.parse_json(body)), "$.body").alias("shown"))
 
     def at(path: str, name: str) -> Column:
         return F.try_variant_get("v", path, "string").alias(name)
 
-    return rows.select("doc_id", at("$.body", "body"), at("$.api_key", "api_key"),
+    return rows.select("doc_id", at("$.body", "body"), "shown", at("$.api_key", "api_key"),
                        at("$.opts['access-token']", "nested_token"), at("$.opts.lang", "lang"))

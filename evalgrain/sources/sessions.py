@@ -13,8 +13,7 @@ CALL_BLOCKS = ("toolcall", "tooluse", "functioncall")
 
 
 ENTRY = (
-    "type string, message struct<role: string, content: array<struct<type: string, id: string, "
-    "name: string, arguments: variant, input: variant, parameters: variant>>, toolName: string, "
+    "type string, message struct<role: string, content: array<variant>, toolName: string, "
     "toolCallId: string, isError: boolean, timestamp: bigint>"
 )
 
@@ -29,7 +28,11 @@ def session_events(lines: DataFrame, keys: list[str], source: str = "session") -
     message = lines.filter(F.col("value").contains("message")) \
         .select(*keys, "line_no", F.from_json("value", ENTRY).alias("_e")) \
         .select(*keys, "line_no", (F.col("_e.type") == "message").alias("_is_message"), "_e.message.*")
-    blocks = F.filter("content", lambda x: F.coalesce(
+    fields = (("type", "string"), ("id", "string"), ("name", "string"),
+              ("arguments", "variant"), ("input", "variant"), ("parameters", "variant"))
+    objects = F.transform(F.filter("content", lambda x: F.coalesce(as_object(x).isNotNull(), F.lit(False))),
+                          lambda x: F.struct(*[F.try_variant_get(x, f"$.{n}", kind).alias(n) for n, kind in fields]))
+    blocks = F.filter(objects, lambda x: F.coalesce(
         F.lower(F.trim(x["type"])).isin(*CALL_BLOCKS) & (x["name"] != ""), F.lit(False)))
     result = F.array(F.struct(*[
         (F.col(column) if column else F.lit(None)).cast(kind).alias(name)

@@ -118,6 +118,13 @@ def test_expected_mix(spark, n, with_multi, want):
     assert {r["case_type"]: r["quota"] for r in caseset.expected_mix(sets, with_multi).collect()} == want
 
 
+def test_a_set_too_small_for_a_mix_is_named(spark):
+    sets = spark.createDataFrame([("s", 3), ("t", 4)], "set_id string, n_cases int")
+    cases = spark.createDataFrame([("s", "a-pos-01")], "set_id string, id string")
+    got = caseset.mix_check(cases, caseset.expected_mix(sets, True)).filter("set_id = 's'").collect()
+    assert [(r["case_type"], r["quota"], r["actual"], r["problem"]) for r in got] == [(None, None, None, "too few cases")]
+
+
 @pytest.mark.parametrize("shift, agreement, error", [(-0.2, 1.0, 0.2), (-0.4, 0.0, 0.4)])
 def test_dimension_agreement(spark, shift, agreement, error):
     columns = "calibration_id string, judge_id string, case_id string, repeat_index int, turn_index int, dimension string, score double"
@@ -159,8 +166,9 @@ def test_retention(spark):
 
 def test_inline_secrets(spark):
     configs = spark.createDataFrame([("a", '{"models": [{"api_key_env": "X", "Api-Key": "v"}], "n": {"password_id": 1}}'),
-                                     ("b", '{"deep": {"er": {"est": {"secret": 1}}}}')], "config_id string, j string") \
+                                     ("b", '{"deep": {"er": {"est": {"secret": 1}}}}'),
+                                     ("c", '{"d": ' * 12 + '{"secret": 1}' + "}" * 12)], "config_id string, j string") \
         .select("config_id", F.parse_json("j").alias("config"))
-    got = {(r["config_id"], r["path"], r["problem"]) for r in caseset.inline_secrets(configs, depth=3).collect()}
+    got = {(r["config_id"], r["path"], r["problem"]) for r in caseset.inline_secrets(configs).collect()}
     assert got == {("a", "suite.models[0].Api-Key", "inline secret"),
-                   ("b", "suite.deep.er.est", "nested too deep to check")}
+                   ("b", "suite.deep.er.est.secret", "inline secret"), ("c", "suite" + ".d" * 12 + ".secret", "inline secret")}

@@ -95,7 +95,7 @@ def test_session_file(spark, tmp_path, rows):
         return json.dumps({"type": "message", "message": body})
 
     path = write(tmp_path / "s.jsonl", [
-        message(role="assistant", content=[{"type": "text", "text": "hi"},
+        message(role="assistant", content=["bare", 7, None, {"type": "text", "text": "hi"},
                                            {"type": "toolCall", "id": "c1", "name": "write",
                                             "arguments": {"api_key": "k", "body": "x" * 900}}]),
         "not json", message(role="toolResult", toolCallId="c1", toolName="write", isError=False),
@@ -108,7 +108,7 @@ def test_session_file(spark, tmp_path, rows):
         (1, "tool_call", "write", "c1", "started"), (2, "tool_result", "write", "c1", "success"),
         (3, "tool_call", "read", "c3", "started"), (4, "tool_result", "read", "c3", "failed")]
     first = json.loads(got[0]["a"])
-    assert first["api_key"] == "<redacted>" and "truncated at 500 of 900" in first["body"]
+    assert first["api_key"] == "<redacted>" and first["body"] == "x" * 900
     assert json.loads(got[2]["a"]) == {"p": 1}
 
 

@@ -145,8 +145,46 @@ def test_redaction(spark):
     df = spark.createDataFrame([(json.dumps(value),), ('{"plain":1}',)], "j string")
     got = [json.loads(r[0]) for r in df.select(F.to_json(args.redact_arguments(F.parse_json("j")))).collect()]
     assert got[0]["api_key"] == "<redacted>" and got[0]["deep"] == {"Authorization": "<redacted>", "ok": "s"}
-    assert got[0]["body"].endswith("…[truncated at 500 of 900 chars]") and len(got[0]["list"]) == 20
+    assert got[0]["body"] == "x" * 900 and got[0]["list"] == list(range(25))
     assert got[1] == {"plain": 1}
+    shown = json.loads(df.select(args.display_arguments(F.parse_json("j"))).first()[0])
+    assert shown["body"].endswith("…[truncated at 500 of 900 chars]") and len(shown["list"]) == 20
+    assert shown["api_key"] == "<redacted>"
+
+
+@pytest.mark.parametrize("text, want", [
+    ('{"n":12345678901234567.891,"token":[1,{"a":"]"}],"t":"x"}', '{"n":12345678901234567.891,"token":"<redacted>","t":"x"}'),
+    ('{"a":[{"secret":"q\\"}"},{"b":"token: \\u00e9"}],"c":null}', '{"a":[{"secret":"<redacted>"},{"b":"token: é"}],"c":null}'),
+    ('{"password":true,"token":{}}', '{"password":"<redacted>","token":"<redacted>"}'), ('"token"', '"token"'), ('[]', '[]')])
+def test_masking_keeps_the_rest(spark, text, want):
+    def read(line):
+        return json.loads(line, parse_float=str)
+
+    long = "x" * 5000
+    lines = [text, f'{{"long":"{long}","v":{text}}}']
+    df = spark.createDataFrame([(line,) for line in lines], "j string")
+    got = [read(r[0]) for r in df.select(F.to_json(args.redact_arguments(F.parse_json("j")))).collect()]
+    assert got == [read(want), {"long": long, "v": read(want)}]
+
+
+@pytest.mark.parametrize("value, pattern, want", [
+    ("报告", r"^\w+$", True), ("１２", r"^\d+$", True), ("ab", "(?P<one_a>a)(?P<b>b)", True), ("abab", "(?P<x>ab)(?P=x)", True),
+    ("a", "(", None), (None, "a", None), ("b", "a", False)])
+def test_regex_dialect(spark, value, pattern, want):
+    df = spark.createDataFrame([(value, pattern), ("z", "z")], "t string, p string")
+    assert [r[0] for r in df.select(args.regex_found("t", "p")).collect()] == [want, True]
+
+
+def test_missing_lists_are_empty(spark):
+    tools, arts = "array<struct<name: string, count: int, failures: int>>", \
+        "array<struct<path: string, sha256: string, size_bytes: bigint, change: string>>"
+    df = spark.createDataFrame([(1, None, None), (2, [("t", 1, 0)], None), (3, None, [("a", "h", 1, "new")])],
+                               f"id int, tool_calls {tools}, artifacts {arts}") \
+        .withColumn("exact_events", F.lit(None).cast(f"array<{trajectory.EVENT}>"))
+    got = {r["id"]: [(e["event_type"], e["step_index"]) for e in r["trajectory"]]
+           for r in trajectory.normalize_trajectory(df).select("id", F.transform("trajectory", lambda e: F.struct(
+               e["event_type"].alias("event_type"), e["step_index"].alias("step_index"))).alias("trajectory")).collect()}
+    assert got == {1: [("final", 1)], 2: [("tool_call", 1), ("final", 2)], 3: [("state_change", 1), ("final", 2)]}
 
 
 @pytest.mark.parametrize("pattern, path, want", [
