@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evalgrain.functions.text import error_subkind, non_empty
+from evalgrain.operators import joins
 
 
 def inspect_records(runs: DataFrame, cases: DataFrame) -> DataFrame:
     """One flat record per run turn. Old rows get their missing error_subkind from the error text."""
-    gold = cases.select("case_id", "prompt", "expected_skills")
+    key = joins.case_key(runs, cases, ["case_id"])
+    gold = cases.select(*key, "prompt", "expected_skills")
     none = F.array().cast("array<string>")
     status = F.when(F.col("status") == "skipped", "skipped") \
         .when(F.coalesce("ok", F.lit(True)), "ok").otherwise("failed")
     subkind = F.coalesce(non_empty(F.col("error_subkind")),
                          error_subkind(F.col("error_kind"), non_empty(F.col("error"))))
-    return runs.join(gold, "case_id", "left").select(
+    return runs.join(gold, key, "left").select(
         "run_id", "case_id", F.coalesce("turn_index", F.lit(1)).alias("turn_index"),
         F.coalesce("repeat_index", F.lit(0)).alias("repeat_index"), status.alias("status"),
         F.coalesce(non_empty(F.col("resolved_model")), F.col("model")).alias("model"),

@@ -78,13 +78,29 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+def case_key(runs: DataFrame, cases: DataFrame, key: list[str]) -> list[str]:
+    """The key of runs and cases: versions of a dataset share case ids, so `dataset_hash` belongs to it.
+
+    Tables without it hold one dataset; one table with and one without it cannot be joined.
+    """
+    named = ["dataset_hash" in table.columns for table in (runs, cases)]
+    if any(named) and not all(named):
+        raise ValueError("runs and cases must both carry dataset_hash, or neither")
+    return ["dataset_hash", *key] if all(named) else key
+
+
+def with_dataset(runs: DataFrame, run_dim: DataFrame) -> DataFrame:
+    """Runs with the dataset their snapshot names."""
+    return runs.join(run_dim.select("run_id", "dataset_hash"), "run_id", "left")
+
+
 def runs_with_case(runs: DataFrame, turns: DataFrame, on: list[str] | None = None) -> DataFrame:
-    return runs.join(turns, on or ["case_id", "turn_index"])
+    return runs.join(turns, on or case_key(runs, turns, ["case_id", "turn_index"]))
 
 
 def orphan_runs(runs: DataFrame, turns: DataFrame, on: list[str] | None = None) -> DataFrame:
     """Runs whose case or turn does not exist: an error of the log, reported as rows."""
-    keys = on or ["case_id", "turn_index"]
+    keys = on or case_key(runs, turns, ["case_id", "turn_index"])
     return runs.join(turns.select(*keys), keys, "left_anti")
 
 

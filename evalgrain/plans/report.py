@@ -10,7 +10,11 @@ from evalgrain.operators import execution, gates, joins, routing, stats
 
 
 def routing_rows(runs: DataFrame, cases: DataFrame, on: list[str] | None = None) -> DataFrame:
-    """Run rows with what their case expects; case fields are derived on the case side."""
+    """Run rows with what their case expects; case fields are derived on the case side.
+
+    The key is `on`, else the case id, with `dataset_hash` where both tables carry it (`joins.with_dataset`).
+    """
+    on = on or joins.case_key(runs, cases, ["case_id"])
     none = F.array().cast("array<string>")
 
     def claimed(column: str):
@@ -21,13 +25,13 @@ def routing_rows(runs: DataFrame, cases: DataFrame, on: list[str] | None = None)
     traces = F.col("expect_trajectory").isNotNull() if "expect_trajectory" in cases.columns \
         else F.lit(False)
     gold = routing.with_gold(cases).select(
-        *(on or ["case_id"]), "expected", "expected_set", "n_expected", "truth", "severity", case_type(F.col("case_id")).alias("type"),
+        *on, "expected", "expected_set", "n_expected", "truth", "severity", case_type(F.col("case_id")).alias("type"),
         case_functions.case_stage(
             F.col("stage"), F.coalesce("tags", none), claimed("expect_artifacts") | forbids,
             claimed("expect_tools") | traces).alias("stage"))
     facts = runs.select("run_id", "case_id", "repeat_index", "line_no", "selected", "ok", "error_kind",
-                        *[c for c in (on or []) if c != "case_id"])
-    return joins.runs_with_case(facts, gold, on or ["case_id"])
+                        *[c for c in on if c != "case_id"])
+    return joins.runs_with_case(facts, gold, on)
 
 
 def case_table(cases: DataFrame) -> DataFrame:
@@ -39,8 +43,12 @@ def execution_turns(runs: DataFrame, cases: DataFrame, run_dim: DataFrame) -> Da
     """Scored turns from run records, cases (`case_table`) and run snapshots.
 
     Runs are joined with small per-turn expectations; the skill catalog of a
-    run comes from its snapshot.
+    run comes from its snapshot. Cases of several datasets carry `dataset_hash`;
+    that of a run comes from its snapshot too.
     """
+    if "dataset_hash" in cases.columns and "dataset_hash" not in runs.columns:
+        runs = joins.with_dataset(runs, run_dim)
+    key = joins.case_key(runs, cases, ["case_id", "turn_index"])
     none = F.array().cast("array<string>")
     stage = case_functions.case_stage(
         F.col("stage"), F.coalesce("tags", none),
@@ -49,7 +57,7 @@ def execution_turns(runs: DataFrame, cases: DataFrame, run_dim: DataFrame) -> Da
     described = cases.withColumns({
         "type": case_type(F.col("case_id")), "stage": stage, "expected_skills": F.col("expected")})
     expectations = execution.compile_expectations(joins.resolve_turns(described)).select(
-        "case_id", "turn_index", "type", "stage", "severity", "expected_skills", "forbid_artifacts",
+        *key, "type", "stage", "severity", "expected_skills", "forbid_artifacts",
         "requires_context", "artifact_rules", "workspace_rules", "tool_rules")
     catalogs = run_dim.select("run_id", F.col("skill_catalog").alias("catalog"))
     rows = joins.runs_with_case(runs, expectations).join(catalogs, "run_id", "left")

@@ -195,6 +195,22 @@ def runs_with_case(lake: Lake) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum(F.size("expected")).alias("gold"))
 
 
+@query("C2_runs_by_dataset", sql(*ROUTED, """
+SELECT run_id, type, count(*) AS n, sum(CASE WHEN run_id = 'R' THEN 0 ELSE len(expected) END)::BIGINT AS gold FROM routed GROUP BY 1, 2"""))
+def runs_by_dataset(lake: Lake) -> DataFrame:
+    """Two datasets share all case ids; in the one of run R no case expects a skill."""
+    def named(column: Column) -> Column:
+        return F.when(column, "older").otherwise("newer")
+
+    cases = b.cases(lake)
+    older = cases.withColumn("expected", F.array().cast("array<string>"))
+    both = cases.withColumn("dataset_hash", named(F.lit(False))).unionByName(
+        older.withColumn("dataset_hash", named(F.lit(True))))
+    runs = b.runs(lake).withColumn("dataset_hash", named(F.col("run_id") == "R"))
+    return report.routing_rows(runs, both).groupBy("run_id", "type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.size("expected")).alias("gold"))
+
+
 @query("C2_orphan_cases", sql(b.CASES_SQL, b.RUNS_SQL, """
 SELECT case_id, severity FROM cases WHERE case_id NOT IN (SELECT case_id FROM runs)"""))
 def orphan_cases(lake: Lake) -> DataFrame:

@@ -2,60 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from evalgrain.functions.text import content_hash, non_empty
+from evalgrain.functions.text import content_hash
 from evalgrain.operators import joins
 
 # Fixed values.
 VERSION_PATTERN = r"^v\d+(\.\d+)*$"
 IGNORED_PARTS = (".git", ".env", "__pycache__", ".DS_Store")
 IMPORT_META = "_meta.json"
-YAML_WORDS = ("true", "false", "yes", "no", "on", "off", "null", "~")
 
+FRONT = T.StructType([
+    T.StructField("name", T.StringType()), T.StructField("description", T.StringType()),
+    T.StructField("triggers", T.ArrayType(T.StringType())), T.StructField("exclusions", T.ArrayType(T.StringType())),
+    T.StructField("disabled", T.BooleanType())])
 
-def skill_documents(files: DataFrame) -> DataFrame:
-    """Catalog rows from (path, content). Only the front matter is read; the hash covers the file."""
-    text = F.col("content").cast("string")
-    parts = F.split("path", "/")
-    front = F.regexp_extract(text, r"(?s)\A---\s*\n(.*?)\n---", 1)
-    name = _scalar(front, "name")
-    quoted = _raw(front, "name").rlike("^[\"']")
-    is_text = name.isNotNull() & (quoted | ~(
-        F.lower(name).isin(*YAML_WORDS) | name.rlike(r"^[-+]?\d+(\.\d+)?$")))
-    disabled = (_scalar(front, "disable") == "true") | (_scalar(front, "enabled") == "false")
-    return files.select(
-        F.when(is_text, name).otherwise(F.try_element_at(parts, F.lit(-3))).alias("skill_id"),
-        F.try_element_at(parts, F.lit(-2)).alias("version"),
-        F.coalesce(_scalar(front, "description"), F.lit("")).alias("description"),
-        _words(front, "triggers").alias("triggers"), _words(front, "exclusions").alias("exclusions"),
-        F.coalesce(disabled, F.lit(False)).alias("disabled"),
-        content_hash(text).alias("content_hash"), F.col("path").alias("source_path"),
-    ).filter(F.col("version").rlike(VERSION_PATTERN))
 
+@F.pandas_udf(FRONT)
+def _front_matter(batch: pd.Series) -> pd.DataFrame:
+    """The fields of YAML front matter; broken YAML and YAML that is no mapping have none."""
+    import yaml  # only tasks that read skill documents need it
 
-def _raw(front: Column, key: str) -> Column:
-    return F.regexp_extract(front, rf"(?m)^{key}:[ \t]*(.*?)[ \t]*$", 1)
+    def words(value) -> list[str]:
+        return [str(v) for v in value] if isinstance(value, list) else []
 
+    def fields(front: str) -> tuple:
+        try:
+            meta = yaml.safe_load(front)
+        except yaml.YAMLError:
+            meta = None
+        meta = meta if isinstance(meta, dict) else {}
+        name, about = meta.get("name"), meta.get("description")
+        return (name if isinstance(name, str) and name else None, "" if about is None else str(about),
+                words(meta.get("triggers")), words(meta.get("exclusions")),
+                meta.get("disable") is True or meta.get("enabled") is False)
 
-def _scalar(front: Column, key: str) -> Column:
-    """A one-line or folded front-matter value without quotes; NULL when absent."""
-    line = _raw(front, key)
-    folded = F.regexp_replace(
-        F.regexp_extract(front, rf"(?m)^{key}:[ \t]*[>|]-?[ \t]*\n((?:[ \t]+.*(?:\n|\z))+)", 1),
-        r"\s*\n\s*", " ")
-    plain = F.regexp_replace(line, "^[\"'](.*)[\"']$", "$1")
-    return non_empty(F.when(line.rlike(r"^[>|]-?$"), F.trim(folded)).otherwise(plain))
+    return pd.DataFrame([fields(front or "") for front in batch],
+                        columns=["name", "description", "triggers", "exclusions", "disabled"])
 
 
-def _words(front: Column, key: str) -> Column:
-    """An inline `[a, b]` list or a block of `- item` lines."""
-    inline = F.regexp_extract(front, rf"(?m)^{key}:[ \t]*\[(.*?)\][ \t]*$", 1)
-    block = F.regexp_extract(front, rf"(?m)^{key}:[ \t]*\n((?:[ \t]*-[ \t].*(?:\n|\z))+)", 1)
-    items = F.when(inline != "", F.split(inline, ",")) \
-        .otherwise(F.split(F.regexp_replace(block, r"(?m)^[ \t]*-[ \t]", ""), r"\n"))
-    clean = F.transform(items, lambda i: F.regexp_replace(F.trim(i), "^[\"'](.*)[\"']$", "$1"))
-    return F.filter(clean, lambda i: i != "")
+def skill_documents(files: DataFrame) -> DataFrame:
+    """Catalog rows from (path, content). Only the front matter is read, as YAML; the hash covers the file."""
+    text = F.col("content").cast("string")
+    parts = F.split("path", "/")
+    front = F.regexp_extract(text, r"(?s)\A---[ \t]*\r?\n(.*?)\r?\n---", 1)
+    return files.select(
+        "path", content_hash(text).alias("content_hash"), _front_matter(front).alias("_f"),
+    ).select(
+        F.coalesce("_f.name", F.try_element_at(parts, F.lit(-3))).alias("skill_id"),
+        F.try_element_at(parts, F.lit(-2)).alias("version"), "_f.description", "_f.triggers", "_f.exclusions",
+        "_f.disabled", "content_hash", F.col("path").alias("source_path"),
+    ).filter(F.col("version").rlike(VERSION_PATTERN))
 
 
 def read_skill_catalog(spark: SparkSession, root: str) -> DataFrame:

@@ -97,6 +97,25 @@ def test_trajectory_from_records(lake):
     assert sorted(r["tool_selection"] for r in chosen) == [0.0, 0.0, 1.0]
 
 
+def test_datasets_that_share_case_ids(lake):
+    runs, cases, dim = lake
+    dim = dim.withColumn("dataset_hash", F.when(F.col("run_id") == "g/e1", "new").otherwise("old"))
+    both = cases.withColumn("dataset_hash", F.lit("new")).unionByName(
+        cases.withColumn("dataset_hash", F.lit("old")).withColumn("expected", F.array(F.lit("docx"))))
+    rows = report.routing_rows(joins.with_dataset(runs, dim).withColumnRenamed("selected_skills", "selected"), both)
+    alone = report.routing_rows(runs.withColumnRenamed("selected_skills", "selected"), cases)
+    columns = ["run_id", "case_id", "repeat_index", "line_no", "expected"]
+    assert rows.filter("run_id = 'g/e1'").select(columns).exceptAll(
+        alone.filter("run_id = 'g/e1'").select(columns)).count() == 0
+    assert rows.count() == alone.count()
+    assert {tuple(r["expected"]) for r in rows.filter("run_id = 'g/e2'").collect()} == {("docx",)}
+    assert report.execution_turns(runs, both, dim).count() == report.execution_turns(runs, cases, dim).count()
+    records = inspection.inspect_records(joins.with_dataset(runs, dim), both.withColumn("expected_skills", F.col("expected")))
+    assert records.count() == runs.count()
+    with pytest.raises(ValueError):
+        joins.runs_with_case(runs, both)
+
+
 def test_inspection_and_evidence(lake, rows):
     runs, cases, dim = lake
     gold = cases.select("case_id", "prompt", F.col("expected").alias("expected_skills"))

@@ -90,6 +90,18 @@ def test_skills_and_manifest(spark, tmp_path, rows):
     assert sorted(r["path"] for r in rows(manifest)) == ["notes/SKILL.md", "v1/SKILL.md", "v10/SKILL.md"]
 
 
+@pytest.mark.parametrize("front, want", [
+    (["disable: True"], ("s", "", [], True)), (["disable: yes"], ("s", "", [], True)), (['disable: "true"'], ("s", "", [], False)),
+    (["enabled: off"], ("s", "", [], True)), (["name: a  # the name", "description: one", "  two"], ("a", "one two", [], False)),
+    (['triggers: ["a, b", c]'], ("s", "", ["a, b", "c"], False)), (["name: 'no'", "triggers:"], ("no", "", [], False)),
+    (["name: [", "disable: true"], ("s", "", [], False)), (["- list"], ("s", "", [], False))])
+def test_front_matter_is_yaml(spark, front, want):
+    text = "\n".join(["---", *front, "---", "body"])
+    files = spark.createDataFrame([("/k/s/v1/SKILL.md", bytearray(text, "utf-8"))], "path string, content binary")
+    row = skill_source.skill_documents(files).first()
+    assert (row["skill_id"], row["description"], row["triggers"], row["disabled"]) == want
+
+
 def test_session_file(spark, tmp_path, rows):
     def message(**body):
         return json.dumps({"type": "message", "message": body})
