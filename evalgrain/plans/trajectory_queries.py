@@ -170,10 +170,12 @@ st AS (SELECT exp.run_id, exp.case_id, CASE WHEN count(ev.step_index) > 0 THEN 1
        WHERE exp.state GROUP BY 1, 2)"""
 
 
-@query("G10_state_persistence", sql(*BASE, STATE_SQL, "SELECT * FROM st"))
+@query("G10_state_persistence", sql(*BASE, STATE_SQL, """
+SELECT run_id, case_id, CASE WHEN (run_id, case_id) IN (SELECT (run_id, case_id) FROM arts) THEN 1e0 ELSE state_persistence END AS state_persistence
+FROM st"""))
 def state_persistence(lake: Lake) -> DataFrame:
     return trajectory.state_persistence(
-        expectations(lake), b.events(lake), artifacts(lake).limit(0), K
+        expectations(lake), b.events(lake), artifacts(lake), K
     ).select("run_id", "case_id", "state_persistence")
 
 
