@@ -1,14 +1,17 @@
 """A training corpus from raw documents: five stages, each written as Parquet and read again by the next.
 
-A stage begins by deleting the scratch tables of the one before, whose result is written by then.
+A stage begins by deleting the scratch tables of the one before, unless the documents it is given still read them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from evalgrain.llm.best_fit import pack
-from evalgrain.llm.common import prepare, release, table
+from evalgrain.llm.common import made, made_since, prepare, release, table
 from evalgrain.llm.ppm_language import accept
 from evalgrain.llm.simhash_pivot import keep_first
 from evalgrain.llm.spaced_seed import decontaminate
@@ -16,33 +19,52 @@ from evalgrain.llm.suffix_levels import remove_repeats
 from evalgrain.session import materialize
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_scratch: dict[str, list[str]] = {}  # scratch folders of the last call of a stage
+
+
+def after(before: str | None) -> Callable[[Stage], Stage]:
+    """A stage that frees what the stage `before` it left."""
+    def wrap(stage: Stage) -> Stage:
+        @wraps(stage)
+        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            prepare(spark)
+            release(docs, _scratch.pop(before, []))
+            count = made()
+            out = stage(spark, docs, sf_dir)
+            _scratch[stage.__name__] = made_since(count)
+            return out
+        return run_stage
+    return wrap
+
+
+@after(None)
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told; texts without a letter go."""
-    release(prepare(spark))
     return accept(docs)
 
 
+@after("language")
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    release(prepare(spark))
     return keep_first(docs)
 
 
+@after("near_duplicates")
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without strings of 200 bytes that also stand elsewhere."""
-    release(prepare(spark))
     return remove_repeats(docs)
 
 
+@after("repeated_strings")
 def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
-    release(prepare(spark))
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+@after("benchmark_items")
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all documents' tokens in training sequences."""
-    release(prepare(spark))
     return pack(docs)
 
 

@@ -30,11 +30,24 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch folders made so far; results that were not written yet are lost with them."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    while _folders:
-        path = hadoop(_folders.pop())
+def made_since(count: int) -> list[str]:
+    """The scratch folders made after the first `count`."""
+    return _folders[count:]
+
+
+def made() -> int:
+    return len(_folders)
+
+
+def release(docs: DataFrame, folders: list[str]) -> None:
+    """Delete scratch folders of a result that was written, unless docs still reads from one of them."""
+    spark = docs.sparkSession
+    names = {folder.rstrip("/").rsplit("/", 1)[1] for folder in folders}
+    if any(part in names for file in docs.inputFiles() for part in file.split("/")):
+        return
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for folder in folders:
+        path = path_of(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
