@@ -29,6 +29,7 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 # Near-duplicate stage: five words, similarity 0.8; SAMPLES fingerprints of the PICK smallest shingles each.
 STAGE_WORDS, SIMILARITY = 5, 0.8
 SAMPLES, PICK, PAIRED = 12, 4, 32
+SALTS = 16
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 _OFFSETS = np.arange(8) * 256
@@ -182,31 +183,66 @@ def _text_digest(text: bytes) -> bytes:
     return hashlib.md5(b" ".join(text.translate(LOWER).split())).digest()
 
 
-def sample_candidates(sketches: DataFrame) -> DataFrame:
-    """(a, b) of rows (row, n, samples) that agree in a sampled fingerprint.
+def sample_candidates(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of rows (row, n, samples) that agree in a sampled fingerprint, and the crowds (row, t, key).
 
-    Up to PAIRED rows with one value are paired up. More are all linked to the smallest, and paired up where they also
-    agree in the next samples, which copies that differ little do.
+    Up to PAIRED rows with one value are paired up. More are a crowd: they are all linked to the smallest here, and
+    crowd_candidates looks after those that this leaves apart.
     """
-    again = [F.get("samples", (F.col("t") + k) % SAMPLES).alias(f"next{k}") for k in (1, 2)]
-    keyed = sketches.select("row", "n", "samples", F.posexplode("samples").alias("t", "key")).select(
-        "row", "n", "t", "key", *again)
-    out = None
-    for level in (1, 2, 3):
-        sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("c"), F.min(F.struct("row", "n")).alias("first"))
-        sized = materialize(keyed.join(sizes.where("c > 1"), ["t", "key"]), "sampled")
-        few = sized.where(F.col("c") <= PAIRED)
-        pairs = few.select("t", "key", F.col("row").alias("a"), F.col("n").alias("na")).join(
-            few.select("t", "key", F.col("row").alias("b"), F.col("n").alias("nb")), ["t", "key"]).where("a < b")
-        many = sized.where(F.col("c") > PAIRED)
-        stars = many.select(F.col("first.row").alias("a"), F.col("first.n").alias("na"), F.col("row").alias("b"),
-                            F.col("n").alias("nb")).where("a <> b")
-        found = pairs.select("a", "na", "b", "nb").unionByName(stars)
-        out = found if out is None else out.unionByName(found)
-        if level < 3:
-            keyed = many.withColumn("key", F.xxhash64("key", f"next{level}")).select("row", "n", "t", "key", "next1", "next2")
-    close = F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")
-    return out.where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    keyed = sketches.select("row", "n", F.posexplode("samples").alias("t", "key"))
+    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("c"), F.min(F.struct("row", "n")).alias("first"))
+    sized = materialize(keyed.join(sizes.where("c > 1"), ["t", "key"]), "sampled")
+    few, many = sized.where(F.col("c") <= PAIRED), sized.where(F.col("c") > PAIRED)
+    pairs = few.select("t", "key", F.col("row").alias("a"), F.col("n").alias("na")).join(
+        few.select("t", "key", F.col("row").alias("b"), F.col("n").alias("nb")), ["t", "key"]).where("a < b")
+    stars = many.select(F.col("first.row").alias("a"), F.col("first.n").alias("na"), F.col("row").alias("b"),
+                        F.col("n").alias("nb")).where("a <> b")
+    return (like_sized(pairs.select("a", "na", "b", "nb").unionByName(stars)).select("a", "b").distinct(),
+            many.select("row", "t", "key"))
+
+
+def like_sized(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, na, b, nb) whose numbers of shingles allow the similarity."""
+    return pairs.where(F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb"))
+
+
+def crowd_candidates(sketches: DataFrame, crowds: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(a, b, ra, rb): pairs across groups (row, root) of rows of one crowd that agree in a further sample.
+
+    A crowd that is one group already needs no more links and is left out. In the others every pair of rows of
+    different groups is compared that agrees in a second sample; the rows of all but the largest group meet all others,
+    salted by the other side, so that no key is gathered in one task.
+    """
+    labelled = crowds.join(grouped, "row", "left").withColumn("root", F.coalesce("root", "row"))
+    apart = labelled.groupBy("t", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    loose = materialize(labelled.join(apart.select("t", "key"), ["t", "key"], "left_semi"), "loose")
+    t, u = F.least("t", "u"), F.greatest("t", "u")
+    finer = (loose.select("row", "root", "t").join(sketches, "row")
+             .select("row", "root", "n", "samples", "t", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES - 1))).alias("u"))
+             .where("t <> u").select("row", "root", "n", F.xxhash64(
+                 t, u, F.get("samples", t), F.get("samples", u)).alias("key")).distinct())
+    per_group = finer.groupBy("key", "root").agg(F.count("*").alias("c"))
+    top = per_group.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("groups"))
+    finer = materialize(finer.join(top.where("groups > 1").select("key", F.col("top.root").alias("top")), "key"), "finer")
+    salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
+    rest = finer.where("root <> top").select(
+        "key", F.col("row").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"),
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    others = finer.select("key", salt.alias("salt"), F.col("row").alias("b"), F.col("n").alias("nb"),
+                          F.col("root").alias("rb"), (F.col("root") == F.col("top")).alias("in_top"))
+    pairs = rest.join(others, ["key", "salt"]).where("ra <> rb AND (in_top OR a < b)")
+    return like_sized(pairs).select("a", "b", "ra", "rb").distinct()
+
+
+def similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) of rows (row, text) whose different shingles have a similarity of SIMILARITY or more."""
+    asked = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+    sets = materialize(shingle_sets(docs.join(asked, "row", "left_semi")), "shingles")
+    left = sets.select(F.col("row").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("row").alias("b"), F.col("shingles").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    return (pairs.join(left, "a").join(right, "b")
+            .where(shared >= SIMILARITY * (F.size("x") + F.size("y") - shared)).select(*pairs.columns))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -214,7 +250,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Texts of equal words are one. Others are compared if their SimHash fingerprints are within RADIUS bits (pivot
     distance tables), or if a fingerprint of sampled shingles agrees; they are linked if their different five-word
-    shingles have a Jaccard similarity of SIMILARITY or more. Rows without a word or without a partner are missing.
+    shingles have a Jaccard similarity of SIMILARITY or more. Where very many rows agree they are first compared with one
+    of them, and what that leaves in different groups is compared across these groups. Rows without a word or without a partner are missing.
     """
     sketches = materialize(sketch(docs), "sketches")
     same = sketches.groupBy("same").agg(F.min("row").alias("first"))
@@ -229,16 +266,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     by_link = (near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a")
                .join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
                .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    sampled = sample_candidates(single.select("row", "n", "samples"))
-    pairs = materialize(by_print.unionByName(by_link).unionByName(sampled).distinct(), "candidates")
-    asked = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
-    sets = materialize(shingle_sets(docs.join(asked, "row", "left_semi")), "shingles")
-    left = sets.select(F.col("row").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("row").alias("b"), F.col("shingles").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    verified = (pairs.join(left, "a").join(right, "b")
-                .where(shared >= SIMILARITY * (F.size("x") + F.size("y") - shared)).select("a", "b"))
-    return components(verified.unionByName(copies)).select(F.col("node").alias("row"), "root")
+    by_sample, crowds = sample_candidates(single.select("row", "n", "samples"))
+    pairs = materialize(by_print.unionByName(by_link).unionByName(by_sample).distinct(), "candidates")
+    grouped = materialize(components(similar(docs, pairs).unionByName(copies)).select(
+        F.col("node").alias("row"), "root"), "grouped")
+    more = materialize(crowd_candidates(single.select("row", "n", "samples"), crowds, grouped), "crowd_candidates")
+    joined = components(similar(docs, more).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    joined = materialize(joined.withColumnRenamed("root", "upper"), "joined")
+    members = grouped.unionByName(joined.select(F.col("node").alias("row"), F.col("node").alias("root"))).distinct()
+    return members.join(joined, members.root == joined.node, "left").select("row", F.coalesce("upper", "root").alias("root"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

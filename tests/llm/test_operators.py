@@ -131,6 +131,34 @@ def test_near_duplicates_keep_one_of_each_group(spark, odd, none):
     assert simhash_pivot.keep_first(none).count() == 0
 
 
+def test_crowds_lose_no_link(spark, monkeypatch):
+    """Many variants of a few texts that share most samples: small crowds give the groups of all pairs."""
+    draw = random.Random(8)
+    words = ["".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(4000)]
+    template, texts = [draw.choice(words) for _ in range(400)], []
+    for _ in range(12):  # families that are too far from each other, and variants inside one that are near
+        family = list(template)
+        for k in draw.sample(range(400), 20):
+            family[k] = draw.choice(words)
+        for _ in range(5):
+            text = list(family)
+            for k in draw.sample(range(400), 3):
+                text[k] = draw.choice(words)
+            texts.append(" ".join(text))
+    draw.shuffle(texts)
+    sets = [set(simhash_pivot.shingle_hashes(x.encode(), simhash_pivot.STAGE_WORDS).tolist()) for x in texts]
+    near = [(a, b) for a in range(len(texts)) for b in range(a)
+            if len(sets[a] & sets[b]) >= simhash_pivot.SIMILARITY * len(sets[a] | sets[b])]
+    root = list(range(len(texts)))
+    for a, b in near * len(texts):
+        root[a] = root[b] = min(root[a], root[b])
+    assert 5 < len(set(root)) < 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "row bigint, text string")
+    monkeypatch.setattr(simhash_pivot, "PAIRED", 3)
+    got = {r.row: r.root for r in simhash_pivot.near_duplicates(docs).collect()}
+    assert [got.get(k, k) for k in range(len(texts))] == root
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (3, 4), (20, 21), (5, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
