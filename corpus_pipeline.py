@@ -65,7 +65,7 @@ def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 @after("benchmark_items")
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all documents' tokens in training sequences."""
-    return pack(docs)
+    return pack(docs, added=True)
 
 
 STAGES = [

@@ -10,6 +10,8 @@ runs are applied to the rows in parallel.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections import defaultdict
 
@@ -43,17 +45,28 @@ def byte_ranks(path: str) -> dict[bytes, int]:
     return {bytes(map(byte.__getitem__, token)): i for token, i in vocabulary.items() if set(token) <= byte.keys()}
 
 
+def added_tokens(path: str) -> dict[str, bytes]:
+    """String of each added token of the file -> its id as little-endian uint32 bytes."""
+    with open(path, encoding="utf-8") as file:
+        tokens = json.load(file).get("added_tokens") or []
+    for token in tokens:
+        if token["single_word"] or token["lstrip"] or token["rstrip"] or token["normalized"]:
+            raise ValueError(f"added token {token['content']!r} is not matched as it stands")
+    return {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in tokens}
+
+
 class Encoder:
     """Token ids of texts as little-endian uint32 bytes.
 
     A byte-level BPE first cuts a text by a fixed pattern and encodes each part by itself. Where all white space is
     single spaces and line ends, the pattern cuts before each of them, so the ids of units (" word," or "\\nWord") are
     remembered. A text's unknown units are encoded in one call; a new one begins where a token begins with white space.
-    Strings of special tokens in a text are ordinary text. The merges run in tiktoken on the vocabulary of the file; the
-    tests hold the ids against those of the tokenizers library.
+    With `added`, texts are first split at the file's added tokens, which get their own ids, as the tokenizers library
+    does by default; without it such strings are ordinary text (its encode_special_tokens). The merges run in tiktoken on
+    the vocabulary of the file; the tests hold the ids against those of the library.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import public_tokenizers
         import tiktoken
 
@@ -63,6 +76,9 @@ class Encoder:
         self.opens = np.zeros(max(ranks.values()) + 1, dtype=bool)
         self.opens[[i for token, i in ranks.items() if token[:1] in (b" ", b"\n")]] = True
         self.units: dict[str, bytes] = {}
+        self.added = added_tokens(path) if added else {}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(map(re.escape, longest))})") if longest else None
 
     def learn(self, units: list[str]) -> None:
         ids = np.array(self.encode("".join(units)), "<u4")
@@ -71,6 +87,11 @@ class Encoder:
         self.units.update(zip(units, [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)])], strict=True))
 
     def __call__(self, text: str) -> bytes:
+        if not self.cut:
+            return self.plain(text)
+        return b"".join([self.added[x] if k % 2 else self.plain(x) for k, x in enumerate(self.cut.split(text))])
+
+    def plain(self, text: str) -> bytes:
         if " ".join(text.split()) != text.replace("\n", " "):
             return np.array(self.encode(text), "<u4").tobytes()
         first, *units = text.replace(" ", "\r ").replace("\n", "\r\n").split("\r")
@@ -82,14 +103,14 @@ class Encoder:
         return np.array(self.encode(first), "<u4").tobytes() + b"".join([known[u] for u in units])
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, added: bool = False) -> DataFrame:
     """One row per piece: (doc_id, piece, start, length, ids_crc32, part, rank).
 
     A document is its token ids and `end_id`. A longer one than `capacity` is cut so that only its first piece is
     shorter. `rank` counts pieces of one length inside the task `part` that made them; both are fixed once written.
     """
     def run(batches):
-        encode, part, seen = Encoder(path), TaskContext.get().partitionId(), defaultdict(int)
+        encode, part, seen = Encoder(path, added), TaskContext.get().partitionId(), defaultdict(int)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out = defaultdict(list)
@@ -139,14 +160,16 @@ def plan(lengths: dict[int, int], capacity: int) -> list[tuple[int, int, int, in
     return runs
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = 0,
+         added: bool = False) -> DataFrame:
     """Pack documents (doc_id, text): (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
 
+    `added`: strings of the tokenizer's added tokens in a text are these tokens, as in the tokenizers library by default.
     Null text: empty, one piece with the end id alone. Repeated rows are packed each for itself. Null ids stay null.
     Empty table: no rows. Other columns are ignored. Sequence ids are arbitrary; offsets in a sequence leave no gap.
     """
     path = path or tokenizer_path(TOKENIZER)
-    rows = materialize(pieces(docs, path, capacity, end_id), "pieces")
+    rows = materialize(pieces(docs, path, capacity, end_id, added), "pieces")
     counts = materialize(rows.groupBy("length", "part").agg(F.count("*").alias("n")), "piece_counts")
     # At most `capacity` rows reach the driver.
     runs = plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)

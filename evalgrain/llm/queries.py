@@ -64,7 +64,7 @@ def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     from evalgrain.llm.best_fit import pack
 
-    return pack(table(spark, folder, "documents"))
+    return pack(table(spark, folder, "documents"), added=True)
 
 
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:

@@ -507,6 +507,32 @@ def test_encoder_on_odd_white_space():
         assert np.frombuffer(encode(text), "<u4").tolist() == ids, repr(text)
 
 
+def test_added_tokens_in_texts(spark, monkeypatch):
+    """The query and the pipeline give the ids of the tokenizers library as it is."""
+    import corpus_pipeline
+    from evalgrain.llm import queries
+    from tokenizers import Tokenizer
+
+    path = best_fit.tokenizer_path(best_fit.TOKENIZER)
+    tokenizer, encode, draw = Tokenizer.from_file(path), best_fit.Encoder(path, added=True), random.Random(3)
+    assert np.frombuffer(encode("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+    alphabet = [*"aé漢 \n<|>", "  ", " the", "<|endoftext|>", "<|endoftext", "endoftext|>"]
+    texts = ["".join(draw.choice(alphabet) for _ in range(draw.randint(0, 30))) for _ in range(1500)]
+    texts.append("<|endoftext|>" * 3000)
+    want = [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [np.frombuffer(encode(x), "<u4").tolist() for x in texts] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    for got in (queries.op10_packing(spark, SMALL), dict(corpus_pipeline.STAGES)["best-fit packing"](spark, docs, SMALL)):
+        held = {(r.doc_id, r.piece): (r.length, r.ids_crc32) for r in got.collect()}
+        for d, ids in enumerate(want):
+            ids = [*ids, 0]
+            cuts = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)]
+            for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                assert held.pop((d, k)) == (b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes()))
+        assert not held
+
+
 def test_plan_is_best_fit_decreasing():
     draw = random.Random(5)
     for _ in range(20):
