@@ -159,6 +159,23 @@ def test_crowds_lose_no_link(spark, monkeypatch):
     assert [got.get(k, k) for k in range(len(texts))] == root
 
 
+def test_short_rows_of_a_crowd_that_share_one_sample(spark, monkeypatch):
+    """Small crowds give the groups of all rows paired up, also for short texts that agree in one sample only."""
+    draw = random.Random(4)
+    words = ["".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(4000)]
+    texts = []
+    for _ in range(15):  # eight words, and the same with one more: four of five shingles, not near each other
+        base = [draw.choice(words) for _ in range(8)]
+        texts += [" ".join([*base, draw.choice(words)]) for _ in range(20)] + [" ".join(base)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row bigint, text string")
+    groups = []
+    for paired in (10_000, 3):
+        monkeypatch.setattr(simhash_pivot, "PAIRED", paired)
+        groups.append(sorted((r.row, r.root) for r in simhash_pivot.near_duplicates(docs).collect()))
+    assert len(groups[0]) > 200
+    assert groups[0] == groups[1]
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (3, 4), (20, 21), (5, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
