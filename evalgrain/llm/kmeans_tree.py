@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
@@ -24,6 +25,7 @@ BRANCHES = 16
 LEAF = 200  # vectors a leaf should hold; the number of leaves is bounded by the sample
 RECALL = 0.97
 BLOCK = 512  # vectors or queries in one row of a join
+PRODUCTS = 1 << 20  # components of candidates that are scored at once
 HELD = 200_000  # found rows that a task keeps before it cuts them to the best of each query
 
 
@@ -137,6 +139,29 @@ def best_rows(found: list[tuple], keep: int) -> tuple[np.ndarray, np.ndarray, np
     return tuple(part[place < keep] for part in (query, own, score))
 
 
+def scored(q: np.ndarray, x: np.ndarray, keep: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of q, rows of x, cosines), for some queries at a time: all that may be among a query's `keep` best rows.
+
+    A product of unit vectors picks them; it and the cosine are each within `slack` of the true value, so what lies more
+    than four times that below the `keep`-th best product cannot have a cosine as high as its.
+    """
+    slack = (x.shape[1] + 16) * np.finfo(float).eps
+    near = unit(q) @ unit(x).T
+    place = max(0, len(x) - keep)
+    who, some = np.nonzero(near >= np.partition(near, place, axis=1)[:, place, None] - 4 * slack)
+    # Queries whose candidates are scored together: up to PRODUCTS components, one query at least.
+    ends = np.cumsum(np.bincount(who, minlength=len(q)))
+    at = 0
+    while at < len(who):
+        first = who[at]
+        last = max(np.searchsorted(ends, at + PRODUCTS // x.shape[1], side="right"), first + 1)
+        part = slice(at, ends[last - 1])
+        a, b = q[who[part]], x[some[part]]
+        score = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+        yield who[part], some[part], score
+        at = ends[last - 1]
+
+
 def blocks(rows: DataFrame, key: str) -> DataFrame:
     """(leaf, ids, vectors): up to BLOCK rows (leaf, `key`, vector) of a leaf as one row of bytes."""
     def run(batches):
@@ -227,14 +252,9 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = REC
                 ids, own = np.frombuffer(ids, "<i8"), np.frombuffer(own, "<i8")
                 x = np.frombuffer(vectors, "<f8").reshape(len(ids), -1)
                 q = np.frombuffer(queries, "<f8").reshape(len(own), -1)
-                near = unit(q) @ unit(x).T
-                # k vectors, and as many as products of matrices may have put in another order by rounding
-                some = np.argsort(-near, axis=1, kind="stable")[:, :k + 3]
-                who = np.repeat(np.arange(len(own)), some.shape[1])
-                a, b = q[who], x[some.ravel()]
-                score = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
-                held.append((own[who], ids[some.ravel()], score))
-                size += len(score)
+                best = [best_rows([(own[who], ids[some], score)], k + 1) for who, some, score in scored(q, x, k + 1)]
+                held += best
+                size += sum(len(part[2]) for part in best)
                 if size > HELD:
                     best = out()
                     held, size = [tuple(best.values())], len(best["score"])

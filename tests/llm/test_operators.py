@@ -381,6 +381,26 @@ def test_a_task_hands_on_the_best_of_each_query(spark, monkeypatch):
     assert sorted(kmeans_tree.nearest(frame).collect()) == whole
 
 
+def test_parallel_vectors_keep_the_smallest_ids(spark):
+    """Multiples of one vector have equal cosines, in whatever order and number they stand in a block."""
+    draw = np.random.default_rng(9)
+    one = draw.integers(-8, 9, 16).astype(float)
+    for keep in (1, 6, 50):
+        x = np.concatenate([np.outer(2.0 ** draw.permutation(40), one), draw.normal(size=(20, 16))])
+        q, seen = np.concatenate([one[None], draw.normal(size=(5, 16))]), []
+        for who, some, score in kmeans_tree.scored(q, x, keep):
+            seen += zip(who.tolist(), some.tolist(), score.tolist())
+        cosine = (x[None] * q[:, None]).sum(axis=2) / (np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((x * x).sum(axis=1)))
+        for a in range(len(q)):
+            want = sorted(range(len(x)), key=lambda b: (-cosine[a, b], b))[:keep]
+            assert sorted((b for w, b, _ in seen if w == a), key=lambda b: (-cosine[a, b], b))[:keep] == want
+    rows = [(100 - k, (one * 2.0 ** k).tolist()) for k in range(60)] + [(0, one.tolist()), (200, (-one).tolist())]
+    for order in (rows, rows[::-1]):
+        got = kmeans_tree.nearest(spark.createDataFrame(order, "vec_id bigint, embedding array<double>").coalesce(1))
+        found = [r.vec_id for r in got.orderBy("query_id", "rank").collect() if r.query_id == 0]
+        assert found == [41, 42, 43, 44, 45]
+
+
 # 7 suffix arrays
 
 def brute_cut(texts):
