@@ -2,8 +2,10 @@
 
 Method: a page is a sequence of words and tags. Words score positive and tags negative, both with weights learned from
 labelled pages: a tag or word kind scores the logarithm of how much more often it stands inside the main text than
-outside. One linear scan finds the contiguous run with the highest sum, the content region. What stands in the region
-but inside an element of another purpose (adverts, forms, notes) is left out; the rest is cut into blocks.
+outside. Words of class, id and role are learned too; text in an element that they speak against scores negative.
+One linear scan finds the contiguous run with the highest sum, the content region. What stands in the region but inside an
+element of another purpose by name, role or a whole class or id (adverts, forms, comments) is left out; the rest is cut
+into blocks.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import DataFrame
 
 from evalgrain.llm.common import map_batches, whole_text
-from evalgrain.llm.labelled_pages import CLOSE, OPEN, PAGES
+from evalgrain.llm.labelled_pages import CLOSE, NAMED, OPEN, PAGES
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)",
                    re.DOTALL)
@@ -29,46 +31,52 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td "
     "tfoot th thead tr ul".split())
-# Elements of another purpose than the article, by name, and by words of their class, id or role.
+# Elements of another purpose than the article: by name, by role, and by a whole class or id.
 ASIDE = frozenset("nav aside footer form button menu dialog".split())
-HINTS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr "
-    "notice alert warning popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar aside rail widget "
-    "footer foot header masthead topbar toolbar share sharing social related recommended newsletter subscribe subscription "
-    "signup login search searchbox comment comments reply replies respond discussion disqus pagination pager tags meta "
-    "byline copyright legal disclaimer skip sitemap complementary contentinfo".split())
+ROLES = frozenset("navigation complementary banner contentinfo search form menu menubar toolbar dialog alertdialog".split())
+MARKS = frozenset("ad ads advert adverts advertisement comments".split())
 MAIN = frozenset("article main".split())
 
 
-def hints(attributes: str) -> set[str]:
+def hints(attributes: str) -> frozenset[str]:
     """Words of an element's class, id and role."""
     found: set[str] = set()
     for name, *values in ATTRIBUTE.findall(attributes):
         if name.lower() in ("class", "id", "role"):
-            found.update(w.lower() for w in re.split(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])", "".join(values)))
-    return found
+            found.update(w.lower() for w in re.split(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])", "".join(values)) if w)
+    return frozenset(found)
 
 
 def purpose(name: str, attributes: str) -> bool:
-    """Whether an element serves something else than the main text."""
+    """Whether an element says by itself that it serves something else than the main text."""
     if name in ASIDE or re.search(r"(?i)\bhidden\b(?!\s*=\s*[\"']?false)", attributes):
         return True
-    return bool(attributes) and name not in ("body", "html", *MAIN) and not HINTS.isdisjoint(hints(attributes))
+    if not attributes or name in ("body", "html", *MAIN):
+        return False
+    values = [(n.lower(), "".join(v).lower().split()) for n, *v in ATTRIBUTE.findall(attributes)]
+    return any(not (ROLES if n == "role" else MARKS).isdisjoint(v) for n, v in values if n in ("class", "id", "role"))
 
 
-def sequence(page: str) -> list[tuple[str, str]]:
-    """(kind, text) of a page: tags with no text, and runs of words; kind `!name` for what has another purpose.
+def elements(page: str) -> tuple[list[tuple[str, str, int]], list[tuple[int, frozenset[str], int]]]:
+    """(kind, text, element) of a page, and its elements with words of class, id or role: (parent, words, text words).
+
+    A kind is that of a tag, with no text, or of a run of words; `!name` for what has another purpose. The element is the
+    innermost one with words of class, id or role, or -1; its text words are all that stand in it, at any depth.
 
     Unclosed and wrongly nested elements: an end tag closes up to its own start tag if there is one, block elements end
     an open advert or menu only by their own end tags, and an article's start ends all that is open.
     """
-    out: list[tuple[str, str]] = []
-    stack: list[tuple[str, bool]] = []
-    at, skip = 0, 0  # skip: open elements of another purpose
+    out: list[tuple[str, str, int]] = []
+    named: list[tuple[int, frozenset[str]]] = []
+    held: list[int] = []
+    stack: list[tuple[str, bool, int]] = []  # name, of another purpose, the innermost named element before it
+    at, skip, inner = 0, 0, -1  # skip: open elements of another purpose
 
     def text(upto: int) -> None:
         if upto > at:
-            out.append(("!text" if skip else "text", page[at:upto]))
+            out.append(("!text" if skip else "text", page[at:upto], inner))
+            if inner >= 0:
+                held[inner] += len(page[at:upto].split())
 
     position = 0
     while match := TOKEN.search(page, position):
@@ -78,14 +86,15 @@ def sequence(page: str) -> list[tuple[str, str]]:
         if not name:
             continue
         if match[1]:
-            aside = False
-            if any(n == name for n, _ in stack):
+            aside, own = False, inner
+            if any(n == name for n, _, _ in stack):
                 while True:
-                    closed, aside = stack.pop()
+                    own = inner
+                    closed, aside, inner = stack.pop()
                     skip -= aside
                     if closed == name:
                         break
-            out.append(("!/" + name if skip or aside else "/" + name, ""))
+            out.append(("!/" + name if skip or aside else "/" + name, "", own))
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, position)
@@ -93,34 +102,77 @@ def sequence(page: str) -> list[tuple[str, str]]:
                 end = re.compile(r"(?=<body\b)", re.I).search(page, position)
             position = at = end.end() if end else len(page)
             continue
-        if name in MAIN and not any(n in MAIN for n, _ in stack):
-            stack, skip = [], 0
-        header = name == "header" and not any(n in MAIN for n, _ in stack)
+        if name in MAIN and not any(n in MAIN for n, _, _ in stack):
+            stack, skip, inner = [], 0, -1
+        header = name == "header" and not any(n in MAIN for n, _, _ in stack)
         aside = header or purpose(name, match[3])
-        out.append(("!" + name if skip or aside else name, ""))
-        if name not in VOID and not match[3].rstrip().endswith("/"):
-            stack.append((name, aside))
+        kind = "!" + name if skip or aside else name
+        if name in VOID or match[3].rstrip().endswith("/"):
+            out.append((kind, "", inner))
+        else:
+            stack.append((name, aside, inner))
             skip += aside
+            if name not in ("body", "html", *MAIN) and (words := hints(match[3])):
+                named.append((inner, words))
+                held.append(0)
+                inner = len(named) - 1
+            out.append((kind, "", inner))
     text(len(page))
-    return out
+    for k in range(len(named) - 1, -1, -1):  # a parent stands before its children
+        if named[k][0] >= 0:
+            held[named[k][0]] += held[k]
+    return out, [(*element, n) for element, n in zip(named, held)]
 
 
-def weights() -> dict[str, float]:
-    """Score of every kind, learned from the labelled pages; a word's kind is that of its run."""
+def sequence(page: str, score: dict[str, float]) -> list[tuple[str, str]]:
+    """(kind, text) of a page; kind `-name` in elements whose class, id or role words weigh against them.
+
+    An element that holds more than half of the page's words is a wrapper, whatever it is called.
+    """
+    tokens, named = elements(page)
+    total = sum(len(text.split()) for _, text, _ in tokens)
+    against: list[bool] = []
+    for parent, words, n in named:
+        own = 2 * n <= total and sum(score.get("." + w, 0.0) for w in words) < 0
+        against.append(own or (parent >= 0 and against[parent]))
+    return [("-" + kind if k >= 0 and against[k] and kind[0] != "!" else kind, text) for kind, text, k in tokens]
+
+
+def log_odds(pages: list[list[tuple[str, str, list[str]]]]) -> dict[str, float]:
+    """Logarithm of how much more often each kind stands inside the main text, of (tag, words, its kinds)."""
     inside, outside = Counter(), Counter()
-    for page in PAGES:
-        marked = sequence(page.replace(OPEN, "<content-start/>").replace(CLOSE, "<content-end/>"))
+    for tokens in pages:
         now = outside
-        for kind, words in marked:
-            if kind.lstrip("!/") == "content-start":
+        for name, words, kinds in tokens:
+            name = name.lstrip("!-/")
+            if name == "content-start":
                 now = inside
-            elif kind.lstrip("!/") == "content-end":
+            elif name == "content-end":
                 now = outside
             else:
-                now[kind] += len(words.split()) if words else 1
-    smooth = {k: math.log((inside[k] + 0.5) / (outside[k] + 0.5)) for k in inside | outside}
-    learned = {}
-    for kind, value in smooth.items():
+                now.update(dict.fromkeys(kinds, len(words.split()) if words else 1))
+    return {k: math.log((inside[k] + 0.5) / (outside[k] + 0.5)) for k in inside | outside}
+
+
+def weights() -> dict[str, float]:
+    """Score of every kind, learned from the labelled pages; a word's kind is that of its run.
+
+    `.word` is that of a class, id or role word: by the text words inside the main text and outside that stand in
+    elements with it. These come first, as the kinds of tags and words depend on them.
+    """
+    def marked(page: str) -> str:
+        return page.replace(OPEN, "<content-start/>").replace(CLOSE, "<content-end/>")
+
+    pages = []
+    for page in (*PAGES, *NAMED):
+        tokens, named = elements(marked(page))
+        around: list[frozenset[str]] = []
+        for parent, words, _ in named:
+            around.append(words | (around[parent] if parent >= 0 else frozenset()))
+        pages.append([(kind, text, ["." + w for w in around[k]] if text and k >= 0 else []) for kind, text, k in tokens])
+    learned = log_odds(pages)
+    kinds = log_odds([[(kind, text, [kind]) for kind, text in sequence(marked(page), learned)] for page in PAGES])
+    for kind, value in kinds.items():
         if kind.endswith("text"):
             learned[kind] = 1.0 if value > 0 else -1.0  # words of one kind weigh alike
         else:
@@ -132,14 +184,14 @@ def weights() -> dict[str, float]:
 def region(tokens: list[tuple[str, str]], score: dict[str, float]) -> tuple[int, int]:
     """Start and end of the run with the highest sum; of equal ones the first.
 
-    What has another purpose inside an article element weighs nothing: it is left out of the text, and must not cut off
-    what follows it.
+    Inside an article element, what has another purpose weighs nothing: it is left out of the text, and must not cut off
+    what follows it. Nor does what a class speaks against weigh there; its words are text if the run goes on after them.
     """
     best, span, total, start, main = 0.0, (0, 0), 0.0, 0, False
     for k, (kind, text) in enumerate(tokens):
         if kind.lstrip("/") in MAIN:
             main = kind in MAIN
-        value = 0.0 if main and kind[0] == "!" else score.get(kind, -2.0 if kind[0] == "!" else -0.5)
+        value = 0.0 if main and kind[0] in "!-" else score.get(kind, -2.0 if kind[0] in "!-" else -0.5)
         if text:
             value *= len(text.split())
         if total <= 0:
@@ -152,7 +204,7 @@ def region(tokens: list[tuple[str, str]], score: dict[str, float]) -> tuple[int,
 
 def main_text(page: str, score: dict[str, float]) -> str:
     """The main text: blocks in page order, joined by line ends, white space inside a block as one space."""
-    tokens = sequence(page)
+    tokens = sequence(page, score)
     start, end = region(tokens, score)
     blocks, words = [], []
 
@@ -163,11 +215,11 @@ def main_text(page: str, score: dict[str, float]) -> str:
         words.clear()
 
     for kind, text in tokens[start:end]:
-        if kind == "text":
+        if kind in ("text", "-text"):
             words.append(text)
-        elif kind.lstrip("!/") in BLOCKS:
+        elif kind.lstrip("!-/") in BLOCKS:
             close()
-        elif kind == "br":
+        elif kind in ("br", "-br"):
             words.append(" ")
     close()
     return "\n".join(blocks)

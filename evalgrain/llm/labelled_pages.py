@@ -22,3 +22,16 @@ PAGES = (
     f'<figcaption>{_PROSE}</figcaption></figure><p>{_PROSE}</p>]]</section><section class="newsletter"><h3>Subscribe</h3>'
     '<form><input><button>Go</button></form></section></body></html>',
 )
+
+# Boxes around the text, and wrappers and blocks of the text that are called by the same words. They teach the words of
+# classes only.
+NAMED = (
+    f'<html><body><div class="site has-sidebar sticky-header"><div class="masthead topbar">{_LINKS}</div><div class="'
+    f'breadcrumbs skip-link">{_LINKS}</div><div class="post-wrap"><div class="article-header">[[<h1>Rain</h1><p>{_PROSE}'
+    f'</p></div><div class="widget-text-editor"><p>{_PROSE}</p><p>{_PROSE}</p></div><div class="entry-meta-text"><p>'
+    f'{_PROSE}</p></div>]]</div><div class="share social-links">{_LINKS}</div><div class="related recommended-posts"><p>'
+    f'{_PROSE}</p>{_LINKS}</div><div class="sidebar rail"><div class="widget promo sponsored"><p>{_PROSE}</p></div></div>'
+    f'<div class="pagination pager">{_LINKS}</div><div class="copyright legal disclaimer"><p>{_PROSE}</p></div></div>'
+    f'<div class="cookie-consent gdpr popup modal overlay"><p>{_PROSE}</p></div><div class="login signup subscription"><p>'
+    f'{_PROSE}</p></div><div class="respond replies discussion disqus"><p>{_PROSE}</p></div></body></html>',
+)

@@ -275,6 +275,26 @@ def test_main_text(spark):
     assert got[6].n_chars == 11 * 100_000 - 1 == len(got[6].text)
 
 
+def test_names_do_not_decide_what_is_text():
+    score = html_region.weights()
+    prose = "The old mill by the river was sold to a young couple who want to grind their own flour there."
+
+    def text(page):
+        return html_region.main_text(page, score).replace("\n", " ")
+
+    for name in ("site has-sidebar", "sticky-header", "page-with-menu", "no-widget layout"):
+        page = f'<html><body><div class="{name}"><h1>Mill</h1><p>{prose} One</p><p>{prose} Two</p></div></body></html>'
+        assert text(page) == f"Mill {prose} One {prose} Two"
+    page = (f'<article><div class="article-header"><h1>Mill</h1><p>{prose}</p></div><div class="elementor-widget-text-editor"><p>{prose}'
+            f'</p></div><div class="ad">Buy</div><div role="navigation">Next</div><div class="footer-style"><p>Note</p></div>'
+            f'<p>{prose}</p></article><div class="comments">first</div>')
+    assert text(page) == f"Mill {prose} {prose} Note {prose}"
+    # boxes beside the text: the scan leaves them by what their names weigh
+    for name in ("sidebar", "related posts", "cookie-notice", "copyright"):
+        box = f'<div class="{name}"><p>{prose}</p></div>'
+        assert text(f"<body>{box}<div><p>{prose} One</p><p>{prose} Two</p></div>{box}</body>") == f"{prose} One {prose} Two"
+
+
 def test_articles_of_all_pages(spark):
     import html
     import re
