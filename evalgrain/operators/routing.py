@@ -111,6 +111,15 @@ def confusion_labels(matrix: DataFrame) -> DataFrame:
     return labels.withColumn("is_none", F.col("label") == NO_LABEL)
 
 
+def filled_confusion(matrix: DataFrame) -> DataFrame:
+    """All cells (run_id, truth, predicted, n) over each run's own labels, zeros filled in."""
+    labels = confusion_labels(matrix)
+    cells = labels.select("run_id", F.col("label").alias("truth")).join(
+        labels.select("run_id", F.col("label").alias("predicted")), "run_id")
+    return cells.join(matrix.select("run_id", "truth", "predicted", "n"), ["run_id", "truth", "predicted"], "left") \
+        .fillna(0, ["n"])
+
+
 def per_label(matrix: DataFrame) -> DataFrame:
     """Precision, recall, F1 and support per label; a division by zero counts as 0."""
     hit = F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(F.lit(0))

@@ -162,6 +162,15 @@ def confusion_labels(lake: Lake) -> DataFrame:
     return routing.confusion_labels(routing.confusion_matrix(judged(lake)))
 
 
+@query("D10_filled_confusion", sql(*ROUTED, MATRIX_SQL, """
+, lab AS (SELECT run_id, truth AS label FROM cells UNION SELECT run_id, predicted FROM cells)
+SELECT a.run_id, a.label AS truth, b.label AS predicted, coalesce(n, 0)::BIGINT AS n
+FROM lab a JOIN lab b ON a.run_id = b.run_id
+LEFT JOIN cells ON cells.run_id = a.run_id AND truth = a.label AND predicted = b.label"""))
+def filled_confusion(lake: Lake) -> DataFrame:
+    return routing.filled_confusion(routing.confusion_matrix(judged(lake)))
+
+
 @query("D11_top_confusions", sql(*ROUTED, MATRIX_SQL, """
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY run_id ORDER BY n DESC, truth DESC, predicted DESC) AS INTEGER) AS rank
                FROM cells WHERE truth <> predicted) x WHERE rank <= 5"""))

@@ -91,6 +91,15 @@ def test_routing_scores(spark):
     assert got["type_amb"] is None
 
 
+def test_filled_confusion_has_the_labels_of_each_run(spark):
+    cells = [("r1", "A", "R", 2), ("r1", "R", "R", 1), ("r2", "X", text.NO_LABEL, 3)]
+    matrix = spark.createDataFrame(cells, "run_id string, truth string, predicted string, n bigint")
+    got = {tuple(r)[:3]: r.n for r in routing.filled_confusion(matrix).collect()}
+    labels = {"r1": "AR", "r2": ["X", text.NO_LABEL]}
+    want = {(run, a, b): 0 for run, own in labels.items() for a in own for b in own}
+    assert got == want | {c[:3]: c[3] for c in cells}
+
+
 def test_missing_metric_is_null_and_skips_its_gate(spark, rows):
     scores = routing.long_scores(routing.scores(routing.judge(routed(spark, [row("a", ["x"], ["x"])]))), routing.METRICS)
     dim = spark.createDataFrame([("r", {"critical_miss": "<= 0", "top1": ">= 0.9"}, False)],
