@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from evalgrain.llm.common import table
+from evalgrain.llm.oracles import centroids_sql, vector_codes_sql
 
 
 def op1_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,6 +68,18 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), added=True)
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    from evalgrain.llm.cover_tree import codes
+
+    return codes(table(spark, folder, "embeddings"))
+
+
+def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    from evalgrain.llm.va_file import clusters
+
+    return clusters(table(spark, folder, "embeddings"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,5 +88,5 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_simhash_groups, op2_language, op3_token_counts, op4_main_text, op5_contamination, op6_nearest, op7_suffix_dedup,
-    op8_url_filter, op9_licenses, op10_packing, pipeline)}
-ORACLES: dict[str, str] = {}
+    op8_url_filter, op9_licenses, op10_packing, op11_vector_codes, op12_centroids, pipeline)}
+ORACLES: dict[str, str] = {"op11_vector_codes": vector_codes_sql(), "op12_centroids": centroids_sql()}
