@@ -55,3 +55,21 @@ def vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale:
             f"CAST(sum(m.d) AS BIGINT) AS error FROM a{rounds} GROUP BY id) "
             "SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, "
             "h AS codebooks_sha256 FROM coded, book")
+
+
+def minhash_sql(width: int = 4, percent: int = 80) -> str:
+    """Pairs from an inverted join on shingles; components by following links from every document."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = f"regexp_extract_all({lower}, '[^\\x20\\x09-\\x0D]+')"
+    return f"""WITH RECURSIVE split AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, {words} AS w FROM documents),
+sets AS MATERIALIZED (SELECT id, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[])
+  WHEN len(w) < {width} THEN [array_to_string(w, ' ')]
+  ELSE [array_to_string(w[i:i + {width - 1}], ' ') FOR i IN range(1, len(w) - {width - 2})] END) AS s FROM split),
+class AS MATERIALIZED (SELECT *, min(id) OVER (PARTITION BY list_sort(s)) AS c, len(s) AS n FROM sets),
+one AS MATERIALIZED (SELECT c, n, unnest(s) AS x FROM class WHERE id = c AND n > 0),
+pair AS MATERIALIZED (SELECT a.c AS a, b.c AS b FROM one a JOIN one b ON a.x = b.x AND a.c <> b.c
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+reach AS (SELECT DISTINCT c AS a, c AS b FROM class UNION SELECT reach.a, pair.b FROM reach JOIN pair ON reach.b = pair.a),
+root AS (SELECT r.a AS c, min(k.doc_id) AS component_id FROM reach r JOIN class k ON k.c = r.b GROUP BY r.a)
+SELECT doc_id, n AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE component_id END AS component_id,
+  coalesce(doc_id = CASE WHEN n = 0 THEN doc_id ELSE component_id END, false) AS kept FROM class JOIN root USING (c)"""

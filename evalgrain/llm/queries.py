@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from evalgrain.llm.common import table
-from evalgrain.llm.oracles import centroids_sql, vector_codes_sql
+from evalgrain.llm.oracles import centroids_sql, minhash_sql, vector_codes_sql
 
 
 def op1_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,6 +80,12 @@ def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
     return clusters(table(spark, folder, "embeddings"))
 
 
+def op13_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    from evalgrain.llm.minhash_bands import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,5 +94,6 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_simhash_groups, op2_language, op3_token_counts, op4_main_text, op5_contamination, op6_nearest, op7_suffix_dedup,
-    op8_url_filter, op9_licenses, op10_packing, op11_vector_codes, op12_centroids, pipeline)}
-ORACLES: dict[str, str] = {"op11_vector_codes": vector_codes_sql(), "op12_centroids": centroids_sql()}
+    op8_url_filter, op9_licenses, op10_packing, op11_vector_codes, op12_centroids, op13_minhash, pipeline)}
+ORACLES: dict[str, str] = {
+    "op11_vector_codes": vector_codes_sql(), "op12_centroids": centroids_sql(), "op13_minhash": minhash_sql()}
