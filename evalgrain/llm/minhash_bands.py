@@ -23,6 +23,7 @@ from evalgrain.llm.common import components, map_batches, materialize, whole_tex
 WORDS, PERCENT = 4, 80
 HASHES, ROWS = 128, 4
 MAX_DIFFERENT = 53
+MAX_BITS = 36  # of one bit of each minimum; at similarity 0.8 exceeded in 1e-8 of the cases
 PAIRED = 16
 SALTS = 8
 CHUNK = 4096  # shingles that are hashed by all functions at once
@@ -56,10 +57,10 @@ def minima(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int = WORDS) -> DataFrame:
-    """(row, same, n, bands, signature) of every row (row, text).
+    """(row, same, n, bands, signature, odd) of every row (row, text).
 
-    `same` is equal for equal sets, n their size, bands one key per band, signature one byte per minimum in longs;
-    the last two are null for an empty set.
+    `same` is equal for equal sets, n their size, bands one key per band, signature one byte per minimum in longs, odd one
+    bit per minimum in longs; the last three are null for an empty set.
     """
     import hashlib
 
@@ -68,7 +69,7 @@ def signatures(docs: DataFrame, width: int = WORDS) -> DataFrame:
     def run(batches):
         a, b = multipliers()
         for batch in batches:
-            out = {"row": batch.column("row"), "same": [], "n": [], "bands": [], "signature": []}
+            out = {"row": batch.column("row"), "same": [], "n": [], "bands": [], "signature": [], "odd": []}
             for text in batch.column("text").to_pylist():
                 hashes = shingle_set(text, width)
                 out["same"].append(hashlib.md5(hashes.tobytes()).digest())
@@ -76,16 +77,18 @@ def signatures(docs: DataFrame, width: int = WORDS) -> DataFrame:
                 if not len(hashes):
                     out["bands"].append(None)
                     out["signature"].append(None)
+                    out["odd"].append(None)
                     continue
                 least = minima(hashes, a, b)
                 out["bands"].append([xxhash.xxh3_64_intdigest(band.tobytes(), seed=k) - (1 << 63)
                                      for k, band in enumerate(least.reshape(-1, ROWS))])
                 # The last bytes of minima depend on all bits below 32 of the products.
                 out["signature"].append((least & np.uint32(255)).astype(np.uint8).view("<i8"))
+                out["odd"].append(np.packbits((least & np.uint32(1)).astype(np.uint8)).view("<i8"))
             yield out
 
     return map_batches(docs.select("row", whole_text().cast("binary").alias("text")), run,
-                       "row bigint, same binary, n bigint, bands array<bigint>, signature array<bigint>")
+                       "row bigint, same binary, n bigint, bands array<bigint>, signature array<bigint>, odd array<bigint>")
 
 
 def full_sets(docs: DataFrame, width: int = WORDS) -> DataFrame:
@@ -145,25 +148,27 @@ def verified(pairs: DataFrame, single: DataFrame) -> DataFrame:
 
 
 def across(crowds: DataFrame, grouped: DataFrame, single: DataFrame) -> DataFrame:
-    """(a, b, ra, rb, d): pairs of a crowd (key, row) between components (row, root) that pass the signatures.
+    """(a, b, ra, rb, d): pairs of a crowd (key, row) between components (row, root) that pass the bits of the minima.
 
     A crowd of one component is done. In the others the rows outside the largest component meet all rows of other
-    components, salted by the other side; d is the number of different bytes.
+    components, salted by the other side; d is the number of different bits, which two integer operations give.
     """
     labelled = crowds.join(grouped, "row", "left").withColumn("root", F.coalesce("root", "row"))
     per = labelled.groupBy("key", "root").agg(F.count("*").alias("c"))
     top = per.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots"))
     loose = materialize(labelled.join(top.where("roots > 1").select("key", F.col("top.root").alias("top")), "key")
-                        .join(single.select("row", "n", "signature"), "row"), "loose")
+                        .join(single.select("row", "n", F.get("odd", F.lit(0)).alias("x"), F.get("odd", F.lit(1)).alias("y")), "row"),
+                        "loose")
     salts = F.array(*(F.lit(i) for i in range(SALTS)))
     rest = loose.where("root <> top").select(
         "key", F.explode(salts).alias("salt"), F.col("row").alias("a"), F.col("n").alias("na"),
-        F.col("signature").alias("sa"), F.col("root").alias("ra"))
+        F.col("x").alias("xa"), F.col("y").alias("ya"), F.col("root").alias("ra"))
     other = loose.select("key", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"), F.col("row").alias("b"),
-                         F.col("n").alias("nb"), F.col("signature").alias("sb"), F.col("root").alias("rb"),
+                         F.col("n").alias("nb"), F.col("x").alias("xb"), F.col("y").alias("yb"), F.col("root").alias("rb"),
                          (F.col("root") == F.col("top")).alias("in_top"))
+    differing = (F.bit_count(F.col("xa").bitwiseXOR(F.col("xb"))) + F.bit_count(F.col("ya").bitwiseXOR(F.col("yb"))))
     return (rest.join(other, ["key", "salt"]).where("ra <> rb AND (in_top OR a < b)").where(sizes_fit("na", "nb"))
-            .withColumn("d", different_bytes("sa", "sb")).where(F.col("d") <= MAX_DIFFERENT)
+            .withColumn("d", differing).where(F.col("d") <= MAX_BITS)
             .select("a", "b", "ra", "rb", "d").distinct())
 
 
