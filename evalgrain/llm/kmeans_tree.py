@@ -49,6 +49,11 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
+def near_one(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest components near one: cosines stay, squares stay finite."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
     """Spherical k-means: (centres, nearest centre of each row)."""
     centres = x[rng.choice(len(x), k, replace=False)]
@@ -156,7 +161,7 @@ def scored(q: np.ndarray, x: np.ndarray, keep: int) -> Iterator[tuple[np.ndarray
         first = who[at]
         last = max(np.searchsorted(ends, at + PRODUCTS // x.shape[1], side="right"), first + 1)
         part = slice(at, ends[last - 1])
-        a, b = q[who[part]], x[some[part]]
+        a, b = near_one(q[who[part]]), near_one(x[some[part]])
         score = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
         yield who[part], some[part], score
         at = ends[last - 1]

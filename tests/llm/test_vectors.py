@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evalgrain.llm import cover_tree, va_file
+from evalgrain.llm import cover_tree, kmeans_tree, va_file
 from evalgrain.llm.common import prepare
 from evalgrain.llm.oracles import centroids_sql, vector_codes_sql
 from tests.oracle import connect
@@ -141,3 +141,11 @@ def test_sql_agrees(spark, function, sql):
     ours = function(spark.read.parquet(f"{SMALL}/embeddings.parquet"))
     theirs = connect(SMALL).execute(sql()).fetchall()
     assert rows_of(ours) == sorted(theirs, key=repr)
+
+
+@pytest.mark.parametrize("size", [1e-200, 1e200, 1.0])
+def test_cosines_of_very_large_and_small_components(size):
+    x = np.random.default_rng(6).normal(size=(20, 8))
+    plain = [s for _, _, s in kmeans_tree.scored(x[:4], x, 20)]
+    found = np.concatenate([s for _, _, s in kmeans_tree.scored(x[:4] * size, x * size, 20)])
+    assert np.isfinite(found).all() and np.allclose(found, np.concatenate(plain), rtol=0, atol=1e-12)
