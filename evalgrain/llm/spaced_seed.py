@@ -5,8 +5,8 @@ ignores the others, so a hash of the kept words survives substitutions at ignore
 joined, and each hit proposes a place of an item in a document, which is verified word by word: an item is found where
 at least `share` of its words stand at their places, whatever stands in the others.
 
-The item's hashes also go to all tasks as a bit array of fixed size, so that only document hashes that can match are
-shuffled; a larger benchmark makes the filter weaker, never the broadcast larger, and never loses a hit.
+The item's hashes also go to all tasks as a bit array of fixed size (4 MB), two bits each, so that only document hashes
+that can match are shuffled; a larger benchmark makes the filter weaker, never the broadcast larger, and never loses a hit.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from evalgrain.llm.common import map_batches, materialize, whole_text
 MASKS = ("11111", "1101011", "11010011", "10111001")
 SHARE = 0.8
 SPAN = min(map(len, MASKS))
-FILTER_BITS = 23
+FILTER_BITS = 25
 WORD = re.compile(r"\w+")
 MEMORY = 400_000  # words whose hash a task remembers; only speed depends on it
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -41,9 +41,8 @@ class Words:
         words, known = WORD.findall(text.lower()), self.known
         if len(known) > MEMORY:
             known.clear()
-        for word in words:
-            if word not in known:
-                known[word] = self.digest(word.encode("utf-8", "replace"))
+        for word in set(words).difference(known):
+            known[word] = self.digest(word.encode("utf-8", "replace"))
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
@@ -101,47 +100,84 @@ def item_seeds(items: DataFrame) -> DataFrame:
                        f"item_id {kind}, words array<bigint>, seeds array<struct<start: int, hash: bigint>>")
 
 
+def slots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each hash in the filter."""
+    return (hashes >> 7) & (1 << FILTER_BITS) - 1, (hashes >> 38) & (1 << FILTER_BITS) - 1
+
+
 def bit_filter(hashes: DataFrame) -> np.ndarray:
-    """A bit array of 2**FILTER_BITS bits in which every hash has set one; built in Spark, merged as bytes."""
-    slots = (hashes.select(F.pmod(F.shiftright("hash", 20), F.lit(1 << FILTER_BITS)).alias("slot")).distinct()
-             .select(F.shiftright("slot", 3).alias("byte"), F.expr("shiftleft(1, CAST(slot & 7 AS INT))").alias("bit"))
-             .groupBy("byte").agg(F.bit_or("bit").alias("bits")))
-    got = slots.toPandas()  # at most 2**FILTER_BITS / 8 rows
-    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    out[got["byte"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
-    return out
+    """A bit array of 2**FILTER_BITS bits in which every hash has set its two; built in Spark, merged as 64-bit words."""
+    slot = F.explode(F.array(*(F.shiftright("hash", k).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) for k in (7, 38))))
+    got = (hashes.select(slot.alias("slot"))
+           .select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, CAST(slot & 63 AS INT))").alias("bit"))
+           .groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas())  # at most 2**FILTER_BITS / 64 rows
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    return out.view(np.uint8)  # little-endian: bit k of a word is bit k % 8 of its byte k // 8
+
+
+def passing(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Places of the hashes whose two bits are set."""
+    first, second = slots(hashes)
+    at = np.flatnonzero(bits[first >> 3] >> (first & 7).astype(np.uint8) & 1)
+    second = second[at]
+    return at[bits[second >> 3] >> (second & 7).astype(np.uint8) & 1 == 1]
+
+
+def groups(texts: list[str], size: int = 1 << 20):
+    """(from, to) of neighbouring texts of about `size` characters together; a longer text stands alone."""
+    start, held = 0, 0
+    for k, text in enumerate(texts):
+        if held and held + len(text) > size:
+            yield start, k
+            start, held = k, 0
+        held += len(text)
+    if start < len(texts):
+        yield start, len(texts)
 
 
 def clusters(docs: DataFrame, filtered, reach: int, short: list[int]) -> DataFrame:
-    """(row, cluster, first, words, hits): runs of neighbouring hits of a document with the words around them."""
+    """(row, cluster, first, words, hits): runs of neighbouring hits of a document with the words around them.
+
+    Texts are hashed in groups, as one sequence of words; a seed that runs over the end of its text is no seed.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(filtered)
 
     def run(batches):
         bits, hashed = shared.value, Words()
         for batch in batches:
             out = defaultdict(list)
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
-                words = hashed(text)
-                tried = seeds(words) + [(np.arange(max(len(words) - n + 1, 0)), runs_of(words, n)) for n in short]
+            rows, texts = batch.column("row").to_pylist(), batch.column("text").to_pylist()
+            for low, high in groups(texts):
+                parts = [hashed(text) for text in texts[low:high]]
+                words = np.concatenate(parts)
+                ends = np.cumsum([len(part) for part in parts])
+                tried = [(len(MASKS[m]), h) for m, (_, h) in enumerate(seeds(words))]
+                tried += [(n, runs_of(words, n)) for n in short]
                 at, hash_ = [], []
-                for start, h in tried:
-                    slot = (h.view(np.int64) >> 20) & ((1 << FILTER_BITS) - 1)
-                    hit = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
-                    at.append(start[hit])
-                    hash_.append(h[hit])
+                for span, h in tried:
+                    h = h.view(np.int64)
+                    start = passing(h, bits)
+                    start = start[start + span <= ends[np.searchsorted(ends, start, "right")]]
+                    at.append(start)
+                    hash_.append(h[start])
                 if not sum(map(len, at)):
                     continue
-                at, hash_ = np.concatenate(at), np.concatenate(hash_).view(np.int64)
+                at, hash_ = np.concatenate(at), np.concatenate(hash_)
                 order = np.argsort(at, kind="stable")
                 at, hash_ = at[order], hash_[order]
-                cut = [0, *(np.flatnonzero(np.diff(at) > reach) + 1).tolist(), len(at)]
+                text_of = np.searchsorted(ends, at, "right")
+                cut = [0, *(np.flatnonzero((np.diff(at) > reach) | (np.diff(text_of) > 0)) + 1).tolist(), len(at)]
                 for k, (a, b) in enumerate(zip(cut, cut[1:])):
-                    first = max(0, int(at[a]) - reach)
-                    out["row"].append(row)
+                    text = int(text_of[a])
+                    begin, end = int(ends[text]) - len(parts[text]), int(ends[text])
+                    first = max(begin, int(at[a]) - reach)
+                    out["row"].append(rows[low + text])
                     out["cluster"].append(k)
-                    out["first"].append(first)
-                    out["words"].append(words[first:int(at[b - 1]) + reach].view(np.int64))
-                    out["hits"].append([{"at": x, "hash": h} for x, h in zip(at[a:b].tolist(), hash_[a:b].tolist())])
+                    out["first"].append(first - begin)
+                    out["words"].append(words[first:min(end, int(at[b - 1]) + reach)].view(np.int64))
+                    out["hits"].append([{"at": x, "hash": h}
+                                        for x, h in zip((at[a:b] - begin).tolist(), hash_[a:b].tolist())])
             if out:
                 yield out
 
