@@ -18,10 +18,12 @@ from collections import Counter, defaultdict
 from pyspark.sql import DataFrame
 
 from evalgrain.llm.common import map_batches, whole_text
-from evalgrain.llm.labelled_pages import CLOSE, NAMED, OPEN, PAGES
+from evalgrain.llm.labelled_pages import CLOSE, NAMED, OPEN, PAGES, RICH
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)",
-                   re.DOTALL)
+# A quote opens a value only after `=`; one that is never closed is an ordinary character. Possessive, so that a tag is
+# read once, and no alternative fails after its first characters.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|"
+                   r"<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)(?:>|\Z)", re.DOTALL)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-label)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 # Elements whose content is never shown as text; they run to their own end tag.
 RAW = frozenset("script style noscript template svg math iframe object select textarea title head".split())
@@ -70,7 +72,9 @@ def elements(page: str) -> tuple[list[tuple[str, str, int]], list[tuple[int, fro
     named: list[tuple[int, frozenset[str]]] = []
     held: list[int] = []
     stack: list[tuple[str, bool, int]] = []  # name, of another purpose, the innermost named element before it
+    opened: Counter[str] = Counter()  # names on the stack
     at, skip, inner = 0, 0, -1  # skip: open elements of another purpose
+    endless = False  # no further end tag of a head
 
     def text(upto: int) -> None:
         if upto > at:
@@ -87,30 +91,37 @@ def elements(page: str) -> tuple[list[tuple[str, str, int]], list[tuple[int, fro
             continue
         if match[1]:
             aside, own = False, inner
-            if any(n == name for n, _, _ in stack):
+            if opened[name]:
                 while True:
                     own = inner
                     closed, aside, inner = stack.pop()
+                    opened[closed] -= 1
                     skip -= aside
                     if closed == name:
                         break
             out.append(("!/" + name if skip or aside else "/" + name, "", own))
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, position)
+            end = None
+            if name != "head" or not endless:
+                end = re.compile(rf"</{re.escape(name)}\b[^>]*+(?:>|\Z)", re.I).search(page, position)
             if name == "head" and not end:
+                endless = True
                 end = re.compile(r"(?=<body\b)", re.I).search(page, position)
             position = at = end.end() if end else len(page)
             continue
-        if name in MAIN and not any(n in MAIN for n, _, _ in stack):
+        within = any(opened[n] for n in MAIN)
+        if name in MAIN and not within:
             stack, skip, inner = [], 0, -1
-        header = name == "header" and not any(n in MAIN for n, _, _ in stack)
+            opened.clear()
+        header = name == "header" and not within
         aside = header or purpose(name, match[3])
         kind = "!" + name if skip or aside else name
         if name in VOID or match[3].rstrip().endswith("/"):
             out.append((kind, "", inner))
         else:
             stack.append((name, aside, inner))
+            opened[name] += 1
             skip += aside
             if name not in ("body", "html", *MAIN) and (words := hints(match[3])):
                 named.append((inner, words))
@@ -164,14 +175,15 @@ def weights() -> dict[str, float]:
         return page.replace(OPEN, "<content-start/>").replace(CLOSE, "<content-end/>")
 
     pages = []
-    for page in (*PAGES, *NAMED):
+    for page in (*PAGES, *RICH, *NAMED):
         tokens, named = elements(marked(page))
         around: list[frozenset[str]] = []
         for parent, words, _ in named:
             around.append(words | (around[parent] if parent >= 0 else frozenset()))
         pages.append([(kind, text, ["." + w for w in around[k]] if text and k >= 0 else []) for kind, text, k in tokens])
     learned = log_odds(pages)
-    kinds = log_odds([[(kind, text, [kind]) for kind, text in sequence(marked(page), learned)] for page in PAGES])
+    kinds = log_odds([[(kind, text, [kind]) for kind, text in sequence(marked(page), learned)]
+                      for page in (*PAGES, *RICH)])
     for kind, value in kinds.items():
         if kind.endswith("text"):
             learned[kind] = 1.0 if value > 0 else -1.0  # words of one kind weigh alike

@@ -23,6 +23,28 @@ PAGES = (
     '<form><input><button>Go</button></form></section></body></html>',
 )
 
+# Articles with data tables, code, lists of terms, figures and short paragraphs, in wrappers without a telling name.
+_ROWS = "".join(f"<tr><th>{place}</th><td>{day}</td><td>{level}</td></tr>" for place, day, level in (
+    ("Upper weir", "Monday", "2.4 m"), ("Old mill", "Monday", "1.9 m"), ("Stone bridge", "Tuesday", "3.1 m"),
+    ("Ferry landing", "Wednesday", "2.8 m")))
+RICH = (
+    f'<html><body><nav>{_LINKS}</nav><div id="content">[[<h1>Water levels</h1><p>The gauges along the valley were read '
+    f'twice a day, and the table lists the highest values.</p><table><caption>Highest levels</caption><thead><tr><th>Gauge'
+    f'</th><th>Day</th><th>Level</th></tr></thead><tbody>{_ROWS}</tbody></table><p>None of them reached the mark of the '
+    f'flood a century ago.</p>]]</div><footer><p>Water board, office hours by appointment</p></footer></body></html>',
+    f'<html><body><header><a href="/">Field notes</a></header><section>[[<h1>Reading a gauge</h1><p>Each station writes '
+    f'one line an hour.</p><h2>Format</h2><pre><code>station;time;centimetres\n14;06:00;231\n14;07:00;238</code></pre>'
+    f'<p>Split at the semicolon.</p><p>Then sort by time.</p><h3>Gaps</h3><p>A missing hour has no line.</p><dl><dt>station'
+    f'</dt><dd>number of the gauge on the map</dd><dt>centimetres</dt><dd>height above the zero of the gauge</dd></dl>'
+    f'<hr><p>Questions go to the station master.</p>]]</section><aside>{_LINKS}</aside></body></html>',
+    f'<html><body><nav>{_LINKS}</nav><main>[[<h1>Letters</h1><blockquote><p>We saw the water come.</p><p>We left.</p>'
+    f'</blockquote><p>So wrote a farmer in spring.</p><figure><img src="a.png"><figcaption>The farm in May</figcaption>'
+    f'</figure><ol><li>Call the neighbours.</li><li>Open the gates.</li><li>Leave by the upper road.</li></ol><table><tr>'
+    f'<td>Animals moved</td><td>214</td></tr><tr><td>Animals lost</td><td>3</td></tr></table><p>It <em>could</em> have been '
+    f'<strong>worse</strong>, said the <a href="/mayor">mayor</a>.</p>]]</main><footer><p>Letters may be shortened</p>'
+    f'</footer></body></html>',
+)
+
 # Boxes around the text, and wrappers and blocks of the text that are called by the same words. They teach the words of
 # classes only.
 NAMED = (
