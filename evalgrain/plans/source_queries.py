@@ -77,6 +77,42 @@ def case_rejects(lake: Lake) -> DataFrame:
     return rejects.select("line_no", "problem")
 
 
+# (field, place of its fault, problem): one of these stands in every line; the first is no fault.
+CASE_FIELDS = (
+    ('"turns": [{"prompt": "q", "reference": null}]', None, None),
+    ('"expected_skills": "pdf"', "expected_skills", "wrong type"),
+    ('"turns": "oops"', "turns", "wrong type"),
+    ('"forbid_artifacts": "maybe"', "forbid_artifacts", "wrong type"),
+    ('"turns": [{"prompt": "q"}, {"prompt": "q", "colour": 1}]', "turns[1].colour", "unknown field"),
+    ('"turns": [{"files": []}]', "turns[0].prompt", "missing"),
+    ('"context": {"messages": [{"role": "robot", "content": "c"}]}', "context.messages[0].role", "unknown value"),
+    ('"tags": ["a", 7]', "tags[1]", "wrong type"),
+    ('"expect_trajectory": {"argument_assertions": [{"tool": "t", "path": "p", "equals": {}}]}',
+     "expect_trajectory.argument_assertions[0].equals", "wrong type"),
+    ('"expect_trajectory": {"required_tools": ["a"], "forbidden_tools": ["b", "a"]}', "expect_trajectory.forbidden_tools",
+     "tool required and forbidden"),
+    ('"turns": [{"prompt": "q", "expect_trajectory": {"required_verification": true}}]',
+     "turns[0].expect_trajectory.verification_tools", "no verification tools"),
+)
+
+
+def _cases_of(column: int) -> str:
+    return " ".join(f"WHEN {k} THEN '{row[column]}'" for k, row in enumerate(CASE_FIELDS) if row[column])
+
+
+@query("A2_strict_rejects", f"""
+SELECT o_orderkey AS line_no, CASE o_orderkey % {len(CASE_FIELDS)} {_cases_of(1)} END AS "at",
+       CASE o_orderkey % {len(CASE_FIELDS)} {_cases_of(2)} END AS problem FROM orders WHERE o_orderkey % {len(CASE_FIELDS)} <> 0""")
+def strict_rejects(lake: Lake) -> DataFrame:
+    """A line per order, with faults below the top level."""
+    fields = F.array(*(F.lit(row[0]) for row in CASE_FIELDS))
+    value = F.concat(F.lit('{"id": "ord-'), F.col("o_orderkey").cast("string"), F.lit('", "prompt": "p", '),
+                     F.get(fields, (F.col("o_orderkey") % len(CASE_FIELDS)).cast("int")), F.lit("}"))
+    _, rejects = case_source.parse_cases(lake.orders.select(
+        F.lit("data/strict.jsonl").alias("file_path"), F.col("o_orderkey").alias("line_no"), value.alias("value")))
+    return rejects.select("line_no", "at", "problem")
+
+
 def document_lines(lake: Lake) -> DataFrame:
     """Each document as a file: a comment block, its text by line, and a late comment."""
     status = F.when(F.col("n_chars") % 3 == 0, "# review_status: draft — not read") \

@@ -104,6 +104,9 @@ RUN_DIM = (
 # Enumerations of the run and event records.
 RUN_STATUSES = ("success", "failed", "timeout", "denied", "budget_exceeded", "skipped")
 ERROR_KINDS = ("task", "runtime", "network", "harness")
+STAGES = ("trigger", "logic", "artifact", "failure")
+CONTEXT_ROLES = ("system", "user", "assistant", "tool")
+TOOL_SOURCES = ("builtin", "mcp")
 SEVERITIES = ("low", "medium", "high", "critical")
 EVENT_TYPES = (
     "observation", "tool_call", "tool_result", "state_change", "verification", "final",
