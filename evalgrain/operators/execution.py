@@ -35,6 +35,16 @@ def compile_expectations(turns: DataFrame) -> DataFrame:
     ).withColumn("tool_rules", patterns("expect_tools"))
 
 
+def scored_part(runs: DataFrame) -> DataFrame:
+    """Runs with no more of their artifacts and tool calls than scores and evidence read: joins move less."""
+    def parts(name: str, fields: tuple[str, ...]) -> Column:
+        return F.transform(name, lambda x: F.struct(*[x[f].alias(f) for f in fields]))
+
+    return runs.withColumns({
+        "artifacts": parts("artifacts", ("path", "size_bytes", "mime_type", "text_excerpt")),
+        "tool_calls": parts("tool_calls", ("name",))})
+
+
 def score_turns(rows: DataFrame) -> DataFrame:
     """Hits and totals per run turn, from runs joined with compiled expectations.
 

@@ -76,7 +76,7 @@ def expectations(lake: Lake) -> DataFrame:
 
 @b.shared
 def scored(lake: Lake) -> DataFrame:
-    rows = joins.runs_with_case(b.runs(lake), expectations(lake))
+    rows = joins.runs_with_case(execution.scored_part(b.runs(lake)), expectations(lake))
     return execution.score_turns(rows.withColumn("catalog", b.strings("A", "N", "F")))
 
 
@@ -222,9 +222,9 @@ def full_failures(lake: Lake) -> DataFrame:
         verdict.alias("expectations"), scores.alias("dimensions"))
     on = ["run_id", "line_no", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag",
           "l_quantity"]
-    rows = joins.runs_with_case(b.runs(lake).withColumn("selected_skills", F.col("selected")),
-                                expectations(lake)).join(gradings, on, "left")
-    return evidence.full_failures(rows).groupBy("run_id", "metric").agg(F.count(F.lit(1)).alias("n"))
+    runs = execution.scored_part(b.runs(lake)).withColumn("selected_skills", F.col("selected"))
+    rows = joins.runs_with_case(runs, expectations(lake))
+    return evidence.full_failures(rows, gradings, on).groupBy("run_id", "metric").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("C3_runs_with_grading", sql(b.TURNS_SQL, """

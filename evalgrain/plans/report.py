@@ -60,7 +60,7 @@ def execution_turns(runs: DataFrame, cases: DataFrame, run_dim: DataFrame) -> Da
         *key, "type", "stage", "severity", "expected_skills", "forbid_artifacts",
         "requires_context", "artifact_rules", "workspace_rules", "tool_rules")
     catalogs = run_dim.select("run_id", F.col("skill_catalog").alias("catalog"))
-    rows = joins.runs_with_case(runs, expectations).join(catalogs, "run_id", "left")
+    rows = joins.runs_with_case(execution.scored_part(runs), expectations).join(catalogs, "run_id", "left")
     return execution.score_turns(rows)
 
 

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from evalgrain.operators import calibration, caseset, compare, gates, joins, judging, routing, stats, trajectory
+from evalgrain.operators import (
+    calibration, caseset, compare, evidence, execution, gates, joins, judging, routing, stats, trajectory)
 
 K = ["run_id"]
 
@@ -172,3 +173,32 @@ def test_inline_secrets(spark):
     got = {(r["config_id"], r["path"], r["problem"]) for r in caseset.inline_secrets(configs).collect()}
     assert got == {("a", "suite.models[0].Api-Key", "inline secret"),
                    ("b", "suite.deep.er.est.secret", "inline secret"), ("c", "suite" + ".d" * 12 + ".secret", "inline secret")}
+
+
+def test_gradings_meet_failures_after_each_side_is_judged(spark, rows):
+    """The same rows whether gradings stand beside the runs or are joined last; files lose what nobody reads before joins."""
+    file = "array<struct<path: string, sha256: string, size_bytes: bigint, mime_type: string, text_excerpt: string>>"
+    runs = execution.scored_part(spark.range(6).select(
+        F.lit("r").alias("run_id"), F.concat(F.lit("c"), "id").alias("case_id"), F.lit(0).alias("repeat_index"),
+        F.lit(1).alias("turn_index"), F.when(F.col("id") == 1, "failed").otherwise("success").alias("status"),
+        F.lit(None).cast("string").alias("error_kind"), F.lit(None).cast("string").alias("error"),
+        F.array(F.struct(F.lit("out/a"), F.lit("h"), F.lit(1), F.lit(None), F.lit("text"))).cast(file).alias("artifacts"),
+        F.array(F.struct(F.lit("read").alias("name"), F.lit(1).alias("count"))).alias("tool_calls"),
+        *(F.array().cast("array<string>").alias(c) for c in
+          ("workspace_files", "loaded_skills", "selected_skills", "expected_skills", "expect_workspace_files", "expect_tools")),
+        F.when(F.col("id") == 2, F.array(F.lit("out/b"))).otherwise(F.array()).cast("array<string>").alias("expect_artifacts"),
+        (F.col("id") == 3).alias("forbid_artifacts"),
+        *(F.lit(None).cast("string").alias(c) for c in ("final_answer", "raw_output", "reasoning"))))
+    assert runs.schema["artifacts"].dataType.elementType.names == ["path", "size_bytes", "mime_type", "text_excerpt"]
+    assert runs.schema["tool_calls"].dataType.elementType.names == ["name"]
+    gradings = spark.range(4, 5).select(
+        F.lit("r").alias("run_id"), F.concat(F.lit("c"), "id").alias("case_id"), F.lit(0).alias("repeat_index"),
+        F.lit(1).alias("turn_index"),
+        F.array(F.struct(F.lit("claim").alias("text"), F.lit(False).alias("passed"), F.lit("seen").alias("evidence"))).alias("expectations"),
+        F.array(F.struct(F.lit("tone").alias("dimension"), F.lit(0.5).alias("score"), F.lit("s").alias("evidence"))).alias("dimensions"))
+    expected = execution.compile_expectations(runs)
+    found = rows(evidence.full_failures(expected, gradings))
+    assert found == rows(evidence.full_failures(joins.runs_with_grading(expected, gradings)))
+    assert [(r["case_id"], r["metric"]) for r in found] == [
+        ("c1", "task_completion"), ("c2", "task_completion"), ("c3", "task_completion"), ("c4", "assertion")]
+    assert "failed assertions: claim | seen\nlow dimensions: tone=0.5" in found[3]["failure_detail"]
