@@ -280,8 +280,9 @@ def propagate_owners(dataset_owners: DataFrame, references: DataFrame, explicit:
     (fixture, expected, suite, run). `explicit`: path, owner. Owners named by a
     resource itself replace the ones its datasets would pass on.
     """
-    derived = references.join(dataset_owners, "dataset").select("path", "owner") \
-        .join(explicit.select("path"), "path", "left_anti")
+    # What names its own owners leaves before references are multiplied by the owners of their datasets.
+    derived = references.select("dataset", "path").join(explicit.select("path"), "path", "left_anti") \
+        .join(dataset_owners, "dataset").select("path", "owner")
     own = dataset_owners.select(F.col("dataset").alias("path"), "owner")
     return derived.unionByName(own).unionByName(explicit.select("path", "owner")).distinct()
 

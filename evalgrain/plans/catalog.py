@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from evalgrain.plans.bindings import Lake
 from evalgrain.session import tune
 
+# A task sorts and hashes about this much shuffled data at a time, compressed; rows grow several times in memory.
+TASK_DATA = "16m"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -18,7 +21,7 @@ def query(name: str, oracle: str | None = None):
     def keep(function: Callable[[Lake], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name!r} is already registered")
-        QUERIES[name] = lambda spark, folder: function(Lake(tune(spark), folder))
+        QUERIES[name] = lambda spark, folder: function(Lake(_small_tasks(tune(spark)), folder))
         if oracle is not None:
             ORACLES[name] = oracle
         return function
@@ -26,6 +29,11 @@ def query(name: str, oracle: str | None = None):
     return keep
 
 
+def _small_tasks(spark: SparkSession) -> SparkSession:
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", TASK_DATA)
+    return spark
+
+
 def sql(*parts: str) -> str:
     """Common table expressions followed by the final SELECT."""
     *tables, body = [p.strip() for p in parts]

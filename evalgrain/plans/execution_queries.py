@@ -343,8 +343,9 @@ SELECT DISTINCT path, owner FROM (
   SELECT refs.path, ds.owner FROM refs JOIN ds USING (dataset) WHERE refs.path NOT IN (SELECT path FROM expl)
   UNION ALL SELECT 'order-' || dataset, owner FROM ds UNION ALL SELECT path, owner FROM expl) x""")
 def propagate_owners(lake: Lake) -> DataFrame:
-    owners = lake.lineitem.select(
-        F.concat(F.lit("order-"), "l_orderkey").alias("dataset"), F.col("l_suppkey").alias("owner")).distinct()
+    # Numbers are made distinct, not the longer texts.
+    owners = lake.lineitem.select("l_orderkey", "l_suppkey").distinct().select(
+        F.concat(F.lit("order-"), "l_orderkey").alias("dataset"), F.col("l_suppkey").alias("owner"))
     references = lake.orders.select(
         F.concat(F.lit("order-"), "o_orderkey").alias("dataset"),
         F.concat(F.lit("cust-"), "o_custkey").alias("path"), F.lit("suite").alias("category"))

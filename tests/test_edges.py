@@ -202,3 +202,25 @@ def test_gradings_meet_failures_after_each_side_is_judged(spark, rows):
     assert [(r["case_id"], r["metric"]) for r in found] == [
         ("c1", "task_completion"), ("c2", "task_completion"), ("c3", "task_completion"), ("c4", "assertion")]
     assert "failed assertions: claim | seen\nlow dimensions: tone=0.5" in found[3]["failure_detail"]
+
+
+def test_own_owners_leave_before_references_are_multiplied(spark, rows):
+    """One path with owners of its own stands in many datasets: it meets no dataset's owners in the join."""
+    owners = spark.createDataFrame([("d1", 1), ("d1", 2), ("d2", 2)], "dataset string, owner int")
+    references = spark.createDataFrame(
+        [("d1", "p", "suite"), ("d2", "p", "suite"), ("d1", "q", "run"), ("d2", "q", "run")], "dataset string, path string, category string")
+    explicit = spark.createDataFrame([("p", 9)], "path string, owner int")
+    found = joins.propagate_owners(owners, references, explicit)
+    assert [(r["path"], r["owner"]) for r in rows(found)] == [
+        ("d1", 1), ("d1", 2), ("d2", 2), ("p", 9), ("q", 1), ("q", 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.find("Join Inner") < plan.find("Join LeftAnti")
+
+
+def test_tasks_of_queries_stay_small(spark):
+    from evalgrain.plans import all_queries
+    from evalgrain.plans.catalog import TASK_DATA
+
+    spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    all_queries()["E3_occurrences"](spark, "/root/testdata/sf0.001")
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == TASK_DATA == "16m"
