@@ -11,6 +11,8 @@ from evalgrain.session import tune
 
 # A task sorts and hashes about this much shuffled data at a time, compressed; rows grow several times in memory.
 TASK_DATA = "16m"
+# Rows of an Arrow batch: a row may hold a whole document, several times in a Python worker.
+BATCH_ROWS = "256"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +33,7 @@ def query(name: str, oracle: str | None = None):
 
 def _small_tasks(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", TASK_DATA)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark
 
 

@@ -224,3 +224,12 @@ def test_tasks_of_queries_stay_small(spark):
     spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     all_queries()["E3_occurrences"](spark, "/root/testdata/sf0.001")
     assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == TASK_DATA == "16m"
+
+
+def test_arrow_batches_of_queries_stay_small(spark):
+    """A batch of whole documents is held several times by each Python worker."""
+    from evalgrain.plans import all_queries
+
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    all_queries()["B11_sanitize_arguments"](spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
