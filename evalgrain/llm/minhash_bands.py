@@ -7,8 +7,8 @@ minimum: more than MAX_DIFFERENT of 128 differ in 1e-8 of the cases at 0.8), the
 links are joined to components by alternating large and small stars.
 
 Documents of equal sets are one class, so copies cost one row. A band value that up to PAIRED classes share is paired up.
-More are a crowd: all are first compared with the smallest; classes that this leaves apart are then compared with all
-others of the crowd outside their own component, salted, so no pair that could link two components is left out.
+More are a crowd: all are first compared with the smallest; components that this leaves apart are joined by an exact
+prefix join on full sets (`prefix_join`), so no pair that could link two components is left out.
 """
 
 from __future__ import annotations
@@ -19,13 +19,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evalgrain.llm.common import components, map_batches, materialize, whole_text
+from evalgrain.llm.prefix_join import join_crowds, similar
 
 WORDS, PERCENT = 4, 80
 HASHES, ROWS = 128, 4
 MAX_DIFFERENT = 53
-MAX_BITS = 36  # of one bit of each minimum; at similarity 0.8 exceeded in 1e-8 of the cases
 PAIRED = 16
-SALTS = 8
 CHUNK = 4096  # shingles that are hashed by all functions at once
 LONGS = HASHES // 8
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -57,10 +56,10 @@ def minima(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int = WORDS) -> DataFrame:
-    """(row, same, n, bands, signature, odd) of every row (row, text).
+    """(row, same, n, bands, signature) of every row (row, text).
 
-    `same` is equal for equal sets, n their size, bands one key per band, signature one byte per minimum in longs, odd one
-    bit per minimum in longs; the last three are null for an empty set.
+    `same` is equal for equal sets, n their size, bands one key per band, signature one byte per minimum in longs; the
+    last two are null for an empty set.
     """
     import hashlib
 
@@ -69,7 +68,7 @@ def signatures(docs: DataFrame, width: int = WORDS) -> DataFrame:
     def run(batches):
         a, b = multipliers()
         for batch in batches:
-            out = {"row": batch.column("row"), "same": [], "n": [], "bands": [], "signature": [], "odd": []}
+            out = {"row": batch.column("row"), "same": [], "n": [], "bands": [], "signature": []}
             for text in batch.column("text").to_pylist():
                 hashes = shingle_set(text, width)
                 out["same"].append(hashlib.md5(hashes.tobytes()).digest())
@@ -77,18 +76,16 @@ def signatures(docs: DataFrame, width: int = WORDS) -> DataFrame:
                 if not len(hashes):
                     out["bands"].append(None)
                     out["signature"].append(None)
-                    out["odd"].append(None)
                     continue
                 least = minima(hashes, a, b)
                 out["bands"].append([xxhash.xxh3_64_intdigest(band.tobytes(), seed=k) - (1 << 63)
                                      for k, band in enumerate(least.reshape(-1, ROWS))])
                 # The last bytes of minima depend on all bits below 32 of the products.
                 out["signature"].append((least & np.uint32(255)).astype(np.uint8).view("<i8"))
-                out["odd"].append(np.packbits((least & np.uint32(1)).astype(np.uint8)).view("<i8"))
             yield out
 
     return map_batches(docs.select("row", whole_text().cast("binary").alias("text")), run,
-                       "row bigint, same binary, n bigint, bands array<bigint>, signature array<bigint>, odd array<bigint>")
+                       "row bigint, same binary, n bigint, bands array<bigint>, signature array<bigint>")
 
 
 def full_sets(docs: DataFrame, width: int = WORDS) -> DataFrame:
@@ -118,15 +115,6 @@ def different_bytes(x: str, y: str) -> Column:
     return reduce(lambda s, i: s + longs(i), range(1, LONGS), longs(0))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b, ...) whose full sets (row, shingles) are similar enough."""
-    x = sets.select(F.col("row").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("row").alias("b"), F.col("shingles").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    return pairs.join(x, "a").join(y, "b").where(
-        100 * shared >= PERCENT * (F.size("x") + F.size("y") - shared)).select(*pairs.columns)
-
-
 def candidates(single: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of classes (row, n, bands, signature), a < b, that pass the signatures; and crowds (key, row)."""
     keyed = single.select("row", F.posexplode("bands").alias("band", "value")).select(
@@ -147,39 +135,6 @@ def verified(pairs: DataFrame, single: DataFrame) -> DataFrame:
             .where(different_bytes("sa", "sb") <= MAX_DIFFERENT).select(*pairs.columns))
 
 
-def across(crowds: DataFrame, grouped: DataFrame, single: DataFrame) -> DataFrame:
-    """(a, b, ra, rb, d): pairs of a crowd (key, row) between components (row, root) that pass the bits of the minima.
-
-    A crowd of one component is done. In the others the rows outside the largest component meet all rows of other
-    components, salted by the other side; d is the number of different bits, which two integer operations give.
-    """
-    labelled = crowds.join(grouped, "row", "left").withColumn("root", F.coalesce("root", "row"))
-    per = labelled.groupBy("key", "root").agg(F.count("*").alias("c"))
-    top = per.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots"))
-    loose = materialize(labelled.join(top.where("roots > 1").select("key", F.col("top.root").alias("top")), "key")
-                        .join(single.select("row", "n", F.get("odd", F.lit(0)).alias("x"), F.get("odd", F.lit(1)).alias("y")), "row"),
-                        "loose")
-    salts = F.array(*(F.lit(i) for i in range(SALTS)))
-    rest = loose.where("root <> top").select(
-        "key", F.explode(salts).alias("salt"), F.col("row").alias("a"), F.col("n").alias("na"),
-        F.col("x").alias("xa"), F.col("y").alias("ya"), F.col("root").alias("ra"))
-    other = loose.select("key", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"), F.col("row").alias("b"),
-                         F.col("n").alias("nb"), F.col("x").alias("xb"), F.col("y").alias("yb"), F.col("root").alias("rb"),
-                         (F.col("root") == F.col("top")).alias("in_top"))
-    differing = (F.bit_count(F.col("xa").bitwiseXOR(F.col("xb"))) + F.bit_count(F.col("ya").bitwiseXOR(F.col("yb"))))
-    return (rest.join(other, ["key", "salt"]).where("ra <> rb AND (in_top OR a < b)").where(sizes_fit("na", "nb"))
-            .withColumn("d", differing).where(F.col("d") <= MAX_BITS)
-            .select("a", "b", "ra", "rb", "d").distinct())
-
-
-def merged(grouped: DataFrame, links: DataFrame) -> DataFrame:
-    """(row, root) after the links (ra, rb) between roots; rows that were in no component and now are come too."""
-    upper = materialize(components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b"))), "upper")
-    members = grouped.unionByName(upper.select(F.col("node").alias("row"), F.col("node").alias("root"))).distinct()
-    return materialize(members.join(upper.select("node", F.col("root").alias("up")), members.root == F.col("node"), "left")
-                       .select("row", F.coalesce("up", "root").alias("root")), "merged")
-
-
 def class_components(single: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """(row, root) of the classes that are linked with another; root is the smallest row reachable."""
     pairs, crowds = candidates(single)
@@ -187,17 +142,8 @@ def class_components(single: DataFrame, docs: DataFrame, width: int) -> DataFram
     asked = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).unionByName(
         crowds.select("row")).distinct()
     sets = materialize(full_sets(docs.join(asked, "row", "left_semi"), width), "sets")
-    grouped = materialize(components(confirmed(pairs, sets)).select(F.col("node").alias("row"), "root"), "grouped")
-    more = materialize(across(crowds, grouped, single), "across")
-    # The likeliest partner of every row and component first; what they join needs no other pair.
-    best = more.groupBy("a", "ra", "rb").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
-    first = materialize(components(confirmed(best, sets).select(F.col("ra").alias("a"), F.col("rb").alias("b"))), "first")
-    left = more.join(first.select(F.col("node").alias("ra"), F.col("root").alias("ua")), "ra", "left").join(
-        first.select(F.col("node").alias("rb"), F.col("root").alias("ub")), "rb", "left")
-    left = left.where(F.coalesce("ua", "ra") != F.coalesce("ub", "rb")).join(best, ["a", "b"], "left_anti")
-    links = confirmed(left.select("a", "b", "ra", "rb"), sets).select("ra", "rb").unionByName(
-        first.select(F.col("node").alias("ra"), F.col("root").alias("rb")))
-    return merged(grouped, links)
+    grouped = materialize(components(similar(pairs, sets, PERCENT)).select(F.col("node").alias("row"), "root"), "grouped")
+    return join_crowds(crowds, grouped, sets, PERCENT)
 
 
 def near_duplicates(docs: DataFrame, width: int = WORDS) -> DataFrame:
