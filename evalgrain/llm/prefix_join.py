@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from evalgrain.llm.common import components, materialize
 
-HUBS = 2  # members of a crowd's largest group that all its other rows are compared with first
+HUBS = 2  # members of a crowd's largest group that all its other rows are compared with first, where rows are in many crowds
 
 
 def near_sets(sets: DataFrame, percent: int) -> DataFrame:
@@ -61,11 +61,11 @@ def apart(crowds: DataFrame, grouped: DataFrame) -> DataFrame:
     return labelled.join(top.where("roots > 1").select("key", F.col("top.root").alias("top")), "key")
 
 
-def hub_pairs(loose: DataFrame) -> DataFrame:
-    """(a, b, ra, rb): rows outside the largest group of a crowd (key, row, root, top) with HUBS members of it."""
-    hubs = loose.where("root = top").groupBy("key").agg(F.array_distinct(F.array(*(
-        F.min_by("row", F.xxhash64("row", "key", F.lit(k))) for k in range(HUBS)))).alias("hubs"))
-    return loose.where("root <> top").join(hubs, "key").select(
+def hub_pairs(loose: DataFrame, hubs: int) -> DataFrame:
+    """(a, b, ra, rb): rows outside the largest group of a crowd (key, row, root, top) with a few members of it."""
+    few = loose.where("root = top").groupBy("key").agg(F.array_distinct(F.array(*(
+        F.min_by("row", F.xxhash64("row", "key", F.lit(k))) for k in range(hubs)))).alias("hubs"))
+    return loose.where("root <> top").join(few, "key").select(
         F.col("row").alias("a"), F.explode("hubs").alias("b"), F.col("root").alias("ra"), F.col("top").alias("rb")).distinct()
 
 
@@ -77,10 +77,10 @@ def merged(grouped: DataFrame, links: DataFrame) -> DataFrame:
                        .select("row", F.coalesce("up", "root").alias("root")), "merged")
 
 
-def join_crowds(crowds: DataFrame, grouped: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def join_crowds(crowds: DataFrame, grouped: DataFrame, sets: DataFrame, percent: int, hubs: int = HUBS) -> DataFrame:
     """(row, root): the groups (row, root) after all links between rows of a crowd (key, row), sets are (row, shingles)."""
     loose = materialize(apart(crowds, grouped), "loose")
-    grouped = merged(grouped, similar(hub_pairs(loose), sets, percent))
+    grouped = merged(grouped, similar(hub_pairs(loose, hubs), sets, percent))
     left = materialize(apart(loose.select("key", "row"), grouped).select("row", "root").distinct(), "left")
     more = materialize(near_sets(sets.join(left, "row"), percent), "across")
     return merged(grouped, similar(more, sets, percent))

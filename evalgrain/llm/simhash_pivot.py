@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evalgrain.llm.common import components, map_batches, materialize, whole_text
+from evalgrain.llm.prefix_join import join_crowds, similar
 
 WORDS = 3
 RADIUS = 2
@@ -27,10 +28,10 @@ CROWD = 256  # members of a zone pair up to which they are paired up
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 # Near-duplicate stage: five words, similarity 0.8; SAMPLES fingerprints of the PICK smallest shingles each.
-STAGE_WORDS, SIMILARITY = 5, 0.8
+STAGE_WORDS, PERCENT = 5, 80
+SIMILARITY = PERCENT / 100
 SAMPLES, PICK, PAIRED = 12, 4, 32
-SALTS = 4
-PARITY = 1024  # bits of the parity sketch
+HUBS = 8  # members of a crowd's largest group that its other rows are compared with first
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 _OFFSETS = np.arange(8) * 256
@@ -135,20 +136,19 @@ def groups(docs: DataFrame, width: int = WORDS) -> DataFrame:
 
 
 def sketch(docs: DataFrame, width: int = STAGE_WORDS) -> DataFrame:
-    """(row, same, n, fp, samples, parity) of every text (row, text) with a word.
+    """(row, same, n, fp, samples) of every text (row, text) with a word.
 
     `same` is equal for texts of equal words, n counts the different shingles, fp is the SimHash of all. Sample t is the
     SimHash of the PICK shingles that come first in the t-th order of all hashes: texts that share i of u shingles agree
     in it with a probability of C(i, PICK) / C(u, PICK). At 0.8 one of SAMPLES agrees with 99.8 % in long texts and
-    93.1 % at five shingles. Bit k of the parity sketch is that of
-    the number of hashes in class k, so two sketches differ in no more bits than the sets in shingles.
+    93.1 % at five shingles.
     """
     rng = np.random.default_rng(5)
     shuffle = rng.integers(1, 1 << 63, (SAMPLES, 2), dtype=np.uint64) | np.uint64(1)
 
     def run(batches):
         for batch in batches:
-            out = {"row": [], "same": [], "n": [], "fp": [], "samples": [], "parity": []}
+            out = {"row": [], "same": [], "n": [], "fp": [], "samples": []}
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
                 hashes = shingle_hashes(text, width)
                 if not len(hashes):
@@ -163,13 +163,10 @@ def sketch(docs: DataFrame, width: int = STAGE_WORDS) -> DataFrame:
                 out["n"].append(len(unique))
                 out["fp"].append(simhash(hashes))
                 out["samples"].append([simhash(unique[f]) for f in first])
-                classes = (unique % np.uint64(PARITY)).astype(np.int64)
-                odd = np.bincount(classes, minlength=PARITY).astype(np.uint8) & 1
-                out["parity"].append(np.packbits(odd).view("<i8"))
             yield out
 
     return map_batches(docs.select("row", whole_text().cast("binary").alias("text")), run,
-                       "row bigint, same binary, n bigint, fp bigint, samples array<bigint>, parity array<bigint>")
+                       "row bigint, same binary, n bigint, fp bigint, samples array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, width: int = STAGE_WORDS) -> DataFrame:
@@ -190,10 +187,10 @@ def _text_digest(text: bytes) -> bytes:
 
 
 def sample_candidates(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of rows (row, n, samples) that agree in a sampled fingerprint, and the crowds (row, t, key, centre).
+    """Pairs (a, b) of rows (row, n, samples) that agree in a sampled fingerprint, and the crowds (key, row).
 
     Up to PAIRED rows with one value are paired up. More are a crowd: they are all linked to the smallest here, and
-    crowd_candidates looks after those that this leaves apart.
+    join_crowds looks after those that this leaves apart.
     """
     keyed = sketches.select("row", "n", F.posexplode("samples").alias("t", "key"))
     sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("c"), F.min(F.struct("row", "n")).alias("first"))
@@ -204,7 +201,7 @@ def sample_candidates(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
     stars = many.select(F.col("first.row").alias("a"), F.col("first.n").alias("na"), F.col("row").alias("b"),
                         F.col("n").alias("nb")).where("a <> b")
     return (like_sized(pairs.select("a", "na", "b", "nb").unionByName(stars)).select("a", "b").distinct(),
-            many.select("row", "t", "key", F.col("first.row").alias("centre")))
+            many.select(F.struct("t", "key").alias("key"), "row"))
 
 
 def like_sized(pairs: DataFrame) -> DataFrame:
@@ -212,63 +209,13 @@ def like_sized(pairs: DataFrame) -> DataFrame:
     return pairs.where(F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb"))
 
 
-def crowd_candidates(sketches: DataFrame, crowds: DataFrame, grouped: DataFrame, scored: DataFrame) -> DataFrame:
-    """(a, b, ra, rb): pairs across groups (row, root) of rows (row, n, parity) of one crowd.
-
-    A crowd that is one group already needs no more links and is left out. In the others every pair of rows of
-    different groups is compared, whichever other samples agree; the rows of all but the largest group meet all others,
-    salted by the other side, so that no key is gathered in one task. The distance 1 - similarity is a metric, so rows
-    whose known distances to the crowd's centre (scored: a, b, similarity) lie too far apart cannot be near each other;
-    neither can rows whose parity sketches differ in more bits than the similarity leaves shingles to differ in. Both
-    tests are part of the join and lose nothing.
-    """
-    known = scored.select(F.col("a").alias("centre"), F.col("b").alias("row"), (1 - F.col("similarity")).alias("d"))
-    labelled = (crowds.join(grouped, "row", "left").withColumn("root", F.coalesce("root", "row"))
-                .join(known, ["centre", "row"], "left")
-                .withColumn("d", F.when(F.col("row") == F.col("centre"), 0.0).otherwise(F.col("d"))))
-    per_group = labelled.groupBy("t", "key", "root").agg(F.count("*").alias("c"))
-    top = per_group.groupBy("t", "key").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("groups"))
-    loose = materialize(labelled.join(top.where("groups > 1").select("t", "key", F.col("top.root").alias("top")),
-                                      ["t", "key"]), "loose")
-    loose = loose.join(sketches.select("row", "n", "parity"), "row")
-    salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
-    rest = loose.where("root <> top").select(
-        "t", "key", F.col("row").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"),
-        F.col("d").alias("da"), F.col("parity").alias("pa"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    others = loose.select("t", "key", salt.alias("salt"), F.col("row").alias("b"), F.col("n").alias("nb"),
-                          F.col("root").alias("rb"), F.col("d").alias("db"), F.col("parity").alias("pb"),
-                          (F.col("root") == F.col("top")).alias("in_top"))
-    reach = F.coalesce(F.abs(F.col("da") - F.col("db")) <= 1 - SIMILARITY + 1e-9, F.lit(True))
-    differing = sum((F.bit_count(F.get("pa", F.lit(k)).bitwiseXOR(F.get("pb", F.lit(k)))) for k in range(PARITY // 64)),
-                    F.lit(0))
-    few_differ = differing <= (1 - SIMILARITY) / (1 + SIMILARITY) * (F.col("na") + F.col("nb")) + 1e-9
-    pairs = rest.join(others, ["t", "key", "salt"]).where("ra <> rb AND (in_top OR a < b)").where(reach & few_differ)
-    return like_sized(pairs).select("a", "b", "ra", "rb").distinct()
-
-
-def compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b, ...) of rows (row, text) with the Jaccard similarity of their different shingles."""
-    asked = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
-    sets = materialize(shingle_sets(docs.join(asked, "row", "left_semi")), "shingles")
-    left = sets.select(F.col("row").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("row").alias("b"), F.col("shingles").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").select(
-        *pairs.columns, (shared / (F.size("x") + F.size("y") - shared)).alias("similarity"))
-
-
-def linked(scored: DataFrame) -> DataFrame:
-    return scored.where(F.col("similarity") >= SIMILARITY)
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(row, root): rows (row, text) in groups of near-duplicates; root is the smallest row of the group.
 
     Texts of equal words are one. Others are compared if their SimHash fingerprints are within RADIUS bits (pivot
     distance tables), or if a fingerprint of sampled shingles agrees; they are linked if their different five-word
     shingles have a Jaccard similarity of SIMILARITY or more. Where very many rows agree they are first compared with one
-    of them, and what that leaves in different groups is compared across these groups. Rows without a word or without a partner are missing.
+    of them, and what that leaves in different groups is joined by an exact prefix join. Rows without a word or without a partner are missing.
     """
     sketches = materialize(sketch(docs), "sketches")
     same = sketches.groupBy("same").agg(F.min("row").alias("first"))
@@ -285,14 +232,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
     by_sample, crowds = sample_candidates(single.select("row", "n", "samples"))
     pairs = materialize(by_print.unionByName(by_link).unionByName(by_sample).distinct(), "candidates")
-    scored = materialize(compared(docs, pairs), "scored")
-    grouped = materialize(components(linked(scored).select("a", "b").unionByName(copies)).select(
+    asked = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).unionByName(
+        crowds.select("row")).distinct()
+    sets = materialize(shingle_sets(docs.join(asked, "row", "left_semi")), "shingles")
+    grouped = materialize(components(similar(pairs, sets, PERCENT).unionByName(copies)).select(
         F.col("node").alias("row"), "root"), "grouped")
-    more = materialize(crowd_candidates(single.select("row", "n", "parity"), crowds, grouped, scored), "crowd_candidates")
-    joined = components(linked(compared(docs, more)).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    joined = materialize(joined.withColumnRenamed("root", "upper"), "joined")
-    members = grouped.unionByName(joined.select(F.col("node").alias("row"), F.col("node").alias("root"))).distinct()
-    return members.join(joined, members.root == joined.node, "left").select("row", F.coalesce("upper", "root").alias("root"))
+    return join_crowds(crowds, grouped, sets, PERCENT, HUBS)
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from evalgrain.llm import common, minhash_bands, prefix_join
+from evalgrain.llm import common, minhash_bands, prefix_join, simhash_pivot
 from evalgrain.llm.common import prepare
 
 
@@ -12,6 +12,22 @@ def jaccard_fits(x, y, percent):
     return 100 * len(x & y) >= percent * len(x | y)
 
 
+def noted_tables(monkeypatch):
+    """The folders of all scratch tables written from now on."""
+    paths, folder = [], common.scratch_folder
+
+    def noted(spark, label):
+        paths.append(folder(spark, label))
+        return paths[-1]
+
+    monkeypatch.setattr(common, "scratch_folder", noted)
+    return paths
+
+
+def sizes(spark, paths):
+    return {p.rsplit("/", 1)[1].rsplit("-", 1)[0]: spark.read.parquet(p).count() for p in paths}
+
+
 @pytest.mark.parametrize("percent", [80, 50, 100])
 def test_no_similar_pair_is_left_out(spark, percent):
     prepare(spark)
@@ -51,16 +67,22 @@ def test_groups_of_a_crowd_are_joined_through_any_pair(spark):
 def test_crowd_below_the_threshold_is_not_paired_up(spark, monkeypatch):
     """300 pages of a template that share bands but are all too different: they are not paired up across components."""
     prepare(spark)
-    paths, folder = [], common.scratch_folder
-
-    def noted(spark, label):
-        paths.append(folder(spark, label))
-        return paths[-1]
-
-    monkeypatch.setattr(common, "scratch_folder", noted)
+    paths = noted_tables(monkeypatch)
     words = [f"t{i}" for i in range(80)]
     docs = [(i, " ".join(words + [f"d{i}x{j}" for j in range(18)])) for i in range(300)]
     got = minhash_bands.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i) for i in range(300)]
-    rows = {p.rsplit("/", 1)[1].rsplit("-", 1)[0]: spark.read.parquet(p).count() for p in paths}
+    rows = sizes(spark, paths)
     assert rows["loose"] > 300 and rows["across"] <= 300, rows
+
+
+def test_near_duplicate_stage_does_not_pair_up_such_a_crowd(spark, monkeypatch):
+    """Similarity 0.79: collisions in a sketch of 1024 bits would let a fifth of the pairs pass."""
+    prepare(spark)
+    paths = noted_tables(monkeypatch)
+    words = [f"t{i}" for i in range(87)]
+    docs = [(i, " ".join(words + [f"d{i}x{j}" for j in range(11)])) for i in range(300)]
+    found = simhash_pivot.near_duplicates(spark.createDataFrame(docs, "row bigint, text string")).collect()
+    assert not found
+    rows = sizes(spark, paths)
+    assert rows["loose"] > 300 and rows.get("across", rows.get("crowd_candidates")) <= 300, rows
