@@ -6,16 +6,18 @@ leaves leave the queue in that order, and the visit goes on until as many leaves
 The calibration widens the visits until sampled queries reach the wanted recall against brute force on the sample.
 
 Equal vectors are indexed once, with the smallest ids that a result of k rows can need, so copies cannot overfill a
-leaf. Leaves travel as blocks of bounded size and meet blocks of queries by an equi-join, so a full leaf is many rows.
+leaf. The leaves are counted and dealt into parts of bounded size; a large leaf is many parts. A query goes once to each
+part in which it visits a leaf. The task of a part holds the part's vectors, as packed numbers, and the queries pass by,
+so the memory of a task depends neither on the number of leaves nor on that of the queries.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from evalgrain.llm.common import map_batches, materialize
@@ -24,8 +26,13 @@ SAMPLE = 20_000  # bound of the vectors that the tree and the calibration see
 BRANCHES = 16
 LEAF = 200  # vectors a leaf should hold; the number of leaves is bounded by the sample
 RECALL = 0.97
-BLOCK = 512  # vectors or queries in one row of a join
-PRODUCTS = 1 << 20  # components of candidates that are scored at once
+PART = 1 << 25  # bytes of vectors that a task holds while queries pass by
+PARTS, PART_ROWS = 48, 4096  # so many parts at least, unless they would have fewer vectors than this
+ROW = 1 << 14  # bytes of vectors in one row of a shuffle, one vector at least
+GATHERED = 1 << 22  # bytes of vectors that are put into leaves at once
+WALKED = 256  # queries that walk the tree at once
+PASSING = 1024  # queries that are compared with a part at once
+PRODUCTS = 1 << 20  # components of candidates, or products of vectors, that are made at once
 HELD = 200_000  # found rows that a task keeps before it cuts them to the best of each query
 
 
@@ -103,9 +110,9 @@ class Tree:
             queue += [(child, rows[near == c]) for c, child in enumerate(self.children[node])]
         return out
 
-    def visit(self, query: np.ndarray, leaves: int) -> list[int]:
-        """The first leaves that leave the priority queue."""
-        queue, out = [(-1.0, 0)], []
+    def visit(self, query: np.ndarray, leaves: int, root: int = 0) -> list[int]:
+        """The first leaves that leave the priority queue, of those below a node."""
+        queue, out = [(-1.0, root)], []
         while queue and len(out) < leaves:
             _, node = heapq.heappop(queue)
             children = self.children[node]
@@ -116,6 +123,39 @@ class Tree:
                 heapq.heappush(queue, (-near, child))
         return out
 
+    def visited(self, queries: np.ndarray, leaves: int) -> np.ndarray:
+        """For each query (row), which of `self.leaves` (column) are among the first that leave its priority queue.
+
+        A leaf leaves the queue by the least nearness on its way from the root: of two leaves the one whose least is
+        larger comes first. Leaves with the same least share the node that has it, and only the last such node, from
+        which not all leaves are taken, is searched with a queue.
+        """
+        own = np.array(self.leaves)
+        if leaves >= len(own):
+            return np.ones((len(queries), len(own)), bool)
+        near = self.centres @ queries.T
+        least, place = np.full(near.shape, np.inf), np.zeros(near.shape, np.int32)
+        for node, children in enumerate(self.children):
+            if children:
+                below = slice(children[0], children[-1] + 1)
+                least[below] = np.minimum(least[node], near[below])
+                place[below] = np.where(near[below] < least[node], np.arange(below.start, below.stop)[:, None], place[node])
+        least, place = least[own].T, place[own].T
+        last = np.partition(least, len(own) - leaves, axis=1)[:, len(own) - leaves, None]
+        out, equal = least > last, least == last
+        more = leaves - out.sum(axis=1)
+        column = {node: i for i, node in enumerate(self.leaves)}
+        for i in range(len(queries)):
+            nodes = place[i, equal[i]]
+            if len(nodes) == more[i]:
+                out[i] |= equal[i]
+            elif (nodes == nodes[0]).all():
+                out[i, [column[x] for x in self.visit(queries[i], more[i], int(nodes[0]))]] = True
+            else:  # equal centres
+                out[i] = False
+                out[i, [column[x] for x in self.visit(queries[i], leaves)]] = True
+        return out
+
     def calibrate(self, sample: np.ndarray, k: int, recall: float, queries: int = 300) -> int:
         """Leaves to visit so that the sample's own queries find `recall` of their k nearest in the sample."""
         leaf = self.leaf_of(sample)
@@ -145,15 +185,28 @@ def best_rows(found: list[tuple], keep: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def scored(q: np.ndarray, x: np.ndarray, keep: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows of q, rows of x, cosines), for some queries at a time: all that may be among a query's `keep` best rows.
+    """(rows of q, rows of x, cosines), for some queries at a time: all that may be among a query's `keep` best rows."""
+    return reaching(near_one(q), unit(q), np.full(len(q), -np.inf), near_one(x), keep)
+
+
+def reaching(q: np.ndarray, units: np.ndarray, least: np.ndarray, x: np.ndarray, keep: int
+             ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """`scored`, for rows that near_one has scaled and units = unit(q), without cosines that must lie below `least`.
 
     A product of unit vectors picks them; it and the cosine are each within `slack` of the true value, so what lies more
-    than four times that below the `keep`-th best product cannot have a cosine as high as its.
+    than four times that below the `keep`-th best product, or below a cosine that `keep` rows reach (`least`), cannot
+    have a cosine as high as that.
     """
     slack = (x.shape[1] + 16) * np.finfo(float).eps
-    near = unit(q) @ unit(x).T
-    place = max(0, len(x) - keep)
-    who, some = np.nonzero(near >= np.partition(near, place, axis=1)[:, place, None] - 4 * slack)
+    near, floor = units @ unit(x).T, least - 4 * slack
+    some_reach = np.flatnonzero(near.max(axis=1) >= floor)
+    near, floor = near[some_reach], floor[some_reach]
+    if len(x) > keep:
+        many = np.flatnonzero((near >= floor[:, None]).sum(axis=1) > keep)
+        ranked = np.partition(near[many], len(x) - keep, axis=1)[:, len(x) - keep]
+        floor[many] = np.maximum(floor[many], ranked - 4 * slack)
+    who, some = np.nonzero(near >= floor[:, None])
+    who = some_reach[who]
     # Queries whose candidates are scored together: up to PRODUCTS components, one query at least.
     ends = np.cumsum(np.bincount(who, minlength=len(q)))
     at = 0
@@ -161,33 +214,98 @@ def scored(q: np.ndarray, x: np.ndarray, keep: int) -> Iterator[tuple[np.ndarray
         first = who[at]
         last = max(np.searchsorted(ends, at + PRODUCTS // x.shape[1], side="right"), first + 1)
         part = slice(at, ends[last - 1])
-        a, b = near_one(q[who[part]]), near_one(x[some[part]])
+        a, b = q[who[part]], x[some[part]]
         score = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
         yield who[part], some[part], score
         at = ends[last - 1]
 
 
-def blocks(rows: DataFrame, key: str) -> DataFrame:
-    """(leaf, ids, vectors): up to BLOCK rows (leaf, `key`, vector) of a leaf as one row of bytes."""
-    def run(batches):
-        held = defaultdict(list)
+def matrix(column: pa.ListArray) -> np.ndarray:
+    """Vectors of one length without nulls as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-        def out(leaf):
-            part = held.pop(leaf)
-            return {"leaf": [leaf], "ids": [np.array([p[0] for p in part], "<i8").tobytes()],
-                    "vectors": [np.array([p[1] for p in part], "<f8").tobytes()]}
 
-        for batch in batches:
-            for leaf, own, vector in zip(*(batch.column(c).to_pylist() for c in ("leaf", key, "embedding"))):
-                held[leaf].append((own, vector))
-                if len(held[leaf]) == BLOCK:
-                    yield out(leaf)
-        for leaf in list(held):
-            yield out(leaf)
+def gathered(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[list[np.ndarray]]:
+    """Embeddings as rows, and other columns, of batches together, about GATHERED bytes of vectors at a time."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append([matrix(batch.column("embedding")),
+                         *(batch.column(name).to_numpy(zero_copy_only=False) for name in names)])
+            size += held[-1][0].nbytes
+            if size >= GATHERED:
+                yield [np.concatenate(part) for part in zip(*held)]
+                held, size = [], 0
+    if held:
+        yield [np.concatenate(part) for part in zip(*held)]
+
 
-    salt = F.pmod(F.xxhash64(key), F.lit(16))
-    return map_batches(rows.select("leaf", key, "embedding").repartition("leaf", salt), run,
-                       "leaf bigint, ids binary, vectors binary")
+def dealt(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first part, number of parts, place in its part) of each leaf: parts of about `most` vectors at most.
+
+    Neighbouring leaves share a part; a leaf of more vectors has parts of its own.
+    """
+    first, number, place = (np.zeros(len(counts), np.int64) for _ in range(3))
+    part, size, leaves = 0, 0, 0  # of the part that is being filled
+    for leaf, count in enumerate(counts.tolist()):
+        number[leaf] = max(1, -(-count // most))
+        if leaves and size + count > most:
+            part, size, leaves = part + 1, 0, 0
+        first[leaf], place[leaf] = part, leaves
+        size, leaves = size + count, leaves + 1
+        if number[leaf] > 1:
+            part, size, leaves = part + number[leaf], 0, 0
+    return first, number, place
+
+
+PACKED = "part int, query int, ids binary, vectors binary, leaves binary"
+
+
+def packed(part: int, query: int, ids: np.ndarray, vectors: np.ndarray, leaves: np.ndarray) -> dict[str, list]:
+    """Rows of PACKED, each with ROW bytes of vectors: ids, vectors, and what is said of their leaves."""
+    step = max(1, ROW // vectors[0].nbytes)
+    cuts = [slice(i, i + step) for i in range(0, len(ids), step)]
+    return {"part": [part] * len(cuts), "query": [query] * len(cuts),
+            **{name: [np.ascontiguousarray(a[c]).tobytes() for c in cuts]
+               for name, a in (("ids", ids.astype("<i8")), ("vectors", vectors), ("leaves", leaves))}}
+
+
+class Part:
+    """Vectors of some leaves, ordered by leaf, that queries are compared with."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, place: np.ndarray):
+        order = np.argsort(place, kind="stable")
+        self.ids, self.vectors = ids[order], vectors[order]
+        self.starts = np.searchsorted(place[order], np.arange(place.max() + 2))
+
+    def best(self, q: np.ndarray, visited: np.ndarray, keep: int, limit: int
+             ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows of q, ids, scores): the `keep` best of each query among the leaves (columns) that it visits.
+
+        Found rows are cut to the best beyond `limit`, or once they have doubled, and the last of the best says what later
+        leaves must reach.
+        """
+        least = np.full(len(q), -np.inf)
+        held, size = [tuple(np.zeros(0, kind) for kind in (np.int64, np.int64, float))], 0
+        most, units, q = min(limit, keep * len(q) // 2), unit(q), near_one(q)
+        for leaf, (start, end) in enumerate(zip(self.starts[:-1], self.starts[1:])):
+            who = np.flatnonzero(visited[:, leaf])
+            step = max(1, PRODUCTS // max(1, len(who)))
+            for at in range(start, end if len(who) else start, step):
+                own = slice(at, min(at + step, end))
+                x = near_one(self.vectors[own].astype(float))
+                for a, b, score in reaching(q[who], units[who], least[who], x, keep):
+                    held.append((who[a], self.ids[own][b], score))
+                    size += len(score)
+                    if size > most:
+                        held = [best_rows(held, keep)]
+                        query, _, scores = held[0]
+                        size = len(query)
+                        most = max(most, 2 * size)
+                        last = np.flatnonzero(np.r_[query[1:] != query[:-1], True])
+                        full = last[np.bincount(query, minlength=len(q))[query[last]] == keep]
+                        least[query[full]] = scores[full]
+        return best_rows(held, keep)
 
 
 def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
@@ -197,8 +315,10 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
     """
     order = Window.partitionBy("embedding").orderBy("vec_id")
     first = rows.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= keep)
-    return (first.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-            .select(F.col("ids")[0].alias("vec_id"), "embedding", "ids"))
+    # In the window, and not by groupBy, which would deal all vectors out once more.
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return (first.withColumn("ids", F.collect_list("vec_id").over(every)).where("n = 1")
+            .select("vec_id", "embedding", "ids"))
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = RECALL,
@@ -210,7 +330,11 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = REC
     each of its vectors as a query; of equal rows one counts. An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    rows = materialize(usable(vectors), "vectors")
+    # Floats travel as floats: as doubles they are the same numbers.
+    small = dict(vectors.dtypes)["embedding"] == "array<float>"
+    number = "<f4" if small else "<f8"
+    rows = usable(vectors)
+    rows = materialize(rows.withColumn("embedding", F.col("embedding").cast("array<float>")) if small else rows, "vectors")
     index = materialize(distinct_vectors(rows, k + 1), "distinct_vectors")
     n = index.count()
     sample = np.array([r[0] for r in index.select("embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(
@@ -218,62 +342,103 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = REC
     if not n:
         kind = dict(vectors.dtypes)["vec_id"]
         return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
-    sample = unit(sample)
+    sample, length = unit(sample), sample.shape[1]
     tree = Tree(sample, max(1, min(n // LEAF, len(sample) // 4)))
     visits = tree.calibrate(sample, k, recall)
     shared = spark.sparkContext.broadcast((tree.centres, tree.children, tree.leaves))
 
-    def load() -> Tree:
+    def load() -> tuple[Tree, np.ndarray]:
         tree = Tree.__new__(Tree)
         tree.centres, tree.children, tree.leaves = shared.value
-        return tree
+        column = np.zeros(len(tree.children), np.int64)
+        column[tree.leaves] = np.arange(len(tree.leaves))
+        return tree, column
+
+    def count(batches):
+        tree, column = load()
+        counts = np.zeros(len(tree.leaves), np.int64)
+        for x, in gathered(batches):
+            counts += np.bincount(column[tree.leaf_of(unit(x.astype(float)))], minlength=len(counts))
+        yield {"leaf": np.flatnonzero(counts), "n": counts[counts > 0]}
+
+    counts = np.zeros(len(tree.leaves), np.int64)
+    for r in map_batches(index.select("embedding"), count, "leaf bigint, n bigint").groupBy("leaf").agg(
+            F.sum("n").alias("n")).collect():
+        counts[r.leaf] = r.n
+    most = min(max(n // PARTS, PART_ROWS), max(1, PART // (length * int(number[-1]))))
+    first, number_of, place_of = dealt(counts, most)
+    parts = int((first + number_of).max())
+    # Leaves of a part: those whose parts begin at or before it and do not end before it.
+    ends = first + number_of
+    leaves_of = [slice(int(np.searchsorted(ends, part, side="right")), int(np.searchsorted(first, part, side="right")))
+                 for part in range(parts)]
 
     def place(batches):
-        tree = load()
-        for batch in batches:
-            if batch.num_rows:
-                x = np.array(batch.column("embedding").to_pylist())
-                yield {"vec_id": batch.column("vec_id"), "embedding": batch.column("embedding"),
-                       "leaf": tree.leaf_of(unit(x))}
+        tree, column = load()
+        for x, ids, h in gathered(batches, "vec_id", "h"):
+            leaf = column[tree.leaf_of(unit(x.astype(float)))]
+            part = first[leaf] + h % number_of[leaf]
+            order = np.argsort(part, kind="stable")
+            cuts = np.flatnonzero(np.diff(part[order])) + 1
+            for own in np.split(order, cuts):
+                yield packed(int(part[own[0]]), 0, ids[own], x[own], place_of[leaf[own]].astype("<i4"))
 
     def walk(batches):
-        tree = load()
-        for batch in batches:
-            for own, vector in zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist()):
-                found = tree.visit(unit(np.array([vector]))[0], visits)
-                yield {"vec_id": [own] * len(found), "embedding": [vector] * len(found), "leaf": found}
+        tree, _ = load()
+        for vectors_of, ids_of in gathered(batches, "vec_id"):
+            for at in range(0, len(ids_of), WALKED):
+                x, ids = vectors_of[at:at + WALKED], ids_of[at:at + WALKED]
+                visited = tree.visited(unit(x.astype(float)), visits)
+                for part, own in enumerate(leaves_of):
+                    who = np.flatnonzero(visited[:, own].any(axis=1))
+                    if len(who):
+                        yield packed(part, 1, ids[who], x[who], np.packbits(visited[who, own], axis=1))
 
     def compare(batches):
-        # A task hands on the best k + 1 of each query among all its blocks, which holds the best of the whole. What
-        # it keeps is bounded: if cutting leaves more than half, the rows go on and it starts anew.
-        held, size = [], 0
-
-        def out():
-            return dict(zip(("query_id", "vec_id", "score"), best_rows(held, k + 1)))
-
+        # The vectors of a part come first, then its queries. A task hands on the best k + 1 of each query in the part.
+        def joined(rows):
+            return [b"".join(column) for column in zip(*rows)]
+
+        def numbers(ids, x):
+            return np.frombuffer(ids, "<i8"), np.frombuffer(x, number).reshape(-1, length)
+
+        def flush():
+            ids, x, bits = joined(passing)
+            own, q = numbers(ids, x)
+            q, visited = q.astype(float), np.frombuffer(bits, np.uint8).reshape(len(q), -1)
+            visited = np.unpackbits(visited, axis=1).astype(bool)
+            for at in range(0, len(q), PASSING):
+                who, found, score = held.best(q[at:at + PASSING], visited[at:at + PASSING], k + 1, HELD)
+                yield {"query_id": own[at:at + PASSING][who], "vec_id": found, "score": score}
+
+        at, held, coming, passing, size = None, None, [], [], 0
         for batch in batches:
-            for ids, vectors, own, queries in zip(*(batch.column(c).to_pylist() for c in (
-                    "ids", "vectors", "q_ids", "q_vectors"))):
-                ids, own = np.frombuffer(ids, "<i8"), np.frombuffer(own, "<i8")
-                x = np.frombuffer(vectors, "<f8").reshape(len(ids), -1)
-                q = np.frombuffer(queries, "<f8").reshape(len(own), -1)
-                best = [best_rows([(own[who], ids[some], score)], k + 1) for who, some, score in scored(q, x, k + 1)]
-                held += best
-                size += sum(len(part[2]) for part in best)
-                if size > HELD:
-                    best = out()
-                    held, size = [tuple(best.values())], len(best["score"])
-                    if size > HELD // 2:
-                        yield best
-                        held, size = [], 0
-        if held:
-            yield out()
+            for part, query, *row in zip(*(column.to_pylist() for column in batch.columns)):
+                if part != at:
+                    if passing:
+                        yield from flush()
+                    at, held, coming, passing, size = part, None, [], [], 0
+                if not query:
+                    coming.append(row)
+                    continue
+                if coming:
+                    ids, x, places = joined(coming)
+                    coming = []  # the rows go before the vectors are put in order
+                    held = Part(*numbers(ids, x), np.frombuffer(places, "<i4"))
+                    del ids, x, places
+                if held:
+                    passing.append(row)
+                    size += len(row[0]) // 8
+                    if size >= PASSING:
+                        yield from flush()
+                        passing, size = [], 0
+        if passing:
+            yield from flush()
 
     queries = rows.where(F.col("vec_id") % every == 0).distinct()
-    placed = map_batches(index.select("vec_id", "embedding"), place, "vec_id bigint, embedding array<double>, leaf bigint")
-    walked = map_batches(queries, walk, "vec_id bigint, embedding array<double>, leaf bigint")
-    pairs = blocks(placed, "vec_id").join(
-        blocks(walked, "vec_id").withColumnRenamed("ids", "q_ids").withColumnRenamed("vectors", "q_vectors"), "leaf")
+    own = map_batches(index.select("vec_id", "embedding", F.xxhash64("vec_id", "embedding").alias("h")), place, PACKED)
+    walked = map_batches(queries, walk, PACKED)
+    pairs = own.unionByName(walked).repartitionById(parts, "part").sortWithinPartitions("part", "query")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = (map_batches(pairs, compare, "query_id bigint, vec_id bigint, score double")
              .withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1))
